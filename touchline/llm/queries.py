@@ -65,3 +65,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op4_licenses, op5_quality, op6_sharding, op7_transport, op8_mixing, op9_ngram_join, op10_langid, pipeline)}
+
+ORACLES: dict[str, str] = {}
