@@ -32,6 +32,14 @@ class EloConfig:
     most: float = 35.0
     low: float = 900.0
     high: float = 2300.0
+    #: one K factor for all matches, and how much each of the first four goals of the margin adds to it; None: K by competition, and
+    #: the logarithm of the margin
+    k: float | None = None
+    margin: float = 0.08
+
+
+#: the simpler rating of recent form
+SIMPLE = EloConfig(start=1700.0, home_bonus=0.0, most=1e9, low=1200.0, high=2200.0, k=24.0)
 
 
 def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFrame:
@@ -55,7 +63,8 @@ def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFram
             h, a = ratings.get(home, config.start), ratings.get(away, config.start)
             expected = 1 / (1 + 10 ** ((a - h - (0 if neutral else config.home_bonus)) / 400))
             score = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
-            step = max(-config.most, min(config.most, k * max(1.0, math.log(abs(hg - ag) + 1)) * (score - expected)))
+            factor = k * max(1.0, math.log(abs(hg - ag) + 1)) if config.k is None else config.k * (1 + min(abs(hg - ag), 4) * config.margin)
+            step = max(-config.most, min(config.most, factor * (score - expected)))
             ratings[home], ratings[away] = min(config.high, max(config.low, h + step)), min(config.high, max(config.low, a - step))
             out.append((h, a, ratings[home], ratings[away]))
         res = pdf[["match_id", "match_date", "home", "away"]].copy()

@@ -1,6 +1,6 @@
 """The catalogue of queries; importing the modules fills it."""
 
-from . import match  # noqa: F401
+from . import match, tables  # noqa: F401
 from .base import CATALOG, VIEWS
 
 __all__ = ["CATALOG", "VIEWS"]
