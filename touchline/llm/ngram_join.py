@@ -196,10 +196,12 @@ def trie_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
     trie, mark, label, links = Trie(both[shift:]), np.zeros(len(values), bool), np.arange(len(both)), []
     for i in range(len(left)):
         found = trie.like(both[i], mark, percent) + shift
-        for r in np.unique(label[found]):
-            if r != label[i]:
-                links.append((i, int(found[label[found] == r][0])))
-                low, high = min(r, label[i]), max(r, label[i])
+        before = label[found]
+        for r in np.unique(before):
+            j = int(found[np.argmax(before == r)])
+            if label[j] != label[i]:
+                links.append((i, j))
+                low, high = min(label[j], label[i]), max(label[j], label[i])
                 label[label == high] = low
     return links
 
