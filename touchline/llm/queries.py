@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, langid, licenses, mixing, ngram_join, pii, quality, sharding, toxicity, transport
 from .base import table
+from .sql import ORACLES  # noqa: F401
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +66,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op4_licenses, op5_quality, op6_sharding, op7_transport, op8_mixing, op9_ngram_join, op10_langid, pipeline)}
-
-ORACLES: dict[str, str] = {}
