@@ -42,4 +42,4 @@ def sql(text, folder):
         db.execute("SET TimeZone = 'UTC'")
         for p in Path(folder).glob("*.parquet"):
             db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p if p.is_file() else f'{p}/*.parquet'}')")
-        return db.execute(text).fetch_arrow_table().to_pylist()
+        return db.execute(text).to_arrow_table().to_pylist()
