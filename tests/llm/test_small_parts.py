@@ -40,6 +40,18 @@ def test_toxicity_without_a_toxic_label(spark):
     assert all(x.score < 0.5 and x.predicted == 0 for x in toxicity.classify(docs, labels).collect())
 
 
+def test_very_toxic_long_documents_keep_scores_finite():
+    model = toxicity.Model(np.zeros(1), 1.0, 1e-3, (0.0, 0.0))
+    x = toxicity._features(model, np.array([10, 2_000_000, 0]), [[1.5], [1.5] + [5000.0] * 400, []])
+    assert np.isfinite(x).all() and x[1, 1] > x[0, 1] > x[2, 1] == 0
+    r = np.random.default_rng(1)
+    y = (r.random(4000) < 0.1).astype(float)
+    x = np.stack([np.ones(4000), np.where(y > 0, r.exponential(4, 4000), r.exponential(0.3, 4000))], 1)
+    x[np.flatnonzero(y)[:5], 1] = 1400  # some far out
+    a, b = toxicity._logistic(x, y)
+    assert np.isfinite([a, b]).all() and a < 0 < b
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 40_000])
 def test_streams_round_trip(n):
     text = "".join(random.Random(n).choice("aé漢 \n") for _ in range(n))[: n or None] if n else None

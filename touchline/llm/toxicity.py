@@ -124,8 +124,8 @@ def _features(model: Model, n: np.ndarray, found: list[list[float]]) -> np.ndarr
     for i, scores in enumerate(found):
         if len(scores):
             r = np.arange(1, len(scores) + 1)
-            e = model.k * max(int(n[i]), 1) * np.exp(-model.lam * (np.sort(scores)[::-1] - min(scores)))
-            out[i, 1] = np.sqrt(np.where(r > e, r * np.log(r / e) - r + e, 0).max())
+            ln_e = math.log(model.k * max(int(n[i]), 1)) - model.lam * (np.sort(scores)[::-1] - min(scores))  # E itself can be too small for a double
+            out[i, 1] = np.sqrt(np.where(np.log(r) > ln_e, r * (np.log(r) - ln_e) - r + np.exp(np.minimum(ln_e, np.log(r))), 0).max())
     return out
 
 
@@ -165,11 +165,14 @@ def _gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton steps of a logistic fit with a weak Gaussian prior; with one class only the prior's zero slope and its rate."""
+    """Newton steps of a logistic fit with a weak Gaussian prior, each halved until the loss doesn't grow."""
     w = np.zeros(x.shape[1])
+    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + 5e-3 * w @ w
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (y - p) - 1e-2 * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() >= 1e-9:
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
