@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,13 +77,19 @@ def test_blocks_lose_no_link(percent):
     (piece,) = tb.pieces(texts)
     with np.errstate(over="ignore"):
         grams, begins = J.sets_of(piece, 3)
-        keys, whose = J.block_keys(grams, begins, percent)
-    own = [set(keys[whose == i].tolist()) for i in range(len(rows))]
+        found = J.block_keys(grams, begins, percent)
+    own = [set(found.keys[found.whose == i].tolist()) for i in range(len(rows))]
+    often = Counter(found.keys.tolist())
+    rare = []
+    for i in range(len(rows)):  # what is left of each class without the most frequent keys
+        of = {c: sorted((found.whose == i).nonzero()[0][found.cls[found.whose == i] == c], key=lambda k: (often[int(found.keys[k])], int(found.keys[k]))) for c in set(found.cls[found.whose == i].tolist())}
+        rare.append({int(found.keys[k]) for ks in of.values() for k in ks[: len(ks) - int(found.drop[ks[0]])]})
     sets = [set(grams[begins[i] : begins[i + 1]].tolist()) for i in range(len(rows))]
     for i in range(len(rows)):
         for j in range(i):
             if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 assert own[i] & own[j]
+                assert rare[i] & rare[j]
 
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])

@@ -4,10 +4,11 @@ How it scales
 1. A task turns each document into the sorted set of its n-gram hashes and keeps only the set's size, a 64-bit signature
    and block keys. Documents with equal sets are one node from here on, so copies cost nothing.
 2. Block keys follow the pigeonhole principle: two sets of at most U n-grams each that are alike differ in at most
-   H = 2U(100-percent)/(100+percent) n-grams. Each set is cut by hash into more than H parts, so one part (and one that is
-   not empty) is the same in both. A key is the hash of a whole part, some 6 to 9 n-grams, so a passage that very many
-   documents share does not bring them together.
-3. Nodes that share a key are tied to the smallest of them; connected components of these ties are the candidate groups.
+   H = 2U(100-percent)/(100+percent) n-grams. Each set is cut by hash into some H + H/4 parts, and a key is the hash of a
+   whole part. At most H keys of a set are missing in a set that is like it, so both have one of the H + 1 keys that are
+   rarest in the corpus (prefix filtering). Only these count: a passage that very many documents share gives frequent keys,
+   which does not bring them together.
+3. Nodes that share such a key are tied to the smallest of them; connected components of these ties are the candidate groups.
 4. A group's documents are read again, and their sets meet in one task as a prefix-tree (trie) join: the sets, in one
    global order, are stored in a path-compressed trie; a set is matched against it from the root, so the overlap of a shared
    path is counted once, and a subtree is left as soon as the remaining lengths cannot reach the needed overlap.
@@ -19,10 +20,12 @@ No link is lost at any step; the only hashing is that of n-grams to 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -36,17 +39,15 @@ CHUNK_GRAMS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 
 
-def size_classes(most: int = 1 << 40) -> np.ndarray:
-    """Lower bounds of the classes of set sizes; each spans a factor of 1.5."""
-    out = [1]
+@cache
+def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
+    """Lower bounds of the classes of set sizes; each spans a factor of 1.25, or as much as sizes of sets that are alike can differ."""
+    out, wide = [1], min(percent, 80)
     while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(max(out[-1] + 1, out[-1] * 100 // wide))
     return np.array(out, np.int64)
 
 
-CLASSES = size_classes()
-
-
 def sets_of(piece: tb.Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of all documents of a piece, one after another, and where each document begins."""
     w = tb.words(piece, lower=True)
@@ -72,20 +73,27 @@ def signatures(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, tb.mix(sums[begins[1:]] - sums[begins[:-1]] + sizes), np.uint64(0))
 
 
-def block_keys(grams: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys of the sets, and the set of each. A set has keys of its size class, and of the next one if a set of that
-    class can be like it. An empty part gives a key only in the rare set that has too few other parts."""
-    sizes = np.diff(begins)
-    own = np.searchsorted(CLASSES, sizes, "right") - 1
-    keys, whose = [], []
+class Keys(NamedTuple):
+    """Block keys, the set of each, its size class, and how many of the most frequent keys of that set and class don't count."""
+
+    keys: np.ndarray
+    whose: np.ndarray
+    cls: np.ndarray
+    drop: np.ndarray
+
+
+def block_keys(grams: np.ndarray, begins: np.ndarray, percent: int) -> Keys:
+    """Block keys of the sets. A set has keys of its size class, and of the next one if a set of that class can be like it. An empty
+    part gives a key only in the rare set that has too few other parts; all keys of such a set count."""
+    sizes, classes = np.diff(begins), size_classes(percent)
+    own = np.searchsorted(classes, sizes, "right") - 1
+    found = [Keys(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
     for step in (0, 1):
-        use = np.flatnonzero((sizes > 0) & (sizes * 100 >= percent * CLASSES[own + step] * (step > 0)))
-        if not len(use):
-            continue
+        use = np.flatnonzero((sizes > 0) & (sizes * 100 >= percent * classes[own + step] * (step > 0)))
         cls = own[use] + step
-        most = 2 * (CLASSES[cls + 1] - 1) * (100 - percent) // (100 + percent)
-        parts = most + 3 + most // 16
-        use, cls, parts, most = (x[most > 0] for x in (use, cls, parts, most))
+        most = 2 * (classes[cls + 1] - 1) * (100 - percent) // (100 + percent)
+        use, cls, most = (x[most > 0] for x in (use, cls, most))
+        parts = most + 3 + most // 4
         if not len(use):
             continue
         lens = sizes[use]
@@ -98,14 +106,11 @@ def block_keys(grams: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np.
         full = np.bincount(slot, minlength=len(total)) > 0
         owner = np.repeat(np.arange(len(use)), parts)
         number = np.arange(len(total)) - base[owner]
-        few = np.add.reduceat(full, base, dtype=np.int64) <= most
-        full |= few[owner]
+        n = np.add.reduceat(full, base, dtype=np.int64)
+        full |= (n <= most)[owner]
         label = (cls[owner] * 1_000_003 + number).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        keys.append(tb.mix(total + label)[full])
-        whose.append(use[owner][full])
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(whose)
+        found.append(Keys(tb.mix(total + label)[full], use[owner][full], cls[owner][full], np.maximum(n - most - 1, 0)[owner][full]))
+    return Keys(*map(np.concatenate, zip(*found, strict=True)))
 
 
 class Trie:
@@ -212,16 +217,17 @@ def _scan(n: int, percent: int):
             for piece in tb.pieces(batch.column("text")):
                 with np.errstate(over="ignore"):
                     grams, begins = sets_of(piece, n)
-                    keys, whose = block_keys(grams, begins, percent)
+                    found = block_keys(grams, begins, percent)
                     sigs = signatures(grams, begins)
-                order = np.argsort(whose, kind="stable")
-                at = np.searchsorted(whose[order], np.arange(piece.n + 1)).astype(np.int32)
+                order = np.argsort(found.whose, kind="stable")
+                at = np.searchsorted(found.whose[order], np.arange(piece.n + 1)).astype(np.int32)
+                parts = pa.StructArray.from_arrays([pa.array(found.keys[order].view(np.int64)), pa.array(found.cls[order], pa.int32()), pa.array(found.drop[order], pa.int32())], ["key", "cls", "drop"])
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(piece.first, piece.n),
                         "n_shingles": pa.array(np.diff(begins).astype(np.int64)),
                         "node": pa.array(sigs.view(np.int64)),
-                        "keys": pa.ListArray.from_arrays(pa.array(at), pa.array(keys[order].view(np.int64))),
+                        "keys": pa.ListArray.from_arrays(pa.array(at), parts),
                     }
                 )
 
@@ -270,10 +276,16 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     and component of its own text. An empty table gives an empty result; other columns of ``docs`` are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = stage(docs.mapInArrow(_scan(n, percent), "doc_id long, n_shingles long, node long, keys array<long>"), "ngram-keys")
-    keyed = scanned.where("n_shingles > 0").select(F.explode("keys").alias("key"), "node")
-    shared = stage(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low"), "ngram-shared")
-    ties = keyed.join(small_or_shuffled(shared, shared.count(), BROADCAST_ROWS), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    scanned = stage(docs.mapInArrow(_scan(n, percent), "doc_id long, n_shingles long, node long, keys array<struct<key:long,cls:int,drop:int>>"), "ngram-keys")
+    keyed = scanned.where("n_shingles > 0").select("node", F.inline("keys"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
+    shared = stage(shared.select("key", "n"), "ngram-shared")
+    held = keyed.join(small_or_shuffled(shared, shared.count(), BROADCAST_ROWS), "key").distinct()
+    common = F.row_number().over(Window.partitionBy("node", "cls").orderBy(F.col("n").desc(), F.col("key").desc()))
+    held = stage(held.withColumn("common", common).where("common > drop").select("key", "node"), "ngram-held")
+    lows = held.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    lows = stage(lows, "ngram-lows")
+    ties = held.join(small_or_shuffled(lows, lows.count(), BROADCAST_ROWS), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     groups = stage(components(ties).select("node", F.col("component").alias("grp")), "ngram-groups")
     chosen = scanned.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(groups, "node")
     chunked = chosen.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK), F.sum("n") / F.lit(CHUNK_GRAMS))).cast("int").alias("chunks"))
