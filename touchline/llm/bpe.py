@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: words whose ids a task remembers; beyond that it starts anew with the next document
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def default_vocabulary() -> str:
