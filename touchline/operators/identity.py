@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import team_key
 
@@ -71,7 +72,7 @@ def nearest(rows: DataFrame, candidates: DataFrame, key: str, at: str, id_: str)
     return both.select(F.col("rid").alias(id_), key, pick["id"].alias("nearest_id"), pick["v"].alias("nearest_value"), (F.when(F.col("after").isNotNull() & later, gap("after")).otherwise(gap("before")) / 1000000).alias("gap_s"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, which Spark has no function for; nulls have none."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])

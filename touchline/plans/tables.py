@@ -90,20 +90,20 @@ KEPT = "match_id:l hg:l source:s"
 #: fixed values: target, key and order of preference of each deduplication policy (Spark, SQL)
 POLICIES = {
     "historical_merge": (["match_id"], ["source"], "match_id", "source"),
-    "historical_ingestion": (["match_id"], [F.expr("case when source = 'manual' then 0 else 1 end"), F.expr("-unix_date(updated)")], "match_id", "source DESC, updated DESC"),
-    "completed_results": (["match_id"], [F.expr("-unix_date(updated)")], "match_id", "updated DESC"),
-    "results_import": (["match_id"], [F.expr("-unix_date(updated)"), "source"], "match_id", "updated DESC, source"),
-    "backtest_pool": ([F.expr("concat_ws(':', match_date, least(home, away), greatest(home, away))")], [F.expr("case when source = 'manual' then 0 else 1 end"), "match_id", "hg"], "match_date, least(home, away), greatest(home, away)", "source DESC, match_id, hg"),
-    "fixtures": ([F.expr("concat_ws(':', match_date, home, away)")], [F.expr("case when source = 'feed' then 0 else 10 end"), "match_id"], "match_date, home, away", "source, match_id"),
-    "learning_ledger": (["match_id"], [F.expr("-unix_date(updated)")], "match_id", "updated DESC"),
-    "market_mapping": (["home", "away"], [F.expr("case when source = 'manual' then 0 else 1 end"), F.expr("-unix_date(match_date)"), F.expr("-match_id")], "home, away", "source DESC, match_date DESC, match_id DESC"),
-    "market_cache": (["home", "away"], [F.expr("-unix_date(updated)"), F.expr("-match_id"), "source"], "home, away", "updated DESC, match_id DESC, source"),
+    "historical_ingestion": (["match_id"], ["case when source = 'manual' then 0 else 1 end", "-unix_date(updated)"], "match_id", "source DESC, updated DESC"),
+    "completed_results": (["match_id"], ["-unix_date(updated)"], "match_id", "updated DESC"),
+    "results_import": (["match_id"], ["-unix_date(updated)", "source"], "match_id", "updated DESC, source"),
+    "backtest_pool": (["concat_ws(':', match_date, least(home, away), greatest(home, away))"], ["case when source = 'manual' then 0 else 1 end", "match_id", "hg"], "match_date, least(home, away), greatest(home, away)", "source DESC, match_id, hg"),
+    "fixtures": (["concat_ws(':', match_date, home, away)"], ["case when source = 'feed' then 0 else 10 end", "match_id"], "match_date, home, away", "source, match_id"),
+    "learning_ledger": (["match_id"], ["-unix_date(updated)"], "match_id", "updated DESC"),
+    "market_mapping": (["home", "away"], ["case when source = 'manual' then 0 else 1 end", "-unix_date(match_date)", "-match_id"], "home, away", "source DESC, match_date DESC, match_id DESC"),
+    "market_cache": (["home", "away"], ["-unix_date(updated)", "-match_id", "source"], "home, away", "updated DESC, match_id DESC, source"),
     "pdf_backfill": (["home", "away", "hg", "ag"], ["updated", "match_id", "source"], "home, away, hg, ag", "updated, match_id, source"),
-    "aliases": (["home"], [F.expr("-match_id"), "source"], "home", "match_id DESC, source"),
+    "aliases": (["home"], ["-match_id", "source"], "home", "match_id DESC, source"),
 }
 for _name, (_keys, _order, _by, _sort) in POLICIES.items():
     query(f"dedup_{_name}", KEPT, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_by} ORDER BY {_sort}) AS place FROM ({REPEATS})) WHERE place = 1")(
-        lambda t, keys=_keys, order=_order: D.keep_one(with_repeats(t), keys, order)
+        lambda t, keys=_keys, order=_order: D.keep_one(with_repeats(t), [*map(F.expr, keys)], [*map(F.expr, order)])
     )
 
 

@@ -19,7 +19,11 @@ DDL = {
     "results_ledger": "match_id string, date_utc date, competition string, home string, away string, home_goals int, away_goals int, actual_result string, total_goals int, btts_actual int, over_0_5_actual int, over_1_5_actual int, over_2_5_actual int, over_3_5_actual int, actual_advancing_team string, result_semantics string, result_source string, last_updated string, evaluation_eligible_1x2 boolean, had_extra_time boolean, had_penalties boolean, penalties_home int, penalties_away int",
     "model_parameter_sets": "parameter_set_id string, base_total_goals double, elo_xg_weight double, attack_weight double, defense_weight double, draw_inflation_factor double, favorite_strength_scale double, underdog_resistance_scale double, external_prior_weight double, rating_gap_to_xg_scale double, goal_correlation_adjustment double, notes string",
 }
-SCHEMAS = {name: T.StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+
+
+def schema_of(table: str) -> T.StructType:
+    """A table's schema; Spark parses it, so there must be a session."""
+    return T.StructType.fromDDL(DDL[table])
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

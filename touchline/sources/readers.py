@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schemas import SCHEMAS, conform
+from ..schemas import conform, schema_of
 
 
 def read_csv(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
@@ -21,7 +21,7 @@ def read_csv(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, Dat
     wide = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns] + [T.StructField("_corrupt_record", T.StringType())])
     rows = spark.read.schema(wide).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
     bad = rows.where("_corrupt_record is not null").select("_corrupt_record")
-    return conform(rows.where("_corrupt_record is null").drop("_corrupt_record"), SCHEMAS[table]), bad
+    return conform(rows.where("_corrupt_record is null").drop("_corrupt_record"), schema_of(table)), bad
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -93,7 +93,7 @@ class MatchFiles(DataSource):
         return "match_files"
 
     def schema(self) -> T.StructType:
-        return SCHEMAS["fixtures"]
+        return schema_of("fixtures")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return MatchFilesReader(self.options, schema)
