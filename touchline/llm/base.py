@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+#: rows of an Arrow batch, where the session keeps Spark's default of 10 000: that many long texts, several times over, are too much for a worker
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this library from where the driver has it, if they are not told already."""
+    """Let Python workers import this library from where the driver has it, if they are not told already, and keep their batches small."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))

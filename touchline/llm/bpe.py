@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: words whose ids a task remembers; beyond that it starts anew with the next document
-REMEMBERED = 100_000
+REMEMBERED = 400_000
+#: rows whose results a task holds at once
+ROWS = 256
 
 
 def default_vocabulary() -> str:
@@ -47,14 +49,13 @@ class Known(dict):
 
 
 class Bpe:
-    """Encoder and decoder of one vocabulary file (its JSON text)."""
+    """Encoder of one vocabulary file (its JSON text)."""
 
     def __init__(self, source: str):
         spec = json.loads(source)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
-        self.strings = {i: s for s, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.literal = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
@@ -113,17 +114,26 @@ class Bpe:
         parts = self.literal.split(text)
         return b"".join(np.array([self.added[x]], "<u4").tobytes() if x in self.added else self._plain(x) for x in parts if x)
 
+
+class Strings:
+    """What decoding needs of a vocabulary file: the string of each id."""
+
+    def __init__(self, source: str):
+        spec = json.loads(source)
+        self.strings = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[int, Bpe] = {}
+_loaded: dict[tuple, Bpe | Strings] = {}
 
 
-def _bpe(source) -> Bpe:
-    if (key := hash(source.value)) not in _loaded:
+def _made(kind: type, source):
+    """The encoder or decoder of a vocabulary, made once in a worker."""
+    if (key := (kind.__name__, hash(source.value))) not in _loaded:
         _loaded.clear()
-        _loaded[key] = Bpe(source.value)
+        _loaded[key] = kind(source.value)
     return _loaded[key]
 
 
@@ -142,9 +152,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     source = _source(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(source)
+        bpe = _made(Bpe, source)
         for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array([bpe.encode(x.as_py() or "") for x in batch.column("text")], pa.binary())})
+            for at in range(0, len(batch), ROWS):
+                rows = batch.slice(at, ROWS)
+                yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": pa.array([bpe.encode(x.as_py() or "") for x in rows.column("text")], pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -155,9 +167,11 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     source = _source(encoded, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(source)
+        strings = _made(Strings, source)
         for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "text": pa.array([bpe.decode(x.as_py() or b"") for x in batch.column("ids")], pa.string())})
+            for at in range(0, len(batch), ROWS):
+                rows = batch.slice(at, ROWS)
+                yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "text": pa.array([strings.decode(x.as_py() or b"") for x in rows.column("ids")], pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
