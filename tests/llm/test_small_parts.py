@@ -41,7 +41,7 @@ def test_toxicity_without_a_toxic_label(spark):
 
 
 def test_very_toxic_long_documents_keep_scores_finite():
-    model = toxicity.Model(np.zeros(1), 1.0, 1e-3, (0.0, 0.0))
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(toxicity.MAP, bool), 1.0, 1e-3, 1.5, (0.0, 0.0))
     x = toxicity._features(model, np.array([10, 2_000_000, 0]), [[1.5], [1.5] + [5000.0] * 400, []])
     assert np.isfinite(x).all() and x[1, 1] > x[0, 1] > x[2, 1] == 0
     r = np.random.default_rng(1)

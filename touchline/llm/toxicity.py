@@ -1,12 +1,13 @@
 """Toxicity by maximum-scoring segments: log-odds of tokens, all significant passages, extreme-value calibration.
 
-Learning. Tokens are words and how words begin (prefixes of a few lengths, for inflected and compound forms). From labelled
+Learning. Of near copies with one label about one counts (rows of equal smallest hash of a window of words): the words of a copied text
+are no independent evidence. Tokens are words and how words begin (prefixes of a few lengths, for inflected and compound forms). From labelled
 documents, each one's log-odds between toxic and other documents, counted once a document, are taken with an informative Dirichlet
-prior (its frequency in both), together with their variance. A word scores as the best of its tokens whose log-odds are sure;
-all others get the same small negative score, so a passage ends where toxic words stop.
+prior (its frequency in both), together with their variance. A token whose log-odds are sure scores their lower confidence bound, and a
+word the best of its tokens; all others get the same small negative score, so a passage ends where toxic words stop.
 Scanning. The linear-time algorithm of Ruzzo and Tompa finds all maximal-scoring segments of a document's token scores.
 Calibration. By extreme-value theory (Karlin and Altschul) the number of segments that score S or more by chance in a document of N
-tokens is Poisson with mean K N exp(-lambda S); K and lambda are estimated on the other documents. How unlikely the best r segments are,
+tokens is Poisson with mean K N exp(-lambda (S - S0)); K, lambda and the lowest score S0 are estimated on the other documents. How unlikely the best r segments are,
 for the r that is the most so, is then turned into a probability by a logistic fit.
 """
 
@@ -23,17 +24,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textblocks as tb
+from .base import cut
 
 #: labelled rows that learning uses at most; those with the lowest hash of doc_id
 LABELLED = 40_000
-#: tokens are counted by hash in so many buckets, so the table of scores is bounded
-BUCKETS = 1 << 20
+#: tokens are counted by hash in so many buckets; so many that words of other documents seldom fall into those that score
+BUCKETS = 1 << 32
+#: of the lowest bits of a bucket there is a map, to pass over most that don't score
+MAP = 1 << 20
 #: weight of the prior, in counts; standard errors that log-odds must be above 0, and how large at least; documents a token must be in
 PRIOR, SURE, LARGE, SEEN = 500.0, 3.3, 1.5, 5
+#: the bound that a sure token scores lies so many standard errors below its log-odds
+BOUND = 1.64
 #: what each token has of the prior besides its share by frequency
 FLAT = 0.5
 #: bytes of the prefixes that count as tokens besides whole words
 PREFIXES = (4, 5, 6, 7)
+#: words of a window, for the hash that near copies mostly share
+SHINGLE = 5
 #: score of all tokens that aren't sure
 DRIFT = -0.2
 #: a segment is significant if fewer than so many as good are expected in a document by chance
@@ -41,11 +49,14 @@ EXPECTED = 0.05
 
 
 class Model(NamedTuple):
-    """score of each bucket (DRIFT if not sure); lambda and K; logistic coefficients."""
+    """Buckets that are sure, in order, the score of each, and the map of them; lambda, K and S0; logistic coefficients."""
 
+    buckets: np.ndarray
     scores: np.ndarray
+    known: np.ndarray
     lam: float
     k: float
+    low: float
     fit: tuple[float, ...]
 
 
@@ -89,6 +100,20 @@ def _tokens(piece: tb.Piece) -> tuple[tb.Words, list[tuple[np.ndarray, np.ndarra
     return w, [(own, (h % np.uint64(BUCKETS)).astype(np.int64)) for own, h in kinds]
 
 
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest hash of a window of SHINGLE words, or of a word where there are fewer; 0 without words."""
+    for batch in batches:
+        for piece in tb.pieces(batch.column("text")):
+            with np.errstate(over="ignore"):
+                w = tb.words(piece, tb.ALNUM, lower=True)
+                first, grams = tb.windows(w, SHINGLE)
+            short = w.counts[w.doc] < SHINGLE
+            least = np.full(piece.n, np.iinfo(np.uint64).max)
+            np.minimum.at(least, np.concatenate([w.doc[first], w.doc[short]]), np.concatenate([grams, w.hashes[short]]))
+            rest = batch.slice(piece.first, piece.n)
+            yield pa.record_batch({"doc_id": rest.column("doc_id"), "toxic": rest.column("toxic"), "sign": pa.array(np.where(w.counts > 0, least, np.uint64(0)).view(np.int64))})
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch and bucket: documents of either class that have it."""
     for batch in batches:
@@ -107,7 +132,10 @@ def _best(model: Model, w: tb.Words, kinds: list[tuple[np.ndarray, np.ndarray]],
     """Of each document: score of the best segment, tokens, and the segments (word positions) if it has a word above 0."""
     score = np.full(len(w.doc), DRIFT)
     for own, bucket in kinds:
-        score[own] = np.maximum(score[own], model.scores[bucket])
+        maybe = np.flatnonzero(model.known[bucket % MAP])
+        at = np.searchsorted(model.buckets, bucket[maybe])
+        maybe, at = (x[(at < len(model.buckets)) & (model.buckets[np.minimum(at, len(model.buckets) - 1)] == bucket[maybe])] for x in (maybe, at))
+        score[own[maybe]] = np.maximum(score[own[maybe]], model.scores[at])
     ends = np.cumsum(w.counts)
     best, found = np.zeros(n), [[] for _ in range(n)]
     for d in np.unique(w.doc[score > 0]).tolist():
@@ -124,7 +152,7 @@ def _features(model: Model, n: np.ndarray, found: list[list[float]]) -> np.ndarr
     for i, scores in enumerate(found):
         if len(scores):
             r = np.arange(1, len(scores) + 1)
-            ln_e = math.log(model.k * max(int(n[i]), 1)) - model.lam * (np.sort(scores)[::-1] - min(scores))  # E itself can be too small for a double
+            ln_e = math.log(model.k * max(int(n[i]), 1)) - model.lam * (np.sort(scores)[::-1] - model.low)  # E itself can be too small for a double
             out[i, 1] = np.sqrt(np.where(np.log(r) > ln_e, r * (np.log(r) - ln_e) - r + np.exp(np.minimum(ln_e, np.log(r))), 0).max())
     return out
 
@@ -146,7 +174,7 @@ def _scan(shared, spans: bool, carry: bool = False):
                     first = np.cumsum(w.counts) - w.counts
                     rows = []
                     for d, segs in enumerate(found):
-                        limit = (math.log(max(int(n[d]), 1) * model.k) - math.log(EXPECTED)) / model.lam + min((s for s, _, _ in segs), default=0.0)
+                        limit = (math.log(max(int(n[d]), 1) * model.k) - math.log(EXPECTED)) / model.lam + model.low
                         at = piece.offsets[d]
                         rows.append([{"begin": int(w.starts[first[d] + b] - at), "end": int(w.ends[first[d] + e - 1] - at), "score": s} for s, b, e in segs if s >= limit])
                     out |= {"score": pa.array(p), "passages": pa.array(rows, pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64(), "score": pa.float64()})))}
@@ -155,13 +183,13 @@ def _scan(shared, spans: bool, carry: bool = False):
     return run
 
 
-def _gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """lambda and K from the best scores of documents that aren't toxic: K from how often there is a segment a token, lambda from the
+def _gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """lambda, K and S0 from the best scores of documents that aren't toxic: K from how often there is a segment a token, lambda from the
     mean excess of these scores over the lowest of them."""
     hit = best[best > 0]
     k = (len(hit) + 1) / max(float(n.sum()), 1.0)
     excess = float((hit - hit.min()).mean()) if len(hit) > 1 else 1.0
-    return 1 / max(excess, 0.1), k
+    return 1 / max(excess, 0.1), k, float(hit.min()) if len(hit) else 0.0
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -181,11 +209,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     """Learn from ``labels`` (doc_id, toxic 0 or 1; null: left out) of documents whose crc32 fold of 5 is not 0. At most ``labelled`` of
-    these rows count, those with the lowest hash of doc_id; only their texts go through the token counts. Without any toxic label
+    these rows count, those with the lowest hash of doc_id, and about one of near copies; only their texts go through the token counts. Without any toxic label
     all scores come out below 0.5. Repeated labels of a doc_id: toxic if any is."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id"), 5) != 0)
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = train.join(F.broadcast(chosen), "doc_id").mapInArrow(_sign, "doc_id long, toxic int, sign long")
+    chosen = cut(signed.groupBy("sign", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct())
+    train = train.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     counts = train.mapInArrow(_count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
     n0, n1 = (float(x or 0) for x in counts.agg(F.sum("n0"), F.sum("n1")).first())
     prior = (F.col("n0") + F.col("n1")) / F.lit(max(n0 + n1, 1.0)) * F.lit(PRIOR) + F.lit(FLAT)
@@ -193,18 +224,19 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     odds = lambda n, total: F.log((F.col(n) + prior) / (F.lit(total + weight) - F.col(n) - prior))
     delta = odds("n1", n1) - odds("n0", n0)
     spread = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    sure = counts.where(F.col("n1") >= SEEN).select("bucket", delta.alias("delta"), (delta / spread).alias("z")).where((F.col("z") >= SURE) & (F.col("delta") >= LARGE))
-    scores = np.full(BUCKETS, DRIFT)
-    for r in sure.collect() if n1 else []:  # BUCKETS rows at most
-        scores[r["bucket"]] = r["delta"]
+    sure = counts.where(F.col("n1") >= SEEN).select("bucket", delta.alias("delta"), spread.alias("spread")).where((F.col("delta") >= F.col("spread") * SURE) & (F.col("delta") >= LARGE))
+    found = sure.select("bucket", (F.col("delta") - F.col("spread") * BOUND).alias("score")).orderBy("bucket").toArrow()  # tokens of SEEN or more of the `labelled` rows
+    buckets, scores = (found.column(c).to_numpy() for c in ("bucket", "score"))
+    known = np.zeros(MAP, bool)
+    known[buckets % MAP] = True
     counts.unpersist()
-    model = Model(scores, 1.0, 1e-3, (0.0, 0.0))
+    model = Model(buckets, scores, known, 1.0, 1e-3, 0.0, (0.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     seen = train.mapInArrow(_scan(shared, False), "toxic int, best double, n long, scores array<double>").toArrow()  # `labelled` rows at most
     y, best, n = (seen.column(c).to_numpy() for c in ("toxic", "best", "n"))
     scores = seen.column("scores").to_pylist()
-    lam, k = _gumbel(best[y == 0], n[y == 0])
-    model = model._replace(lam=lam, k=k)
+    lam, k, low = _gumbel(best[y == 0], n[y == 0])
+    model = model._replace(lam=lam, k=k, low=low)
     if not (y == 1).any():
         return model._replace(fit=(-5.0, 0.0))
     x = _features(model, n, scores)
