@@ -110,6 +110,26 @@ def test_licences_and_inheritance(spark):
     assert got[5] == got[9] == (None, None, None) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("n", [200, 2000, 20_000])
+def test_licences_among_other_words(spark, monkeypatch, n):
+    apache, mit = "Apache-2.0", "MIT"
+    rows = [
+        (1, "Copyright 2020 Acme. Released under the MIT License.", mit),
+        (2, "# Released under the MIT License by Acme", mit),
+        (3, 'Copyright (c) 2021 Foo Inc. Licensed under the Apache License, Version 2.0 (the "License");', apache),
+        (4, "// Copyright (c) 2021 Foo Inc.\n// Licensed under the Apache\n// License, Version 2.0 (the License)\nint x;", apache),
+        (5, licenses.TEMPLATES["MIT-text"] + " and associated documentation files, to deal in the software without restriction", "MIT-text"),
+        (6, "she was released under the bridge with a license to fish", None),
+        (7, "the terms of this work and of the library are in the file", None),
+    ]
+    filler = spark.range(100, 100 + n).select(F.col("id").alias("file_id"), F.concat(F.lit("x/f"), "id").alias("path"), F.concat(F.lit("the file of the work by "), F.col("id").cast("string")).alias("text"))
+    files = spark.createDataFrame([(i, f"d{i}/a", t) for i, t, _ in rows], "file_id long, path string, text string").unionByName(filler)
+    for limit in (licenses.BROADCAST_ROWS, 0) if n == 200 else (licenses.BROADCAST_ROWS,):
+        monkeypatch.setattr(licenses, "BROADCAST_ROWS", limit)
+        got = {r.file_id: r.own for r in licenses.scan(files).where("file_id < 100 or own is not null").collect()}
+        assert got == {i: own for i, _, own in rows}
+
+
 def test_schedule_gives_each_block_once_and_evenly(spark):
     blocks = [700, 0, 40, 1300, 3]
     rows = [(i, n, sum(blocks[:i])) for i, n in enumerate(blocks)]

@@ -1,4 +1,4 @@
-"""Licence scans: TF-IDF cosine of files' lines to licence templates, then inheritance from the nearest ancestor directory."""
+"""Licence scans: TF-IDF cosine of files' lines and windows to licence templates, then inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stage
+from .base import small_or_shuffled, stage
 
 #: fixed texts: the sentences by which files declare a licence
 TEMPLATES = {
@@ -24,8 +24,10 @@ TEMPLATES = {
     "Proprietary": "All rights reserved. Unauthorized copying of this file is strictly prohibited",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
-#: cosine at which a line declares a licence
+#: cosine at which a line or window declares a licence
 COSINE = 0.8
+#: a table of at most so many rows of words or candidates is broadcast, a larger one is shuffled
+BROADCAST_ROWS = 200_000
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -33,51 +35,72 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def _squares(words: Column, have: Column) -> Column:
+    """Sum of squared weights of a template's words (array of word, square) that are in ``have``: cosines are at most its root."""
+    return F.aggregate(F.filter(words, lambda x: F.array_contains(have, x["word"])), F.lit(0.0), lambda acc, x: acc + x["square"])
+
+
+def _candidates(files: DataFrame, shapes: DataFrame, known: Column, rare: list[str], least: float) -> DataFrame:
+    """file_id, license, content (words, one space between) of every line and window that can reach the template's cosine."""
+    near = files.where(F.lower("text").rlike("|".join(map(re.escape, rare))) if rare else F.lit(False))
+    near = near.select("file_id", "text", _words(F.col("text")).alias("words")).withColumn("have", F.array_intersect("words", known))
+    near = near.join(F.broadcast(shapes), F.arrays_overlap("have", "rare")).where(_squares(F.col("squares"), F.col("have")) >= least)
+    enough = lambda ws: _squares(F.col("squares"), ws) >= least
+    last, n = F.size("words"), F.col("n_words")
+    anchors = F.filter(F.sequence(F.lit(0), last - 1), lambda i: F.array_contains("rare", F.get("words", i)))
+    starts = F.array_distinct(F.flatten(F.transform(anchors, lambda i: F.sequence(F.greatest(i - n + 1, F.lit(0)), F.least(i, F.greatest(last - n, F.lit(0)))))))
+    windows = F.filter(F.transform(starts, lambda i: F.slice("words", i + 1, n)), enough)
+    lines = F.filter(F.transform(F.split("text", "\n", -1), _words), enough)
+    return near.select("file_id", "license", F.explode(F.array_distinct(F.transform(F.concat(windows, lines), lambda ws: F.array_join(ws, " ")))).alias("content"))
+
+
 def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
     """``files``: file_id, path, text. Returns file_id, path, own (the licence that the file declares, or null), own_cosine, license and
     license_from: its own and "file", or that of the nearest ancestor directory with a licence file and the directory's path, or nulls.
 
-    Every line of the whole text is a header candidate. Its words and a template's are weighted by their count times
-    ln((1 + N) / (1 + n)) with n of all N files having the word; words of no template count by ln(1 + N), so a sentence about
-    something else that has a template's words is far from it. A file declares the licence of its line with the highest cosine of
-    at least ``cosine`` (ties: the first by name). A licence file is one named LICENSE, LICENCE or COPYING (any suffix); if a
-    directory has several, the smallest path counts. Null texts and paths declare and inherit nothing; an empty table gives an empty
-    one. file_ids are unique; extra columns are not looked at.
+    Candidates are every line of the whole text, and for each template every window of as many words as it has, over the joined
+    lines: so neither words before or after a declaration nor a line break or comment mark within hide it. Words of candidates and
+    templates are weighted by their count times ln((1 + N) / (1 + n)) with n of all N files having the word, whichever word it is. A
+    file declares the licence of its candidate with the highest cosine of at least ``cosine`` (ties: the first by name). A licence
+    file is one named LICENSE, LICENCE or COPYING (any suffix); if a directory has several, the smallest path counts. Null texts and
+    paths declare and inherit nothing; an empty table gives an empty one. file_ids are unique; extra columns are not looked at.
 
-    Only lines that have a word of high weight in some template go on, and a word there meets templates by a join; the table of
-    template words is fixed and small, so it is broadcast. Ancestors are an equi-join on directory paths: a file brings as many rows
-    as its path has directories, and the nearest one is a max.
+    A candidate's cosine is at most the norm of the template's words that it has, so only those where this reaches ``cosine`` go
+    on. Equal candidates are scored once, and meet the document frequencies of their words by a join; the table of template words is
+    fixed and small, so it is broadcast. Ancestors are an equi-join on directory paths: a file brings as many rows as its path has
+    directories, and the nearest one is a max.
     """
     templates = templates or TEMPLATES
     spark = files.sparkSession
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     counted = {k: re.findall(WORD, v.lower()) for k, v in templates.items()}
     vocabulary = sorted({w for v in counted.values() for w in v})
-    known = F.array(*map(F.lit, vocabulary))
     total = files.count()
-    seen = files.select(F.explode(F.array_intersect(_words(F.col("text")), known)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    n = {r["word"]: r["n"] for r in seen.collect()}  # as many rows as the templates have words
+    seen = stage(files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "license-words")
+    n = {r["word"]: r["n"] for r in seen.where(F.col("word").isin(vocabulary)).collect()}  # as many rows as the templates have words
     idf = {w: math.log((1 + max(total, 1)) / (1 + n.get(w, 0))) for w in vocabulary}
-    weights, rare = [], set()
+    weights, shapes, least = [], [], cosine * cosine - 1e-5  # cosines are rounded
     for name, ws in counted.items():
         tf = {w: ws.count(w) * idf[w] for w in ws}
         norm = math.sqrt(sum(x * x for x in tf.values())) or 1.0
         weights += [(name, w, x / norm) for w, x in sorted(tf.items())]
-        rest = 0.0  # a line without any of the heaviest words has a cosine below the norm of the others
+        rest, rare = 0.0, []  # a candidate without any of the heaviest words has a cosine below the norm of the others
         for w, x in sorted(tf.items(), key=lambda p: (p[1], p[0])):
             rest += (x / norm) ** 2
-            if rest >= cosine * cosine:
-                rare.add(w)
+            if rest >= least:
+                rare.append(w)
+        shapes.append((name, len(ws), rare, [(w, (x / norm) ** 2) for w, x in sorted(tf.items())]))
     table = spark.createDataFrame(weights, "license string, word string, weight double")
-    strange = math.log(1 + max(total, 1))
-    lines = files.select("file_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where(F.lower("content").rlike("|".join(map(re.escape, sorted(rare)))) if rare else F.lit(False))
-    lines = lines.withColumn("words", _words(F.col("content"))).where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(rare)))) if rare else F.lit(False))
-    counts = lines.select("file_id", "line", F.explode("words").alias("word")).groupBy("file_id", "line", "word").agg(F.count("*").alias("tf"))
-    weight = spark.createDataFrame([(w, x) for w, x in idf.items()], "word string, idf double")
-    counts = counts.join(F.broadcast(weight), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(strange)))
-    norms = counts.groupBy("file_id", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = counts.where("idf is not null").join(F.broadcast(table), "word").groupBy("file_id", "line", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["file_id", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= cosine)
+    shaped = spark.createDataFrame(shapes, "license string, n_words int, rare array<string>, squares array<struct<word:string,square:double>>")
+    candidates = stage(_candidates(files, shaped, F.array(*map(F.lit, vocabulary)), sorted({w for s in shapes for w in s[2]}), least), "license-candidates")
+    counts = candidates.select("license", "content").distinct().select("license", "content", F.explode(F.split("content", " ", -1)).alias("word"))
+    counts = counts.groupBy("license", "content", "word").agg(F.count("*").alias("tf"))
+    needed = stage(counts.select("word").distinct().join(seen, "word").select("word", F.log(F.lit(1.0 + max(total, 1)) / (1 + F.col("n"))).alias("idf")), "license-idf")
+    counts = counts.join(small_or_shuffled(needed, needed.count(), BROADCAST_ROWS), "word").withColumn("x", F.col("tf") * F.col("idf")).join(F.broadcast(table), ["license", "word"], "left")
+    scored = counts.groupBy("license", "content").agg(F.sum(F.col("x") * F.coalesce("weight", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    scored = scored.where("norm > 0").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= cosine)
+    scored = stage(scored.select("license", "content", "cosine"), "license-scored")
+    scored = candidates.join(small_or_shuffled(scored, scored.count(), BROADCAST_ROWS), ["license", "content"])
     best = scored.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("file_id", F.col("b.license").alias("own"), (-F.col("b.c")).alias("own_cosine"))
     own = stage(files.select("file_id", "path").join(best, "file_id", "left"), "license-own")
 
