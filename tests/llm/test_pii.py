@@ -93,3 +93,21 @@ def test_terms_as_counting(spark, monkeypatch):
             for a, b, put in marks:
                 text = text[:a] + put + text[b:]
             assert clean[d] == text
+
+
+def test_terms_anywhere(spark, monkeypatch):
+    """A term far from its entity is evidence, and goes wherever it is, also without the entity."""
+    far = " ".join(f"filler{i}" for i in range(20))
+    rows = [(i, f"The codename is Bluebird, and {far} mail a@b.example now") for i in range(5)]
+    rows += [(5, "Only bluebird. is here"), (6, "(bluebird) x"), (None, "null id with Bluebird!"), (7, "blue birds")]
+    rows += [(i, f"{far} plain text {i} the mail codename only here now") for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (pii.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(pii, "BROADCAST_TEXTS", limit)
+        found = pii.sanitise(docs).collect()
+        clean = {x.doc_id: x.text for x in pii.sanitised(docs).collect()}
+        assert len(found) == len(clean) == len(rows)
+        assert clean[0] == f"The codename is <term>, and {far} mail <email> now"
+        assert clean[5] == "Only <term>. is here" and clean[6] == "(<term>) x" and clean[None] == "null id with <term>!" and clean[7] == "blue birds"
+        assert all(clean[i] == t for i, t in rows if i and i >= 100)

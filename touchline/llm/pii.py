@@ -1,8 +1,9 @@
 """Personal data: patterns find protected entities, and corpus co-occurrence finds terms that disclose them.
 
-The second part is information-theoretic sanitisation. Over N documents, a term t near an entity e in n(t,e) documents has
+The second part is information-theoretic sanitisation. Over N documents, a term t that shares n(t,e) documents with an entity e has
 pointwise mutual information log(N n(t,e) / (n(t) n(e))) with it; the entity itself carries log(N / n(e)). A term whose share of that
-information reaches ``disclosure`` reveals the entity too much; it is generalised, or removed where it reveals all of it.
+information reaches ``disclosure`` reveals the entity too much; it is generalised, or removed where it reveals all of it, wherever it
+occurs: in documents without the entity, too.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-#: code points on either side of an entity in which terms are near it
+#: code points on either side of an entity that the tests look at; terms count in whole documents
 NEAR = 64
 #: code points of a term at least
 TERM = 4
-#: a term must be near the entity in so many documents: one or two are no evidence
+#: a term must share so many documents with the entity: one or two are no evidence
 SUPPORT = 3
 #: a table of at most so many rows of terms is broadcast, a larger one is shuffled
 BROADCAST_ROWS = 200_000
-TERM_PATTERN = r"[^\x20\x09-\x0D]+"
+#: likewise of texts with arrays of terms
+BROADCAST_TEXTS = 5_000
+#: characters that end a term as white space does, and those that no term begins or ends with
+BREAKS = "\t\n\x0b\x0c\r,;:!?\"()[]{}<>"
+EDGES = ".'-_*"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -82,76 +87,98 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[part(k, kind) for k, kind in enumerate(KINDS)]))
 
 
-def _terms(context: Column, shift: Column) -> Column:
-    """Words of a stretch of text (lower case) with their places in the whole text."""
-    return F.transform(_found(context, TERM_PATTERN), lambda x: F.struct(F.lower(x["m"]).alias("t"), (x["s"] + shift).alias("s"), (x["e"] + shift).alias("e")))
+def _spaced(text: Column) -> Column:
+    return F.translate(text, BREAKS, " " * len(BREAKS))
 
 
-def _near(text: Column, base: Column) -> Column:
-    """Array of (entity, term, s, e): terms near each entity of ``base``; entity and term as hashes."""
+def _terms(spaced: Column) -> Column:
+    """Hashes of the different terms of a text."""
+    trimmed = F.transform(F.split(F.lower(spaced), " ", -1), lambda w: F.btrim(w, F.lit(EDGES)))
+    return F.array_distinct(F.transform(F.filter(trimmed, lambda w: F.char_length(w) >= TERM), lambda w: F.xxhash64(w)))
 
-    def of(x: Column) -> Column:
-        left = F.greatest(x["s"] - NEAR, F.lit(0))
-        before = _terms(F.substring(text, left + 1, x["s"] - left), left)
-        after = _terms(F.substring(text, x["e"] + 1, F.lit(NEAR)), x["e"])
-        # a word that touches the entity or the far end of the stretch may be part of a longer one
-        before = F.filter(before, lambda t: (t["e"] < x["s"]) & ((left == 0) | (t["s"] > left)))
-        after = F.filter(after, lambda t: (t["s"] > x["e"]) & (t["e"] < x["e"] + NEAR))
-        return F.transform(F.concat(before, after), lambda t: F.struct(F.xxhash64(x["k"], x["m"]).alias("entity"), t["t"].alias("t"), t["s"].alias("s"), t["e"].alias("e")))
 
-    free = lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
-    found = F.filter(F.flatten(F.transform(base, of)), lambda t: (F.char_length(t["t"]) >= TERM) & free(t))
-    return F.transform(found, lambda t: F.struct(t["entity"].alias("entity"), F.xxhash64(t["t"]).alias("term"), t["s"].alias("s"), t["e"].alias("e")))
+def _beside(spaced: Column, base: Column) -> Column:
+    """``spaced`` without the entities of ``base`` and the words that touch them."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = lambda at, piece: F.when(at > 0, F.regexp_replace(piece, "^[^ ]+", "")).otherwise(piece)
+
+    def step(acc: Column, b: Column) -> Column:
+        piece = F.regexp_replace(cut(acc["at"], F.substring(spaced, acc["at"] + 1, b["s"] - acc["at"])), "[^ ]++$", "")
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.concat(acc["out"], F.lit(" "), piece).alias("out"))
+
+    done = F.aggregate(base, zero, step)
+    return F.concat(done["out"], F.lit(" "), cut(done["at"], F.substring(spaced, done["at"] + 1, F.char_length(spaced))))
+
+
+def _places(text: Column, base: Column, told: Column, gone: Column) -> Column:
+    """Array of (s, e, removed): where terms of ``told`` (hashes) are in the text, outside entities; removed if they are in ``gone``."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,t:bigint>>").alias("out"))
+
+    def step(acc: Column, w: Column) -> Column:
+        term = F.btrim(w, F.lit(EDGES))
+        s = acc["at"] + F.char_length(w) - F.char_length(F.ltrim(w, F.lit(EDGES)))
+        own = F.struct(s.alias("s"), (s + F.char_length(term)).alias("e"), F.xxhash64(F.lower(term)).alias("t"))
+        hit = (F.char_length(F.lower(term)) >= TERM) & F.array_contains(told, F.xxhash64(F.lower(term)))
+        return F.struct((acc["at"] + F.char_length(w) + 1).alias("at"), F.when(hit, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
+
+    found = F.aggregate(F.split(_spaced(text), " ", -1), zero, step, lambda acc: acc["out"])
+    free = F.filter(found, lambda t: ~F.exists(base, lambda b: (b["s"] <= t["e"]) & (t["s"] <= b["e"])))
+    return F.transform(free, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.array_contains(gone, t["t"]).alias("removed")))
 
 
 def _disclosed(docs: DataFrame, root: int, support: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their base spans, and doc_id, text_crc32, terms of those that have disclosing terms; see sanitise()."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spaced = F.translate(F.lower("text"), "\t\n\x0b\x0c\r", "     ")
-    terms = rows.select(F.explode(F.transform(F.array_distinct(F.filter(F.split(spaced, " ", -1), lambda w: F.char_length(w) >= TERM)), lambda w: F.xxhash64(w))).alias("term"))
-    based = rows.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), base_spans(F.col("text")).alias("base"))
-    rows = stage(based.select("doc_id", "text_crc32", "base", F.when(F.size("base") > 0, _near(F.col("text"), F.col("base"))).alias("near")), "pii-spans")
+    """Rows with their base spans, and text_hash, text_crc32, terms of the texts that have disclosing terms; see sanitise()."""
+    text = F.coalesce("text", F.lit(""))
+    keys = [F.xxhash64(text).alias("text_hash"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    based = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *keys, base_spans(text).alias("base"))
+    rows = stage(based.select("doc_id", "text_hash", "text_crc32", "base", F.when(F.size("base") > 0, _terms(_beside(_spaced(F.col("text")), F.col("base")))).alias("beside")), "pii-spans")
     total = float(rows.count())
-    places = rows.select("doc_id", "text_crc32", F.inline("near"))
-    together = places.groupBy("term", "entity", "doc_id").agg(F.lit(1).alias("one")).groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    held = rows.where(F.size("base") > 0).select("beside", F.explode(F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["k"], b["m"])))).alias("entity"))
+    entities = stage(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "pii-entities")
+    entities = small_or_shuffled(entities, entities.count(), BROADCAST_ROWS)
+    together = held.join(entities, "entity").select("entity", F.explode("beside").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     together = stage(together, "pii-together")
-    entities = rows.where(F.size("base") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["k"], b["m"])))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = terms.groupBy("term").agg(F.count("*").alias("n_t"))  # summed in each task before anything is joined
+    spread = docs.select(*keys, F.explode(_terms(_spaced(text))).alias("term"))
+    terms = spread.groupBy("term").agg(F.count("*").alias("n_t"))  # summed in each task before anything is joined
     ratio = F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))
     power = ratio
     for _ in range(root - 1):
         power = power * ratio
     flagged = together.join(entities, "entity").join(terms, "term").where((ratio > 1) & (power >= F.lit(total) / F.col("n_e")))
-    flagged = stage(flagged.select("term", "entity", (F.col("n_te") >= F.col("n_t")).alias("removed")), "pii-flagged")
-    hits = places.join(flagged, ["term", "entity"]).groupBy("doc_id", "text_crc32", "s", "e").agg(F.max("removed").alias("removed"))
-    hits = hits.groupBy("doc_id", "text_crc32").agg(F.array_sort(F.collect_list(F.struct("s", "e", "removed"))).alias("terms"))
-    return rows.drop("near"), hits
+    flagged = stage(flagged.groupBy("term").agg(F.max(F.col("n_te") >= F.col("n_t")).alias("removed")), "pii-flagged")
+    told = spread.join(small_or_shuffled(flagged, flagged.count(), BROADCAST_ROWS), "term").groupBy("text_hash", "text_crc32")
+    told = told.agg(F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+    bases = rows.where(F.size("base") > 0).groupBy("text_hash", "text_crc32").agg(F.first("base").alias("base"))
+    told = stage(told.join(bases, ["text_hash", "text_crc32"], "left").withColumn("base", F.coalesce("base", F.array().cast("array<struct<s:int,k:int,e:int,m:string>>"))), "pii-told")
+    hits = docs.select(text.alias("text"), *keys).join(small_or_shuffled(told, told.count(), BROADCAST_TEXTS), ["text_hash", "text_crc32"])
+    hits = hits.select("text_hash", "text_crc32", _places(F.col("text"), F.col("base"), F.col("told"), F.col("gone")).alias("terms"))
+    return rows.drop("beside"), hits.groupBy("text_hash", "text_crc32").agg(F.first("terms").alias("terms"))
+
 
 def sanitise(docs: DataFrame, root: int = 2, support: int = SUPPORT) -> DataFrame:
     """doc_id, text_crc32, base (array of s, k, e, m) and terms (array of s, e, removed): places of entities and disclosing terms.
 
-    A term is a run of at least TERM characters without white space, in lower case, wholly within NEAR code points of an entity, touching
-    none. It discloses entity e if it is near e in at least ``support`` documents and its mutual information with e is at least
-    1 / ``root`` of e's own; ``removed`` tells those that reveal all of it, as they occur in no other document. Counts are over all
-    documents, repeated ones included; n(t) counts documents that have the term anywhere. A null text is an empty one: no spans.
-    A row in, a row out, also for repeated rows and doc_ids; rows whose doc_id is null get no terms. Terms and entities are counted by
-    64-bit hashes.
+    A term is a run of at least TERM characters without white space or BREAKS, less EDGES at its ends, in lower case, touching no entity.
+    It discloses entity e if it shares at least ``support`` documents with e, wherever in them, and its mutual information with e is at
+    least 1 / ``root`` of e's own; ``removed`` tells those that reveal all of an entity, as they occur in no other document. All places
+    of such a term in all documents are given, with the entity or without it. Counts are over all documents, repeated ones included;
+    n(t) counts documents that have the term anywhere. A null text is an empty one: no spans. A row in, a row out, also for repeated
+    rows and doc_ids and null doc_ids. Terms and entities are counted by 64-bit hashes, and texts are told apart by one and a CRC-32.
 
-    All steps are joins and sums: (term, entity) pairs are first summed in each task, and flagged pairs are joined back to the places
-    they were seen at, so no entity's documents and no term's are gathered.
+    All steps are joins and sums: only entities of ``support`` documents bring pairs, (term, entity) pairs are first summed in each task,
+    and flagged terms are joined to the terms of all texts, so no entity's documents and no term's are gathered.
     """
     rows, hits = _disclosed(docs, root, support)
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
-    return rows.join(hits, ["doc_id", "text_crc32"], "left").withColumn("terms", F.coalesce("terms", none))
+    return rows.join(hits, ["text_hash", "text_crc32"], "left").withColumn("terms", F.coalesce("terms", none)).select("doc_id", "text_crc32", "base", "terms")
 
 
 def sanitised(docs: DataFrame, root: int = 2, support: int = SUPPORT) -> DataFrame:
     """``docs`` with the text cleaned of what sanitise() finds, and n_chars to match if there is one. A null text stays null."""
     _, hits = _disclosed(docs, root, support)
-    hits = stage(hits.withColumnsRenamed({"doc_id": "hit_id", "text_crc32": "hit_crc"}), "pii-hits")
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    joined = docs.join(small_or_shuffled(hits, hits.count(), BROADCAST_ROWS), (F.col("doc_id").cast("long") == F.col("hit_id")) & (crc == F.col("hit_crc")), "left")
+    hits = stage(hits.withColumnsRenamed({"text_hash": "hit_hash", "text_crc32": "hit_crc"}), "pii-hits")
+    whole = F.coalesce("text", F.lit(""))
+    joined = docs.join(small_or_shuffled(hits, hits.count(), BROADCAST_TEXTS), (F.xxhash64(whole) == F.col("hit_hash")) & (F.crc32(whole.cast("binary")) == F.col("hit_crc")), "left")
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
     text = F.when(F.col("text").isNotNull(), cleaned(F.col("text"), base_spans(F.col("text")), F.coalesce("terms", none)))
     out = joined.withColumn("text", text)
