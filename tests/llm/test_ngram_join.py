@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from touchline.llm import ngram_join as J
 from touchline.llm import textblocks as tb
@@ -100,13 +101,38 @@ def test_groups_as_brute_force(spark, n, percent, monkeypatch):
     want = brute(rows, n, percent)
     assert sorted(map(tuple, J.jaccard_groups(docs, n, percent).collect())) == want
     monkeypatch.setattr(J, "CHUNK", 3)  # groups over pairs of chunks
-    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)  # joins by shuffle
+    monkeypatch.setattr(J, "PIVOTS", 2)
+    monkeypatch.setattr(J, "HOT_ROWS", 0)  # keys of full cells are counted by partial sums
     assert sorted(map(tuple, J.jaccard_groups(docs, n, percent).collect())) == want
 
 
+def test_large_group_without_one_family(spark, monkeypatch):
+    """A group of many sets, most of which are not alike, although a passage ties them."""
+    monkeypatch.setattr(J, "CHUNK", 4)
+    monkeypatch.setattr(J, "PIVOTS", 2)
+    monkeypatch.setattr(J, "_groups", lambda scanned: scanned.where("n_shingles > 0").select("node", J.F.lit(1).cast("long").alias("grp")).distinct())
+    rows = corpus(8, families=9, copies=5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_groups(docs, 3, 90).collect())) == brute(rows, 3, 90)
+
+
+def test_links_of_null_ids(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, a), (5, a + " more"), (None, "x y z"), (None, "x y z")], "doc_id long, text string")
+    assert sorted(map(str, J.jaccard_groups(docs, 3, 90).collect())) == sorted(map(str, [Row(doc_id=None, n_shingles=58, component_id=5), Row(doc_id=5, n_shingles=59, component_id=5)] + [Row(doc_id=None, n_shingles=1, component_id=None)] * 2))
+
+
 def test_empty_table_and_copies(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
-    assert J.jaccard_groups(docs).collect() == []
-    rows = [(i, "a b c d e f g h") for i in range(5)] + [(9, "z y x"), (None, "q r s"), (7, None)]
+    assert J.jaccard_groups(docs).collect() == [] and J.without_copies(docs).collect() == []
+    rows = [(i, "a b c d e f g h") for i in range(5)] + [(9, "z y x"), (None, "q r s"), (7, None), (7, None), (8, " \n"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in J.without_copies(docs).collect()) == ["0", "7", "9", "None"]
+    assert sorted(map(str, [r.doc_id for r in J.without_copies(docs).collect()])) == ["0", "7", "7", "8", "9", "None", "None"]
+
+
+def test_texts_that_differ_stay_whatever_their_ids(spark):
+    a, b, c, d, e = ("one two three four five six", "seven eight nine ten", "red green blue black white grey", "up down left right", "cold warm hot")
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (None, c, 3), (None, d, 4), (None, e, 5), (5, b, 6), (None, e, 7), (None, a, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = sorted(((r.doc_id, r.text) for r in J.without_copies(docs).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, c), (None, d), (None, e)], key=str)

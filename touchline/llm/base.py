@@ -46,7 +46,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/touchline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def release(staged: DataFrame) -> None:
+    """Remove the files of a table that stage() gave, once nothing reads it any more. What isn't released lies in the shared folder's
+    ``touchline`` folder until the application's owner clears it."""
+    path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged.stage_path)
+    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

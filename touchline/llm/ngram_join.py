@@ -2,18 +2,24 @@
 
 How it scales
 1. A task turns each document into the sorted set of its n-gram hashes and keeps only the set's size, a 64-bit signature
-   and block keys. Documents with equal sets are one node from here on, so copies cost nothing.
+   and block keys. Documents with equal sets are one node from here on; within a task only the first of them brings keys.
 2. Block keys follow the pigeonhole principle: two sets of at most U n-grams each that are alike differ in at most
-   H = 2U(100-percent)/(100+percent) n-grams. Each set is cut by hash into some H + H/4 parts, and a key is the hash of a
+   H = 2U(100-percent)/(100+percent) n-grams. Each set is cut by hash into some H + H/6 parts, and a key is the hash of a
    whole part. At most H keys of a set are missing in a set that is like it, so both have one of the H + 1 keys that are
    rarest in the corpus (prefix filtering). Only these count: a passage that very many documents share gives frequent keys,
    which does not bring them together.
-3. Nodes that share such a key are tied to the smallest of them; connected components of these ties are the candidate groups.
-4. A group's documents are read again, and their sets meet in one task as a prefix-tree (trie) join: the sets, in one
+3. Each key moves once: rows meet by key, and those whose key only one node has end there (keys in cells that hold far more
+   rows than others are counted with partial sums instead and joined back, so no key is gathered). What is left moves once
+   more, by node, where the most frequent keys are left out. The plan is the same at every size.
+4. Nodes that share a remaining key are tied to a vertex of that key's lowest node and size class; connected components of
+   these ties are the candidate groups.
+5. A group's texts are read again, and their sets meet in one task as a prefix-tree (trie) join: the sets, in one
    global order, are stored in a path-compressed trie; a set is matched against it from the root, so the overlap of a shared
    path is counted once, and a subtree is left as soon as the remaining lengths cannot reach the needed overlap.
-   A group of more than ``CHUNK`` sets is dealt over pairs of chunks; each task then holds two chunks, never the group.
-5. Found links go to connected components again.
+6. A group of more than ``CHUNK`` sets is first joined chunk by chunk, a few pivots in all of them. That makes one class of a
+   family whose members are alike, at a cost in proportion to its size. Only the sets outside the group's largest class
+   are then matched against the other chunks.
+7. Found links go to connected components again.
 No link is lost at any step; the only hashing is that of n-grams to 64 bits.
 """
 
@@ -25,26 +31,32 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .base import components, small_or_shuffled, stage
+from .base import SPACE_CLASS, components, cut, release, stage
 
 #: sets in a chunk of a large candidate group
 CHUNK = 1024
 #: n-grams in a chunk, about; a single longer set is a chunk of its own
-CHUNK_GRAMS = 2_000_000
-#: a table of at most so many rows (16 to 24 bytes each) is broadcast, a larger one is shuffled
-BROADCAST_ROWS = 1_000_000
+CHUNK_GRAMS = 1_000_000
+#: sets of a large group that go to all of its chunks
+PIVOTS = 16
+#: keys are counted in so many cells; a cell with more rows than this, and than 8 times the mean, has a hot key
+CELLS, HOT_ROWS = 1 << 16, 1_000_000
+#: signatures that a task remembers, to bring the keys of equal sets once; beyond that it starts anew
+REMEMBERED = 200_000
+#: sizes in a class differ by a factor of 1.5 at most, or by as much as sizes of sets that are alike can
+CLASS = 150
 
 
 @cache
 def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
-    """Lower bounds of the classes of set sizes; each spans a factor of 1.25, or as much as sizes of sets that are alike can differ."""
-    out, wide = [1], min(percent, 80)
+    """Lower bounds of the classes of set sizes."""
+    out = [1]
     while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 100 // wide))
+        out.append(max(out[-1] + 1, out[-1] * max(CLASS, -(-10_000 // percent)) // 100))
     return np.array(out, np.int64)
 
 
@@ -93,7 +105,7 @@ def block_keys(grams: np.ndarray, begins: np.ndarray, percent: int) -> Keys:
         cls = own[use] + step
         most = 2 * (classes[cls + 1] - 1) * (100 - percent) // (100 + percent)
         use, cls, most = (x[most > 0] for x in (use, cls, most))
-        parts = most + 3 + most // 4
+        parts = most + 3 + most // 6
         if not len(use):
             continue
         lens = sizes[use]
@@ -213,58 +225,140 @@ def trie_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
 
 def _scan(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for piece in tb.pieces(batch.column("text")):
                 with np.errstate(over="ignore"):
                     grams, begins = sets_of(piece, n)
-                    found = block_keys(grams, begins, percent)
                     sigs = signatures(grams, begins)
+                    new = np.zeros(piece.n, bool)
+                    for i, sig in enumerate(sigs.tolist()):
+                        if sig not in seen:
+                            seen.add(sig)
+                            new[i] = True
+                    sizes = np.where(new, np.diff(begins), 0)
+                    found = block_keys(grams[np.repeat(new, np.diff(begins))], np.concatenate([[0], np.cumsum(sizes)]), percent)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 order = np.argsort(found.whose, kind="stable")
                 at = np.searchsorted(found.whose[order], np.arange(piece.n + 1)).astype(np.int32)
-                parts = pa.StructArray.from_arrays([pa.array(found.keys[order].view(np.int64)), pa.array(found.cls[order], pa.int32()), pa.array(found.drop[order], pa.int32())], ["key", "cls", "drop"])
+                parts = pa.StructArray.from_arrays([pa.array(found.keys[order].view(np.int64)), pa.array((found.cls[order] << 32) + found.drop[order])], ["key", "kind"])
                 yield pa.record_batch(
-                    {
-                        "doc_id": batch.column("doc_id").slice(piece.first, piece.n),
-                        "n_shingles": pa.array(np.diff(begins).astype(np.int64)),
-                        "node": pa.array(sigs.view(np.int64)),
-                        "keys": pa.ListArray.from_arrays(pa.array(at), parts),
-                    }
+                    {c: batch.column(c).slice(piece.first, piece.n) for c in ("doc_id", "row")}
+                    | {"n_shingles": pa.array(np.diff(begins).astype(np.int64)), "node": pa.array(sigs.view(np.int64)), "keys": pa.ListArray.from_arrays(pa.array(at), parts)}
                 )
 
     return run
 
 
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _links(n: int, percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links among the texts of a chunk; if it has a left side, those between the left and the right one."""
+        nodes, left, sets = [], [], []
+        for batch in group.to_batches():
+            node, side = batch.column("node").to_numpy(), batch.column("left").to_numpy(zero_copy_only=False)
             for piece in tb.pieces(batch.column("text")):
                 with np.errstate(over="ignore"):
                     grams, begins = sets_of(piece, n)
-                    same = signatures(grams, begins).view(np.int64) == batch.column("node").slice(piece.first, piece.n).to_numpy()
-                rest = batch.slice(piece.first, piece.n)
-                found = pa.record_batch({c: rest.column(c) for c in ("grp", "node", "chunks")} | {"grams": pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(grams.view(np.int64)))})
-                yield found.filter(pa.array(same))  # another row may have the same doc_id
+                    same = signatures(grams, begins).view(np.int64) == node[piece.first : piece.first + piece.n]
+                for i in np.flatnonzero(same):  # another row may have the same hash
+                    nodes.append(int(node[piece.first + i]))
+                    left.append(bool(side[piece.first + i]))
+                    sets.append(grams[begins[i] : begins[i + 1]])
+        one = {(node, side): i for i, (node, side) in enumerate(zip(nodes, left, strict=True))}
+        a, b = ([i for (_, side), i in one.items() if side is which] for which in (True, False))
+        pairs = trie_join([sets[i] for i in a], [sets[i] for i in b], percent) if a and b else trie_join([sets[i] for i in b], None, percent) if b else []
+        who = a + b
+        links = np.array([(nodes[who[i]], nodes[who[j]]) for i, j in pairs], np.int64).reshape(-1, 2)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return run
 
 
-def _links(percent: int):
-    def run(group: pa.Table) -> pa.Table:
-        nodes, chunk = group.column("node").to_numpy(), group.column("chunk").to_numpy()
-        grams = group.column("grams").combine_chunks()
-        values, at = grams.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
-        sets = [values[at[i] : at[i + 1]] for i in range(len(nodes))]
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        if i == j:
-            links, who = trie_join(sets, None, percent), np.arange(len(nodes))
-        else:
-            a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-            who = np.concatenate([a, b])
-            links = trie_join([sets[k] for k in a], [sets[k] for k in b], percent) if len(a) and len(b) else []
-        pairs = np.array(links, np.int64).reshape(-1, 2)
-        return pa.table({"a": nodes[who[pairs[:, 0]]], "b": nodes[who[pairs[:, 1]]]})
-
-    return run
+def _shuffled(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that sorts and merges at every size, so that small tables show the plan of large ones."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """``keyed``: key, node, kind. Its rows whose key several nodes have, with n (how often there is the key) and low (its lowest node)."""
+    several, each = F.col("low") != F.col("high"), Window.partitionBy("key")
+    counts = [F.count("*"), F.min("node"), F.max("node")]
+    cell = F.pmod("key", F.lit(CELLS)).alias("cell")
+    cells = cut(keyed.groupBy(cell).agg(F.count("*").alias("n")))
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    hot = cells.where(F.col("n") > max(HOT_ROWS, 8 * total // CELLS)).select("cell")  # CELLS / 8 rows at most
+    alone = keyed.withColumn("cell", cell)
+    if hot.limit(1).count():
+        most = alone.join(F.broadcast(hot), "cell", "left_semi").select("key", "node", "kind")
+        held = most.groupBy("key").agg(*[c.alias(name) for c, name in zip(counts, ("n", "low", "high"), strict=True)]).where(several)
+        most = _shuffled(most, held, "key")
+        alone = alone.join(F.broadcast(hot), "cell", "left_anti")
+    out = alone.select("key", "node", "kind", *[c.over(each).alias(name) for c, name in zip(counts, ("n", "low", "high"), strict=True)]).where(several)
+    if hot.limit(1).count():
+        out = out.unionByName(most.select(*out.columns))
+    return out.drop("high")
+
+
+def _groups(scanned: DataFrame) -> DataFrame:
+    """node, grp of every node that shares a key which counts with another one."""
+    held = _shared(scanned.select("node", F.inline("keys"))).repartition("node").dropDuplicates(["node", "kind", "key"])
+    common = F.row_number().over(Window.partitionBy("node", "kind").orderBy(F.col("n").desc(), F.col("key").desc()))
+    held = held.withColumn("common", common).where(F.col("common") > F.col("kind").bitwiseAND(F.lit(0xFFFFFFFF)))
+    ties = held.select(F.col("node").alias("a"), F.xxhash64(F.lit("tie"), "low", F.shiftright("kind", 32)).alias("b")).distinct()
+    ties = stage(ties, "ngram-ties")
+    return components(ties).select("node", F.col("component").alias("grp"))
+
+
+def _chunks(n: Column, grams: Column) -> Column:
+    return F.ceil(F.greatest(n / F.lit(CHUNK), grams / F.lit(CHUNK_GRAMS))).cast("int")
+
+
+def _chunk(of: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), of).cast("int")
+
+
+def _found(docs: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of ``chosen``: row, node, n, grp, in groups of two nodes or more."""
+    texts = _shuffled(docs.select("row", "text"), chosen, "row")
+    join = lambda dealt: dealt.groupBy("grp", "i", "j").applyInArrow(_links(n, percent), "a long, b long")
+    large = chosen.where("chunks > 1")
+    few = large.groupBy("grp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("pivot"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    places = _shuffled(chosen, few, "node", "left").select("row", F.explode(F.when(F.col("pivot"), every).otherwise(F.array(_chunk(F.col("chunks"))))).alias("j"))
+    dealt = _shuffled(texts, places, "row").select("grp", F.lit(0).alias("i"), "j", "node", F.lit(False).alias("left"), "text")
+    links = stage(join(dealt), "ngram-links")
+    if not large.limit(1).count():
+        return links
+    labels = components(links).select("node", F.col("component").alias("label"))
+    large = _shuffled(large, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    main = large.groupBy("grp", "label").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
+    large = _shuffled(large, main, "grp").withColumn("left", F.col("label") != F.col("main"))
+    rest = large.where("left").groupBy("grp").agg(_chunks(F.count("*"), F.sum("n")).alias("rests"))
+    large = stage(_shuffled(large, rest, "grp").select("row", "chunks", "rests", "left"), "ngram-rest")
+    if not large.limit(1).count():
+        return links
+    right = large.select("row", F.lit(False).alias("left"), "rests")
+    left = large.where("left").select("row", "left", "rests")
+    both = _shuffled(texts, left.unionByName(right), "row")
+    i = F.when(F.col("left"), F.array(_chunk(F.col("rests")))).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
+    j = F.when(F.col("left"), every).otherwise(F.array(_chunk(F.col("chunks"))))
+    both = both.withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select("grp", "i", "j", "node", "left", "text")
+    return links.unionByName(stage(join(both), "ngram-more-links"))
+
+
+def _scanned(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as row (hash of doc_id and text), doc_id, n_shingles and node; and node, component of nodes that have links."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    keyed = stage(texts.mapInArrow(_scan(n, percent), "doc_id long, row long, n_shingles long, node long, keys array<struct<key:long,kind:long>>"), "ngram-keys")
+    scanned = stage(keyed.drop("keys"), "ngram-sets")
+    groups = stage(_groups(keyed), "ngram-groups")
+    release(keyed)
+    nodes = scanned.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
+    chosen = _shuffled(nodes, groups, "node")
+    sizes = chosen.groupBy("grp").agg(F.count("*").alias("nodes"), _chunks(F.count("*"), F.sum("n")).alias("chunks")).where("nodes > 1")
+    chosen = stage(_shuffled(chosen, sizes.drop("nodes"), "grp").select("row", "node", "n", "grp", "chunks"), "ngram-chosen")
+    return scanned, stage(components(_found(texts, chosen, n, percent)), "ngram-linked")
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -273,48 +367,33 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of lower-cased (A-Z) word n-grams. A text
     with fewer than n words has its whole sequence as one n-gram; a null, empty or blank text has an empty set, no links and
     itself as component. One row comes out for each row that goes in, rows with the same doc_id included: each has the set size
-    and component of its own text. An empty table gives an empty result; other columns of ``docs`` are not looked at.
+    and component of its own text. Rows whose doc_id is null link like others, but give no component its name: it is null if all
+    are. An empty table gives an empty result; other columns of ``docs`` are not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = stage(docs.mapInArrow(_scan(n, percent), "doc_id long, n_shingles long, node long, keys array<struct<key:long,cls:int,drop:int>>"), "ngram-keys")
-    keyed = scanned.where("n_shingles > 0").select("node", F.inline("keys"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
-    shared = stage(shared.select("key", "n"), "ngram-shared")
-    held = keyed.join(small_or_shuffled(shared, shared.count(), BROADCAST_ROWS), "key").distinct()
-    common = F.row_number().over(Window.partitionBy("node", "cls").orderBy(F.col("n").desc(), F.col("key").desc()))
-    held = stage(held.withColumn("common", common).where("common > drop").select("key", "node"), "ngram-held")
-    lows = held.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    lows = stage(lows, "ngram-lows")
-    ties = held.join(small_or_shuffled(lows, lows.count(), BROADCAST_ROWS), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    groups = stage(components(ties).select("node", F.col("component").alias("grp")), "ngram-groups")
-    chosen = scanned.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(groups, "node")
-    chunked = chosen.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK), F.sum("n") / F.lit(CHUNK_GRAMS))).cast("int").alias("chunks"))
-    chosen = stage(chosen.join(chunked, "grp").select("doc_id", "grp", "node", "chunks"), "ngram-chosen")
-    found = docs.join(small_or_shuffled(chosen, chosen.count(), BROADCAST_ROWS), "doc_id")
-    sets = found.mapInArrow(_sets(n), "grp long, node long, chunks int, grams array<long>")
-    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("grp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "grams")
-    links = dealt.groupBy("grp", "i", "j").applyInArrow(_links(percent), "a long, b long")
-    linked = components(links)
-    return _named(scanned, linked)
+    scanned, linked = _scanned(docs, n, percent)
+    return _named(scanned, linked).select("doc_id", "n_shingles", "component_id")
 
 
 def _named(scanned: DataFrame, linked: DataFrame) -> DataFrame:
-    """Give every document its component's smallest doc_id. ``linked``: node, component, for nodes that have links."""
-    nodes = scanned.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    nodes = nodes.join(linked, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    """``scanned`` with component_id, the smallest doc_id of its component. ``linked``: node, component, for nodes that have links."""
+    nodes = _shuffled(scanned.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")), linked, "node", "left")
+    nodes = nodes.select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
-    nodes = nodes.join(lows, "component").select("node", "component_id")
-    full = scanned.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(nodes, "node").select("doc_id", "n_shingles", "component_id")
-    empty = scanned.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    nodes = _shuffled(nodes, lows, "component").select("node", "component_id")
+    full = _shuffled(scanned.where("n_shingles > 0"), nodes, "node")
+    return full.select(*scanned.columns, "component_id").unionByName(scanned.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
 
 
 def without_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of jaccard_groups(): the one with the smallest doc_id. Documents without words, and rows
-    whose doc_id is null, all stay. Of rows with one doc_id that would stay, one does, unless doc_ids are all different anyway."""
-    groups = stage(jaccard_groups(docs, n, percent), "ngram-result")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    out = docs.join(small_or_shuffled(gone, gone.count(), BROADCAST_ROWS), "doc_id", "left_anti")
-    twice = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if twice else out
+    """``docs`` with one row of each group of jaccard_groups(): the one with the smallest doc_id (a null one only if there is no
+    other), then the lowest hash of doc_id and text. Rows are told apart by doc_id and text: texts that differ and aren't alike stay
+    also if they have one doc_id, or none; of rows with equal doc_id and text one stays. Documents without words all stay."""
+    scanned, linked = _scanned(docs, n, percent)
+    words = _shuffled(scanned.where("n_shingles > 0"), linked, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
+    first = words.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"].alias("ngram_row"))
+    first = stage(first.select("ngram_row").distinct(), "ngram-kept").withColumn("ngram_kept", F.lit(True))
+    hashed = docs.withColumn("ngram_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    blank = ~F.coalesce(F.col("text").rlike(f"[^{SPACE_CLASS[1:-2]}]"), F.lit(False))
+    one = F.row_number().over(Window.partitionBy("ngram_row").orderBy("ngram_row"))
+    with_words = _shuffled(hashed.where(~blank), first, "ngram_row").withColumn("ngram_number", one).where("ngram_number = 1")
+    return with_words.select(*docs.columns).unionByName(docs.where(blank))
