@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes 0x20 and 0x09 to 0x0D end a word
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: rows of an Arrow batch, where the session keeps Spark's default of 10 000: that many long texts, several times over, are too much for a worker
@@ -79,6 +79,22 @@ def small_or_shuffled(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df.hint("shuffle_merge")
 
 
+#: rows of 64 bits in the bitmap of perhaps()
+BITMAP_ROWS = 1 << 18
+
+
+def perhaps(df: DataFrame, among: DataFrame, key: str, keep: str = "") -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a 64-bit hash) may be among those of ``among``: all that are, and few others as long as there are few
+    keys for the 2 ** 24 bits of a bitmap. It has BITMAP_ROWS rows at most, so it is broadcast at every size. A join that follows
+    then shuffles little; once the bitmap is full it shuffles all. ``keep``: a column that tells, all rows stay."""
+    word, bit = F.pmod(F.col(key), F.lit(BITMAP_ROWS)), F.lit(1).cast("long") * F.pow(F.lit(2), F.pmod(F.shiftright(key, 24), F.lit(62))).cast("long")
+    bits = among.groupBy(word.alias("bitmap_word")).agg(F.bit_or(bit).alias("bitmap_bits"))
+    joined = df.withColumn("bitmap_word", word).join(F.broadcast(bits), "bitmap_word", "left" if keep else "inner")
+    hit = F.coalesce(F.col("bitmap_bits").bitwiseAND(bit) != 0, F.lit(False))
+    out = joined.withColumn(keep, hit) if keep else joined.where(hit)
+    return out.drop("bitmap_word", "bitmap_bits")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
@@ -88,10 +104,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, seen = cut(now), None
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        now = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        now = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = now.groupBy("u").agg(F.min("v").alias("m"))
         now = now.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = cut(now)

@@ -35,12 +35,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .base import SPACE_CLASS, components, cut, release, stage
+from .base import WORD, components, cut, perhaps, release, stage
 
 #: sets in a chunk of a large candidate group
 CHUNK = 1024
 #: n-grams in a chunk, about; a single longer set is a chunk of its own
 CHUNK_GRAMS = 1_000_000
+#: n-grams that a task of the trie join gets, about
+TASK_GRAMS = 200_000
 #: sets of a large group that go to all of its chunks
 PIVOTS = 16
 #: keys are counted in so many cells; a cell with more rows than this, and than 8 times the mean, has a hot key
@@ -305,9 +307,12 @@ def _groups(scanned: DataFrame) -> DataFrame:
     held = _shared(scanned.select("node", F.inline("keys"))).repartition("node").dropDuplicates(["node", "kind", "key"])
     common = F.row_number().over(Window.partitionBy("node", "kind").orderBy(F.col("n").desc(), F.col("key").desc()))
     held = held.withColumn("common", common).where(F.col("common") > F.col("kind").bitwiseAND(F.lit(0xFFFFFFFF)))
-    ties = held.select(F.col("node").alias("a"), F.xxhash64(F.lit("tie"), "low", F.shiftright("kind", 32)).alias("b")).distinct()
-    ties = stage(ties, "ngram-ties")
-    return components(ties).select("node", F.col("component").alias("grp"))
+    ties = held.select("node", F.xxhash64("low", F.shiftright("kind", 32)).alias("tie")).distinct()
+    # a node makes one of its vertices; most have one vertex only, and then there is no edge
+    ties = stage(ties.withColumn("first", F.min("tie").over(Window.partitionBy("node"))), "ngram-ties")
+    named = components(ties.where("tie <> first").select(F.col("tie").alias("a"), F.col("first").alias("b")))
+    nodes = ties.where("tie = first").select("node", "first")
+    return nodes.join(named.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("component", "first").alias("grp"))
 
 
 def _chunks(n: Column, grams: Column) -> Column:
@@ -318,33 +323,42 @@ def _chunk(of: Column) -> Column:
     return F.pmod(F.xxhash64("node"), of).cast("int")
 
 
-def _found(docs: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) of ``chosen``: row, node, n, grp, in groups of two nodes or more."""
-    texts = _shuffled(docs.select("row", "text"), chosen, "row")
-    join = lambda dealt: dealt.groupBy("grp", "i", "j").applyInArrow(_links(n, percent), "a long, b long")
+def _joined(dealt: DataFrame, grams: int, n: int, percent: int, name: str) -> DataFrame:
+    """Links (a, b) of all groups (grp, i, j) of ``dealt``, in tasks of about TASK_GRAMS n-grams."""
+    parts = max(1, -(-grams // TASK_GRAMS))
+    return stage(dealt.repartition(parts, "grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(_links(n, percent), "a long, b long"), name)
+
+
+def _linked(docs: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, component of the nodes of ``chosen`` (row, node, n, grp, chunks) that have links, by links within their groups."""
+    texts = _shuffled(perhaps(docs.select("row", "text"), chosen, "row"), chosen, "row")
     large = chosen.where("chunks > 1")
     few = large.groupBy("grp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("pivot"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     places = _shuffled(chosen, few, "node", "left").select("row", F.explode(F.when(F.col("pivot"), every).otherwise(F.array(_chunk(F.col("chunks"))))).alias("j"))
     dealt = _shuffled(texts, places, "row").select("grp", F.lit(0).alias("i"), "j", "node", F.lit(False).alias("left"), "text")
-    links = stage(join(dealt), "ngram-links")
-    if not large.limit(1).count():
-        return links
-    labels = components(links).select("node", F.col("component").alias("label"))
-    large = _shuffled(large, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    grams, more = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("chunks"), F.lit(0)) > 1).first()
+    labels = components(_joined(dealt, grams, n, percent, "ngram-links"))
+    if not more:
+        return labels
+    labels = stage(labels, "ngram-labels")
+    large = _shuffled(large, labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     main = large.groupBy("grp", "label").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
     large = _shuffled(large, main, "grp").withColumn("left", F.col("label") != F.col("main"))
     rest = large.where("left").groupBy("grp").agg(_chunks(F.count("*"), F.sum("n")).alias("rests"))
-    large = stage(_shuffled(large, rest, "grp").select("row", "chunks", "rests", "left"), "ngram-rest")
-    if not large.limit(1).count():
-        return links
-    right = large.select("row", F.lit(False).alias("left"), "rests")
-    left = large.where("left").select("row", "left", "rests")
-    both = _shuffled(texts, left.unionByName(right), "row")
+    large = stage(_shuffled(large, rest, "grp").select("row", "n", "chunks", "rests", "left"), "ngram-rest")
+    both = large.where("left").select("row", "left", "rests").unionByName(large.select("row", F.lit(False).alias("left"), "rests"))
     i = F.when(F.col("left"), F.array(_chunk(F.col("rests")))).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
     j = F.when(F.col("left"), every).otherwise(F.array(_chunk(F.col("chunks"))))
-    both = both.withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select("grp", "i", "j", "node", "left", "text")
-    return links.unionByName(stage(join(both), "ngram-more-links"))
+    both = _shuffled(texts, both, "row").withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select("grp", "i", "j", "node", "left", "text")
+    grams = large.agg(F.coalesce(F.sum(F.col("n") * (F.col("rests") + F.when(F.col("left"), F.col("chunks")).otherwise(0))), F.lit(0))).first()[0]
+    links = _joined(both, grams, n, percent, "ngram-more-links")
+    for end in ("a", "b"):
+        links = _shuffled(links, labels.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    again = components(links)
+    old = _shuffled(labels, again.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left")
+    new = _shuffled(again, labels.select("node"), "node", "left_anti")
+    return old.select("node", F.coalesce("wider", "component").alias("component")).unionByName(new).distinct()
 
 
 def _scanned(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +372,7 @@ def _scanned(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     chosen = _shuffled(nodes, groups, "node")
     sizes = chosen.groupBy("grp").agg(F.count("*").alias("nodes"), _chunks(F.count("*"), F.sum("n")).alias("chunks")).where("nodes > 1")
     chosen = stage(_shuffled(chosen, sizes.drop("nodes"), "grp").select("row", "node", "n", "grp", "chunks"), "ngram-chosen")
-    return scanned, stage(components(_found(texts, chosen, n, percent)), "ngram-linked")
+    return scanned, stage(_linked(texts, chosen, n, percent), "ngram-linked")
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -390,10 +404,13 @@ def without_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     also if they have one doc_id, or none; of rows with equal doc_id and text one stays. Documents without words all stay."""
     scanned, linked = _scanned(docs, n, percent)
     words = _shuffled(scanned.where("n_shingles > 0"), linked, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
-    first = words.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"].alias("ngram_row"))
-    first = stage(first.select("ngram_row").distinct(), "ngram-kept").withColumn("ngram_kept", F.lit(True))
-    hashed = docs.withColumn("ngram_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    blank = ~F.coalesce(F.col("text").rlike(f"[^{SPACE_CLASS[1:-2]}]"), F.lit(False))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    several = words.groupBy("component").agg(order["row"].alias("kept"), F.count("*").alias("rows")).where("rows > 1").select("component", "kept")
+    several = _shuffled(words, several, "component").groupBy("row").agg(F.max(F.col("row") == F.col("kept")).alias("ngram_kept"))
+    several = stage(several.withColumnRenamed("row", "ngram_row"), "ngram-kept")
+    hashed = docs.withColumn("ngram_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).withColumn("ngram_blank", ~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    hashed = perhaps(hashed, several, "ngram_row", keep="ngram_perhaps").withColumn("ngram_perhaps", F.col("ngram_perhaps") & ~F.col("ngram_blank"))
     one = F.row_number().over(Window.partitionBy("ngram_row").orderBy("ngram_row"))
-    with_words = _shuffled(hashed.where(~blank), first, "ngram_row").withColumn("ngram_number", one).where("ngram_number = 1")
-    return with_words.select(*docs.columns).unionByName(docs.where(blank))
+    some = _shuffled(hashed.where("ngram_perhaps"), several, "ngram_row", "left").where("coalesce(ngram_kept, true)")
+    some = some.withColumn("ngram_number", one).where("ngram_kept is null or ngram_number = 1")
+    return hashed.where("not ngram_perhaps").select(*docs.columns).unionByName(some.select(*docs.columns))
