@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.llm import licenses, mixing, sharding, toxicity, transport
+from touchline.llm.base import table
 
 
 def maximal(scores, at=0):
@@ -143,13 +144,35 @@ def test_schedule_gives_each_block_once_and_evenly(spark):
 
 
 def test_mixed_texts_hold_what_is_taken(spark, odd_folder):
-    docs = spark.read.parquet(f"{odd_folder}/documents.parquet").dropDuplicates(["doc_id"])
-    docs = mixing.stage(docs, "odd")
-    took = {r.doc_id: r.taken for r in mixing.taken(docs).collect()}
+    docs = mixing.stage(spark.read.parquet(f"{odd_folder}/documents.parquet"), "odd")
+    took = {r.doc_id: r.n for r in mixing.taken(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
     got = mixing.mixed(docs)
     assert got.columns == docs.columns
     n = {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
     assert n == {d: k for d, k in took.items() if k}
+    whole = {(r.doc_id, r.text) for r in docs.collect()}
+    cuts = [(r.doc_id, r.text) for r in got.collect() if (r.doc_id, r.text) not in whole]
+    assert len(cuts) <= docs.select("source").distinct().count()  # only what reaches a source's target is cut, and only at its end
+    assert all(any(d == i and t.startswith(x) for i, t in whole if t) for d, x in cuts)
+
+
+def test_mix_comes_in_the_order_of_slots(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    targets = {r.source: r.target for r in mixing.taken(docs).join(docs.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
+    words, seen, total = 0, dict.fromkeys(targets, 0), sum(targets.values())
+    for r in mixing.mixed(docs).select("source", mixing.n_words(F.col("text")).alias("n")).toLocalIterator():
+        seen[r.source] += r.n
+        words += r.n
+        if words > total / 4:  # a document's words count where it begins, so the very beginning is coarser
+            assert all(abs(seen[k] / words - t / total) < 0.08 for k, t in targets.items())
+
+
+def test_schedule_decides_the_order(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    first = lambda: sorted((r.doc_id, r.first_slot) for r in mixing.taken(docs).collect() if r.taken)
+    before = first()
+    monkeypatch.setattr(mixing, "STEP", 1)
+    assert first() != before
 
 
 def test_shards_are_even_and_gapless(spark):

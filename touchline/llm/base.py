@@ -64,10 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spaced(text: Column) -> Column:
+    """The text with a blank for each other kind of white space; an empty one for a null."""
+    return F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs without white space; empty for a null or empty text."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+    return F.filter(F.split(spaced(text), " ", -1), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, n_words, stage, words
+from .base import cut, n_words, perhaps, spaced, stage
 
 #: words of a block
 BLOCK = 512
@@ -13,6 +13,8 @@ BLOCK = 512
 CHUNK = 4096
 #: equal cells of the unit interval in which a slot's point looks up its source
 CELLS = 4096
+#: rows of a range of a source that one task numbers, about
+RANGE_ROWS = 100_000
 #: points of the schedule are i * STEP mod 2**31, over 2**31: multiples of the golden ratio, in whole numbers
 STEP, SPAN = 1327217885, 1 << 31
 
@@ -65,23 +67,24 @@ def schedule(sources: DataFrame) -> DataFrame:
     return ranked.where("block < blocks").select("slot", "sid", "block").unionByName(late)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = BLOCK, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The mix as two tables: ``rows`` and ``pieces``.
 
-    rows: one for each row of ``docs``, with doc_id, text_crc32, size (words; none for a null or blank text), sid, place (unique in
-    the source), source_size and target. pieces: slot, sid, block, place, pass (0, or 1 for the second time), and the words
-    word_from to word_to (end exclusive) of the row at that place. Read in the order of slot, the pieces are the mix.
+    rows: one for each row of ``docs``, with row (a hash of doc_id, source and text), doc_id, size (words; none for a null or blank text),
+    sid, place (unique in the source), source_size and target. pieces: slot, sid, block, place, row, pass (0, or 1 for the second time),
+    and the words word_from to word_to (end exclusive) of the row at that place. Read in the order of slot, the pieces are the mix.
 
     A source's documents are ordered by md5 of doc_id and laid end to end, ``most`` times over; the words of this stream are cut into
     blocks of ``block`` words, the last one ending at the target rounded to whole words. Slot and block join on (source, number).
-    Sources may be null (ordered last); an unsplittable hot source doesn't exist, as prefix sums are built over 256 ranges of md5 in
-    each source. Reruns agree; rows equal in doc_id, size and text are interchangeable. An empty table gives two empty ones.
+    Sources may be null (ordered last); an unsplittable hot source doesn't exist, as prefix sums are built over ranges of md5 in
+    each source, as many as keep RANGE_ROWS rows or fewer in one. Reruns agree; rows equal in doc_id, size and text are
+    interchangeable. An empty table gives two empty ones.
     """
     rows = docs.select(
+        row_hash().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text")).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
     )
     rows = stage(rows, "mix-sizes")
@@ -89,47 +92,72 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     sources = sources.withColumn("quota", F.floor(F.col("target") + 0.5)).withColumn("blocks", F.ceil(F.col("quota") / block))
     sources = cut(sources.withColumn("from", F.coalesce(F.sum("blocks").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
 
-    rows = rows.withColumn("range", F.substring("h", 1, 2))
+    digits, held = 2, rows.count() >> 8
+    while held > RANGE_ROWS:
+        digits, held = digits + 1, held >> 4
+    rows = rows.withColumn("range", F.substring("h", 1, digits))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("source", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("words_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
     ranges = ranges.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "sid", "source_size", "target", "quota")
-    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size", "text_crc32")
+    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size", "row")
     rows = rows.withColumn("number", F.row_number().over(inside)).withColumn("words", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
-    rows = rows.select("doc_id", "text_crc32", "size", "sid", (F.col("n_before") + F.col("number") - 1).alias("place"), (F.col("words_before") + F.col("words")).alias("start"), "source_size", "target", "quota")
+    rows = rows.select("row", "doc_id", "size", "sid", (F.col("n_before") + F.col("number") - 1).alias("place"), (F.col("words_before") + F.col("words")).alias("start"), "source_size", "target", "quota")
     rows = stage(rows, "mix-places")
 
     parts = rows.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("at", F.col("start") + F.col("pass") * F.col("source_size"))
     parts = parts.withColumn("to", F.least(F.col("at") + F.col("size"), F.col("quota"))).where("to > at")
     parts = parts.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (to - 1) div {block})")))
     parts = parts.select(
-        "sid", "block", "place", "pass", (F.greatest(F.col("at"), F.col("block") * block) - F.col("at")).alias("word_from"), (F.least(F.col("to"), (F.col("block") + 1) * block) - F.col("at")).alias("word_to")
+        "sid", "block", "place", "row", "size", "pass", (F.greatest(F.col("at"), F.col("block") * block) - F.col("at")).alias("word_from"), (F.least(F.col("to"), (F.col("block") + 1) * block) - F.col("at")).alias("word_to")
     )
     pieces = parts.join(schedule(sources.select("sid", "blocks", "from")), ["sid", "block"])
     return rows, pieces
 
 
+def row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"))
+
+
 def taken(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, text_crc32, size, source_size, target and taken (words that the mix takes, repeats counted) of every row."""
+    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), first_slot (of the schedule; null if nothing is
+    taken) and n_pieces (how many blocks have words of it, repeats counted) of every row."""
     rows, pieces = mix(docs, **how)
-    took = pieces.select("sid", "place", (F.col("word_to") - F.col("word_from")).alias("words"))
-    every = rows.select("sid", "place", F.lit(0).cast("long").alias("words")).unionByName(took).groupBy("sid", "place").agg(F.sum("words").alias("taken"))
-    return rows.join(every, ["sid", "place"]).select("doc_id", "text_crc32", "size", "source_size", "target", "taken")
+    took = pieces.select("sid", "place", (F.col("word_to") - F.col("word_from")).alias("words"), "slot", F.lit(1).cast("long").alias("piece"))
+    none = rows.select("sid", "place", F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("slot"), F.lit(0).cast("long").alias("piece"))
+    every = none.unionByName(took).groupBy("sid", "place").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum("piece").alias("n_pieces"))
+    return rows.join(every, ["sid", "place"]).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_pieces")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word, white space within kept."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def step(acc: Column, w: Column) -> Column:
+        seen = acc["seen"] + (w != "").cast("int")
+        to = acc["at"] + F.char_length(w)
+        return F.struct((to + 1).alias("at"), seen.alias("seen"), F.when((w != "") & (seen <= n), to).otherwise(acc["end"]).alias("end"))
+
+    return F.substring(text, F.lit(1), F.aggregate(F.split(spaced(text), " ", -1), zero, step, lambda acc: acc["end"]))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix has them: a document that is taken once and a half comes twice, the second time cut after the words taken.
+    """``docs`` as the mix has them, in the order of its slots: range-partitioned by the first slot of each document's pass and sorted
+    within, so that each beginning of the files holds the sources near their target shares.
 
-    Keeps all columns of ``docs``; n_chars, if there is one, is that of the text. Documents of which nothing is taken go. Rows equal
-    in doc_id and text share what is taken of them evenly, rounded down.
+    Keeps all columns of ``docs``; n_chars, if there is one, is that of the text. A document that is taken once and a half comes twice,
+    the second time cut after the words taken (white space before that is kept). Documents of which nothing is taken go. Rows equal in
+    doc_id, source and text stand for each other; what is taken of them all is given out whole.
     """
-    plan = taken(docs, **how).groupBy("doc_id", "text_crc32").agg(F.max("size").alias("size"), F.floor(F.sum("taken") / F.count("*")).alias("taken")).where("taken > 0")
-    plan = plan.withColumnsRenamed({c: f"plan_{c}" for c in plan.columns})
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    joined = docs.join(plan, (F.col("doc_id").cast("long").eqNullSafe(F.col("plan_doc_id"))) & (crc == F.col("plan_text_crc32")))
-    copies = joined.withColumn("plan_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(plan_taken - 1) div plan_size"))))
-    part = F.least("plan_size", F.col("plan_taken") - F.col("plan_pass") * F.col("plan_size")).cast("int")
-    text = F.when(part == F.col("plan_size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), part), " "))
-    out = copies.withColumn("text", text)
-    return (out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    rows, pieces = mix(docs, **how)
+    plan = pieces.groupBy("sid", "place", "pass").agg(F.min("row").alias("mix_row"), F.min("size").alias("mix_size"), F.min("slot").alias("mix_slot"), F.sum(F.col("word_to") - F.col("word_from")).alias("mix_words"))
+    plan = stage(plan.drop("sid", "place", "pass"), "mix-plan")
+    twice = stage(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("mix_row")), "mix-equal")
+    hashed = perhaps(docs.withColumn("mix_row", row_hash()), twice, "mix_row", keep="mix_twice")
+    single = hashed.where("not mix_twice").unionByName(hashed.where("mix_twice").dropDuplicates(["mix_row"]))
+    joined = single.join(plan.hint("merge"), "mix_row")
+    text = F.when(F.col("mix_words") == F.col("mix_size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("mix_words").cast("int")))
+    out = joined.withColumn("text", text)
+    out = (out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns, "mix_slot")
+    return out.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot").drop("mix_slot")

@@ -14,15 +14,15 @@ from .base import stage
 
 #: significant bits of a value in a sketch, so quantiles are at most 1/32 too low
 BITS = 6
-#: (feature, numerator, denominator, smallest cutoff) in thousandths: cutoffs never get tighter than this
+#: (feature in thousandths, numerator, denominator, per cent of documents that are taken to be sound in this respect)
 RULES = [
-    ("symbols", "n_symbols", "n_words", 250),
-    ("word_length", "word_chars", "n_words", 14_000),
-    ("dup_lines", "n_dup_lines", "n_words", 60),
-    ("repeats", "n_repeat_words", "n_words", 280),
+    ("symbols", "n_symbols", "n_words", 90),
+    ("word_length", "word_chars", "n_words", 90),
+    ("dup_lines", "n_dup_lines", "n_words", 99),
+    ("repeats", "n_repeat_words", "n_words", 98),
 ]
-#: a group of fewer documents uses the sketch of its language, and a smaller language that of all
-GROUP_DOCS = 50
+#: a group's cutoff counts with its documents, that of its language, and in turn that of all, with so many
+PRIOR_DOCS = 200
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 8
@@ -94,21 +94,23 @@ def sketch(features: DataFrame, *keys: str) -> DataFrame:
 
 
 def cutoffs(sketches: DataFrame, *keys: str) -> DataFrame:
-    """Of each group and feature: how many documents, and q75 + 3 * (q75 - q25), with the quantiles taken from the sketch."""
+    """Of each group and feature: how many documents, and q + 2 * (q - q50) with the quantiles taken from the sketch: q is the rule's own,
+    and the cutoff lies twice as far above what is sound as that lies above the middle."""
     group = Window.partitionBy(*keys, "feature")
     running = sketches.withColumn("upto", F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("docs", F.sum("n").over(group))
-    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * quarter, F.col("value")))
-    return running.groupBy(*keys, "feature").agg(F.max("docs").alias("docs"), (at(3) * 4 - at(1) * 3).alias("cutoff"))
+    own = F.element_at(F.create_map(*[x for name, _, _, percent in RULES for x in (F.lit(name), F.lit(percent))]), F.col("feature"))
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * percent, F.col("value")))
+    return running.groupBy(*keys, "feature").agg(F.max("docs").alias("docs"), (at(own) * 3 - at(F.lit(50)) * 2).alias("cutoff"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts, base_failed and kept of every document.
 
     base_failed: fewer than 20 words, or over 30 per cent of them in repeated windows. The others are kept unless a feature lies beyond
-    its cutoff: far outside the upper quartile of the documents (that did not fail) of the same language and source, and beyond
-    the rule's own smallest cutoff. So a clean group rejects nothing, whatever its level. Groups of fewer than GROUP_DOCS
-    documents take their language's sketch, or that of all, made by merging the groups' sketches. Null languages and sources
-    are groups like others. A null, empty or blank text fails. Rows with equal doc_id are judged each by its own text.
+    its cutoff, which comes from the sketch of the documents (that did not fail) of the same language and source; nothing is fixed
+    beforehand. A group's cutoff is shrunk towards its language's, and this towards that of all (both from merged sketches), as if
+    these were PRIOR_DOCS more documents: so there is no least size of a group. Null languages and sources are groups like others. A
+    null, empty or blank text fails. Rows with equal doc_id are judged each by its own text.
     """
     counts = stage(measure(docs), "quality-counts").withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
     thousandths = {name: F.expr(f"{a} * 1000 div greatest({b}, 1)") for name, a, b, _ in RULES}
@@ -117,11 +119,11 @@ def judge(docs: DataFrame) -> DataFrame:
     by_lang, overall = cutoffs(sketch(fine, "lang"), "lang"), cutoffs(sketch(fine.withColumn("all", F.lit(1)), "all"), "all")
     limits = cutoffs(fine, "lang", "source").alias("s").join(by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")) & (F.col("s.feature") == F.col("l.feature")))
     limits = limits.join(overall.alias("o"), F.col("s.feature") == F.col("o.feature"))
-    chosen = F.when(F.col("s.docs") >= GROUP_DOCS, F.col("s.cutoff")).when(F.col("l.docs") >= GROUP_DOCS, F.col("l.cutoff")).otherwise(F.col("o.cutoff"))
-    limits = limits.select("s.lang", "s.source", "s.feature", chosen.alias("cutoff"))
-    limits = limits.groupBy("lang", "source").agg(*[F.greatest(F.lit(least), F.max(F.when(F.col("feature") == name, F.col("cutoff")))).alias(f"max_{name}") for name, _, _, least in RULES])
+    limits = limits.withColumn("wide", F.expr(f"(l.docs * l.cutoff + {PRIOR_DOCS} * o.cutoff) div (l.docs + {PRIOR_DOCS})"))
+    limits = limits.select("s.lang", "s.source", "s.feature", F.expr(f"(s.docs * s.cutoff + {PRIOR_DOCS} * wide) div (s.docs + {PRIOR_DOCS})").alias("cutoff"))
+    limits = limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == name, F.col("cutoff"))).alias(f"max_{name}") for name, *_ in RULES])
     joined = counts.alias("c").join(limits.alias("t"), F.col("c.lang").eqNullSafe(F.col("t.lang")) & F.col("c.source").eqNullSafe(F.col("t.source")), "left")
     good = F.lit(True)
-    for name, _, _, least in RULES:
-        good = good & (thousandths[name] <= F.coalesce(f"max_{name}", F.lit(least)))
-    return joined.select("c.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & good).alias("kept"))
+    for name, *_ in RULES:
+        good = good & (thousandths[name] <= F.col(f"max_{name}"))
+    return joined.select("c.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(good, F.lit(False))).alias("kept"))

@@ -44,11 +44,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = transport.read_media(transport.to_media(table(spark, sf_dir, "documents")))
-    return read.drop("access_units", "access_pts")
+    point = F.transform(F.arrays_zip("access_units", "access_pts"), lambda x: F.concat_ws("@", x["access_units"], x["access_pts"]))
+    return read.withColumn("access_sha256", F.sha2(F.array_join(point, ",").cast("binary"), 256))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .quality import BITS, GROUP_DOCS, RULES, WINDOW
+from .mixing import BLOCK, SPAN, STEP
+from .quality import BITS, PRIOR_DOCS, RULES, WINDOW
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -21,22 +22,31 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER
 w AS (SELECT *, [3, 1, 2][sid % 3 + 1] AS weight, source_size * 2e0 AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 15e-1 - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM w WINDOW o AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, struct_pack(r := cap / weight, s := sid)) AS level FROM l WHERE level * weight <= cap),
-t AS (SELECT source, source_size, least(cap, f.level * weight) AS target FROM l, f),
-p AS (SELECT d.*, source_size, target, CAST(floor(target + 5e-1) AS BIGINT) AS quota, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(a + size, quota - source_size) - a) AS BIGINT) AS taken FROM p"""
+b AS MATERIALIZED (SELECT *, coalesce(sum(blocks) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, sum(blocks) OVER () AS total FROM (SELECT *, CAST(ceil(quota / {BLOCK}) AS BIGINT) AS blocks
+FROM (SELECT source, sid, source_size, target, CAST(floor(target + 5e-1) AS BIGINT) AS quota FROM (SELECT source, sid, source_size, least(cap, f.level * weight) AS target FROM l, f)))),
+p AS MATERIALIZED (SELECT row_number() OVER () AS rid, d.*, sid, source_size, target, quota, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+n AS (SELECT unnest(range((SELECT CAST(coalesce(max(total), 0) AS BIGINT) FROM b))) AS slot),
+i AS MATERIALIZED (SELECT slot, sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM (SELECT slot, slot % {SPAN} * {STEP} % {SPAN} * (total / {SPAN}e0) AS point, sid, blocks, first FROM n, b) WHERE point >= first AND point < first + blocks),
+m AS (SELECT sid, blocks, total, unnest(range(coalesce(given, 0), blocks)) AS block FROM b LEFT JOIN (SELECT sid, count(*) AS given FROM i GROUP BY sid) USING (sid)),
+o AS (SELECT slot, sid, block FROM i WHERE block < blocks UNION ALL SELECT CAST(total AS BIGINT) + block * 1048576 + sid, sid, block FROM m),
+q AS (SELECT rid, sid, a + k * source_size AS start, least(a + k * source_size + size, quota) AS stop FROM p, range(2) AS r(k) WHERE least(a + k * source_size + size, quota) > a + k * source_size),
+c AS (SELECT rid, sid, start, stop, unnest(range(CAST(start // {BLOCK} AS BIGINT), CAST((stop - 1) // {BLOCK} AS BIGINT) + 1)) AS block FROM q),
+e AS (SELECT rid, sum(least(stop, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK})) AS taken, min(slot) AS first_slot, count(*) AS n_pieces FROM c JOIN o USING (sid, block) GROUP BY rid)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(first_slot AS BIGINT) AS first_slot, coalesce(n_pieces, 0) AS n_pieces FROM p LEFT JOIN e USING (rid)"""
 
 _FEATURES = ", ".join(f"{a} * 1000 // greatest({b}, 1) AS {name}" for name, a, b, _ in RULES)
 _NAMES = ", ".join(f"'{name}'" for name, *_ in RULES)
 _VALUES = ", ".join(name for name, *_ in RULES)
-_LIMITS = ", ".join(f"greatest({least}, max(cutoff) FILTER (feature = '{name}')) AS max_{name}" for name, _, _, least in RULES)
-_GOOD = " AND ".join(f"{name} <= coalesce(max_{name}, {least})" for name, _, _, least in RULES)
+_LIMITS = ", ".join(f"max(cutoff) FILTER (feature = '{name}') AS max_{name}" for name, *_ in RULES)
+_GOOD = " AND ".join(f"{name} <= max_{name}" for name, *_ in RULES)
+_PERCENT = "CASE feature " + " ".join(f"WHEN '{name}' THEN {percent}" for name, _, _, percent in RULES) + " END"
 
 
 def _cutoffs(sketch: str, keys: str) -> str:
     by = f"{keys}, feature" if keys else "feature"
     grouped = f"SELECT {by}, value, sum(n) AS n FROM {sketch} GROUP BY {by}, value"
     running = f"SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY value) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs FROM ({grouped})"
-    return f"SELECT {by}, max(docs) AS docs, 4 * min(value) FILTER (upto * 4 >= docs * 3) - 3 * min(value) FILTER (upto * 4 >= docs) AS cutoff FROM ({running}) GROUP BY {by}"
+    return f"SELECT {by}, max(docs) AS docs, 3 * min(value) FILTER (upto * 100 >= docs * {_PERCENT}) - 2 * min(value) FILTER (upto * 100 >= docs * 50) AS cutoff FROM ({running}) GROUP BY {by}"
 
 
 OP5 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
@@ -48,9 +58,9 @@ x AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_fail
 u AS (SELECT lang, source, unnest([{_NAMES}]) AS feature, CAST(unnest([{_VALUES}]) AS BIGINT) AS v FROM x WHERE NOT base_failed),
 fine AS (SELECT lang, source, feature, v - v % CAST(pow(2, greatest(length(bin(v)) - {BITS}, 0)) AS BIGINT) AS value, count(*) AS n FROM u GROUP BY ALL),
 s AS ({_cutoffs('fine', 'lang, source')}), l AS ({_cutoffs('fine', 'lang')}), o AS ({_cutoffs('fine', '')}),
-t AS (SELECT lang, source, {_LIMITS} FROM (SELECT s.lang, s.source, feature, CASE WHEN s.docs >= {GROUP_DOCS} THEN s.cutoff WHEN l.docs >= {GROUP_DOCS} THEN l.cutoff ELSE o.cutoff END AS cutoff
+t AS (SELECT lang, source, {_LIMITS} FROM (SELECT s.lang, s.source, feature, (s.docs * s.cutoff + {PRIOR_DOCS} * ((l.docs * l.cutoff + {PRIOR_DOCS} * o.cutoff) // (l.docs + {PRIOR_DOCS}))) // (s.docs + {PRIOR_DOCS}) AS cutoff
 FROM s JOIN l USING (feature) JOIN o USING (feature) WHERE s.lang IS NOT DISTINCT FROM l.lang) GROUP BY lang, source)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {_GOOD} AS kept
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce({_GOOD}, false) AS kept
 FROM x LEFT JOIN t ON x.lang IS NOT DISTINCT FROM t.lang AND x.source IS NOT DISTINCT FROM t.source"""
 
 OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
