@@ -52,7 +52,7 @@ def test_no_personal_data_is_left(kept):
     after = {r.doc_id: r.text for r in kept[3].collect()}
     assert before.keys() == after.keys()
     for d, text in before.items():
-        if not base(text) and "<term>" not in (after[d] or ""):
+        if not base(text) and " term>" not in (after[d] or "") and "<secret>" not in (after[d] or ""):
             assert after[d] == text or len(after[d]) < len(text)
         for s, k, e, m in base(text):
             assert f"<{pii.KINDS[k]}>" in after[d] or any(x < e and s < z for x, _, z, _ in base(text) if x != s)

@@ -1,6 +1,7 @@
 """Segments, transport streams, licences, the mix's schedule and shards, each against a plain form of the same thing."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import licenses, mixing, sharding, toxicity, transport
 from touchline.llm.base import table
+from touchline.llm.queries import QUERIES
 
 
 def maximal(scores, at=0):
@@ -92,14 +94,14 @@ def test_media_digests(spark):
 
 
 def test_licences_and_inheritance(spark):
-    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    mit, gpl = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0"][0]
     rows = [
         (1, "p/LICENSE", f"Some project\n{mit}\n"),
         (2, "p/a/b/x.py", "print(1)"),
         (3, "p/a/COPYING.txt", gpl.upper()),
         (4, "p/a/c/y.py", "nothing here"),
         (5, "q/z.py", "the license of this is unknown, as it is not under any that we know of"),
-        (6, "p/own.py", f"# {licenses.TEMPLATES['Apache-2.0']}"),
+        (6, "p/own.py", f"# {licenses.TEMPLATES['Apache-2.0'][0]}"),
         (7, None, mit),
         (8, "p/a/none.py", None),
         (9, "pp/x.py", ""),
@@ -111,7 +113,34 @@ def test_licences_and_inheritance(spark):
     assert got[5] == got[9] == (None, None, None) and len(got) == len(rows)
 
 
-@pytest.mark.parametrize("n", [200, 2000, 20_000])
+def test_wrapped_headers_and_whole_licence_texts(spark):
+    wrap = lambda text, mark: "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), 60))
+    rows = [(i, f"h{i}/a.py", "import x\n" + wrap(texts[-1], "# ") + "\nprint(1)", name) for i, (name, texts) in enumerate(licenses.TEMPLATES.items())]
+    rows += [(i, f"h{i}/LICENSE", "Copyright 2020 someone\n\n" + wrap(texts[-1], "").upper(), name) for i, (name, texts) in enumerate(licenses.TEMPLATES.items(), 50)]
+    rows += [(7, "other/place", "the same id with another text", None)]
+    filler = spark.range(1000, 2000).select(F.col("id").alias("file_id"), F.concat(F.lit("x/f"), "id").alias("path"), F.concat(F.lit("the file of the work by "), F.col("id").cast("string")).alias("text"))
+    got = licenses.scan(spark.createDataFrame([r[:3] for r in rows], "file_id long, path string, text string").unionByName(filler)).where("file_id < 1000").collect()
+    assert sorted((r.file_id, r.path, r.own or "") for r in got) == sorted((i, p, own or "") for i, p, _, own in rows)
+
+
+def test_query_inherits(spark):
+    """Directories of op4's tree are shared and nested, and what files inherit is what their nearest licence file declares."""
+    got = QUERIES["op4_licenses"](spark, "/root/testdata/sf0.1").collect()
+    given = {}
+    for r in sorted(got, key=lambda r: r.path, reverse=True):
+        folder, name = r.path.rsplit("/", 1)
+        if r.own and name.split(".")[0] in ("LICENSE", "COPYING"):
+            given[folder] = r.own
+    inherited = 0
+    for r in got:
+        up = [r.path.rsplit("/", k)[0] for k in range(1, 4)]
+        want = (r.own, "file") if r.own else next(((given[f], f) for f in up if f in given), (None, None))
+        assert (r.license, r.license_from) == want
+        inherited += want[0] is not None and not r.own
+    assert inherited > 500
+
+
+@pytest.mark.parametrize("n", [200, 2000])
 def test_licences_among_other_words(spark, monkeypatch, n):
     apache, mit = "Apache-2.0", "MIT"
     rows = [
@@ -119,7 +148,7 @@ def test_licences_among_other_words(spark, monkeypatch, n):
         (2, "# Released under the MIT License by Acme", mit),
         (3, 'Copyright (c) 2021 Foo Inc. Licensed under the Apache License, Version 2.0 (the "License");', apache),
         (4, "// Copyright (c) 2021 Foo Inc.\n// Licensed under the Apache\n// License, Version 2.0 (the License)\nint x;", apache),
-        (5, licenses.TEMPLATES["MIT-text"] + " and associated documentation files, to deal in the software without restriction", "MIT-text"),
+        (5, licenses.TEMPLATES["MIT"][1] + " and associated documentation files, to deal in the software without restriction", "MIT"),
         (6, "she was released under the bridge with a license to fish", None),
         (7, "the terms of this work and of the library are in the file", None),
     ]

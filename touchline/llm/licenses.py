@@ -10,19 +10,49 @@ from pyspark.sql import functions as F
 
 from .base import small_or_shuffled, stage
 
-#: fixed texts: the sentences by which files declare a licence
+#: fixed texts: the sentences by which files declare a licence, then headers and licence texts as they are published
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
-    "Proprietary": "All rights reserved. Unauthorized copying of this file is strictly prohibited",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+        obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
+        or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+        met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    ),
+    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0",),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
+        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE. See the GNU General Public License for more details.""",
+    ),
+    "ISC": (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies.""",
+    ),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3",),
+    "MIT": (
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the Software.""",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",),
+    "Proprietary": ("All rights reserved", "All rights reserved. Unauthorized copying of this file is strictly prohibited"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
 #: cosine at which a line or window declares a licence
 COSINE = 0.8
@@ -54,7 +84,7 @@ def _candidates(files: DataFrame, shapes: DataFrame, known: Column, rare: list[s
     return near.select("file_id", "license", F.explode(F.array_distinct(F.transform(F.concat(windows, lines), lambda ws: F.array_join(ws, " ")))).alias("content"))
 
 
-def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, cosine: float = COSINE) -> DataFrame:
     """``files``: file_id, path, text. Returns file_id, path, own (the licence that the file declares, or null), own_cosine, license and
     license_from: its own and "file", or that of the nearest ancestor directory with a licence file and the directory's path, or nulls.
 
@@ -63,7 +93,8 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: floa
     templates are weighted by their count times ln((1 + N) / (1 + n)) with n of all N files having the word, whichever word it is. A
     file declares the licence of its candidate with the highest cosine of at least ``cosine`` (ties: the first by name). A licence
     file is one named LICENSE, LICENCE or COPYING (any suffix); if a directory has several, the smallest path counts. Null texts and
-    paths declare and inherit nothing; an empty table gives an empty one. file_ids are unique; extra columns are not looked at.
+    paths declare and inherit nothing; an empty table gives an empty one. A row in, a row out: rows are told apart by file_id, path and
+    text, so a file_id may repeat; extra columns are not looked at. A licence may have several templates.
 
     A candidate's cosine is at most the norm of the template's words that it has, so only those where this reaches ``cosine`` go
     on. Equal candidates are scored once, and meet the document frequencies of their words by a join; the table of template words is
@@ -72,8 +103,9 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: floa
     """
     templates = templates or TEMPLATES
     spark = files.sparkSession
-    files = files.select("file_id", F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = {k: re.findall(WORD, v.lower()) for k, v in templates.items()}
+    files = files.select(F.col("file_id").alias("given_id"), F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    files = files.withColumn("file_id", F.xxhash64("given_id", "path", "text"))
+    counted = {f"{k}/{i}": re.findall(WORD, v.lower()) for k, vs in templates.items() for i, v in enumerate(vs)}
     vocabulary = sorted({w for v in counted.values() for w in v})
     total = files.count()
     seen = stage(files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "license-words")
@@ -101,8 +133,8 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: floa
     scored = scored.where("norm > 0").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= cosine)
     scored = stage(scored.select("license", "content", "cosine"), "license-scored")
     scored = candidates.join(small_or_shuffled(scored, scored.count(), BROADCAST_ROWS), ["license", "content"])
-    best = scored.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("file_id", F.col("b.license").alias("own"), (-F.col("b.c")).alias("own_cosine"))
-    own = stage(files.select("file_id", "path").join(best, "file_id", "left"), "license-own")
+    best = scored.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("file_id", F.substring_index("b.license", "/", 1).alias("own"), (-F.col("b.c")).alias("own_cosine"))
+    own = stage(files.select("file_id", "given_id", "path").join(best, "file_id", "left"), "license-own")
 
     base = F.element_at(F.split("path", "/", -1), -1)
     folder = F.regexp_replace("path", "/?[^/]*$", "")
@@ -112,4 +144,4 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: floa
     up = own.where("own is null and path is not null").select("file_id", F.explode(F.concat(F.array(F.lit("")), F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/")))).alias("folder")).distinct()
     nearest = up.join(named, "folder").groupBy("file_id").agg(F.max(F.struct(F.char_length("folder").alias("depth"), "folder", "given")).alias("n"))
     out = own.join(nearest, "file_id", "left")
-    return out.select("file_id", "path", "own", "own_cosine", F.coalesce("own", "n.given").alias("license"), F.when(F.col("own").isNotNull(), "file").otherwise(F.col("n.folder")).alias("license_from"))
+    return out.select(F.col("given_id").alias("file_id"), "path", "own", "own_cosine", F.coalesce("own", "n.given").alias("license"), F.when(F.col("own").isNotNull(), "file").otherwise(F.col("n.folder")).alias("license_from"))

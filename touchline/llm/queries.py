@@ -24,9 +24,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_files(docs: DataFrame) -> DataFrame:
-    """documents as files of a tree: a directory for each source, language and 64 numbers, the first file of which is its LICENSE."""
-    name = F.when(F.col("doc_id") % 64 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 64).cast("string"), name).alias("path"), "text")
+    """documents as files of a tree: a directory for each source, one for each language in it, and four in each of these. Every 16th document
+    lies directly in a language's directory, as one of its licence files; so does every 32nd (from the 8th on) in the innermost ones."""
+    number = lambda k: F.pmod("doc_id", F.lit(k))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
+    inner = F.concat(F.lit("d"), F.pmod(F.expr("doc_id div 32"), F.lit(4)).cast("string"))
+    plain = F.concat_ws("/", folder, inner, F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    path = F.when(number(16) == 0, F.concat_ws("/", folder, F.concat(F.lit("LICENSE."), "doc_id"))).when(number(32) == 8, F.concat_ws("/", folder, inner, F.concat(F.lit("COPYING."), "doc_id"))).otherwise(plain)
+    return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
