@@ -27,7 +27,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode(bpe.encode(docs)))
+    return bpe.digest(bpe.round_trip(docs))
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_copies), ("pii", sanitise), ("mixing", mix_sources), ("bpe", encode)]

@@ -18,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: words whose ids a task remembers; beyond that it starts anew with the next document
-REMEMBERED = 400_000
-#: rows whose results a task holds at once
-ROWS = 256
+#: words whose ids a task remembers; beyond that it starts anew
+REMEMBERED = 250_000
+#: rows, and bytes of text or ids, that a task works on at once; a longer text is on its own
+ROWS, BYTES = 256, 4 << 20
+#: kinds of normalizers that the encoder has in code; a vocabulary file with others is refused
+NORMALIZERS = ["Lowercase", "NFC", "Replace"]
 
 
 def default_vocabulary() -> str:
@@ -44,6 +46,8 @@ class Known(dict):
         self.bpe = bpe
 
     def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
         self[word] = ids = array("I", self.bpe.word(word)).tobytes()
         return ids
 
@@ -54,6 +58,8 @@ class Bpe:
     def __init__(self, source: str):
         spec = json.loads(source)
         model = spec["model"]
+        if sorted(x["type"] for x in spec["normalizer"]["normalizers"]) != NORMALIZERS:
+            raise ValueError("the vocabulary's normalizer is not the one that this encoder has")
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -101,10 +107,11 @@ class Bpe:
                 heapq.heappush(queue, found >> 32 << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def strings(self) -> Strings:
+        return Strings(self.vocab, self.added)
+
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final form of sigma
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
     def encode(self, text: str) -> bytes:
@@ -118,9 +125,13 @@ class Bpe:
 class Strings:
     """What decoding needs of a vocabulary file: the string of each id."""
 
-    def __init__(self, source: str):
+    def __init__(self, vocab: dict[str, int], added: dict[str, int]):
+        self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in added.items()}
+
+    @classmethod
+    def of(cls, source: str) -> Strings:
         spec = json.loads(source)
-        self.strings = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        return cls(spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]})
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -133,7 +144,7 @@ def _made(kind: type, source):
     """The encoder or decoder of a vocabulary, made once in a worker."""
     if (key := (kind.__name__, hash(source.value))) not in _loaded:
         _loaded.clear()
-        _loaded[key] = kind(source.value)
+        _loaded[key] = kind.of(source.value) if kind is Strings else kind(source.value)
     return _loaded[key]
 
 
@@ -143,6 +154,17 @@ def _source(df: DataFrame, vocabulary: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ROWS rows and about BYTES bytes of ``column``."""
+    ends = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
+    at = 0
+    while at < len(batch):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))
+        to = min(max(to, at + 1), at + ROWS, len(batch))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers) of every whole text, in the order of the rows.
 
@@ -154,8 +176,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _made(Bpe, source)
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                rows = batch.slice(at, ROWS)
+            for rows in _slices(batch, "text"):
                 yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": pa.array([bpe.encode(x.as_py() or "") for x in rows.column("text")], pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -169,13 +190,27 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = _made(Strings, source)
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                rows = batch.slice(at, ROWS)
+            for rows in _slices(batch, "ids"):
                 yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "text": pa.array([strings.decode(x.as_py() or b"") for x in rows.column("ids")], pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """What decode(encode(docs)) gives, with one Python worker a task instead of two."""
+    source = _source(docs, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _made(Bpe, source)
+        strings = bpe.strings()
+        for batch in batches:
+            for rows in _slices(batch, "text"):
+                ids = [bpe.encode(x.as_py() or "") for x in rows.column("text")]
+                yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": pa.array(ids, pa.binary()), "text": pa.array(map(strings.decode, ids), pa.string())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
     return decoded.select(

@@ -20,7 +20,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents")))
 
 
 def as_files(docs: DataFrame) -> DataFrame:
