@@ -56,3 +56,26 @@ def result_semantics(text: Column, hg: Column, ag: Column, stored: Column) -> Co
     """Whether a result can be scored as one of 90 minutes."""
     regular = F.lower(F.coalesce(text, F.lit(""))).rlike("regular|90")
     return F.when(hg.isNull() | ag.isNull() | (hg < 0) | (ag < 0), "semantics_needs_review").when(stored != C.outcome(hg, ag), "actual_result_mismatch").when(~regular, "not_90_minute_eligible").otherwise("ok")
+
+
+def suppressed(snaps: DataFrame, keys: list[str], at: str, kickoff: str, tie: str, minutes: int = 60) -> DataFrame:
+    """Snapshots that an automatic run would have written: one is left out if the last one written for its key before kickoff is at most
+    ``minutes`` old. Snapshots after kickoff suppress none.
+
+    What is written depends on what was written before, so it is a fold; but a snapshot more than ``minutes`` after all earlier ones of
+    its key begins anew. Only what lies between such gaps is folded together, not a key's whole history.
+    """
+    wait = F.expr(f"make_dt_interval(0, 0, {minutes})")
+    order = Window.partitionBy(*keys).orderBy(at, tie)
+    begins = F.coalesce(F.col(at) - F.lag(at).over(order) > wait, F.lit(True))
+    runs = snaps.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), (F.col(at) < F.col(kickoff)).alias("early"))))
+    runs = runs.groupBy(*keys, "run").agg(rows.alias("rows"))
+    kind = snaps.schema[at].dataType.simpleString()
+    zero = F.struct(F.lit(None).cast(kind).alias("latest"), F.array().cast(f"array<{snaps.schema[tie].dataType.simpleString()}>").alias("kept"))
+
+    def step(acc, x):
+        write = acc["latest"].isNull() | (acc["latest"] < x["at"] - wait)
+        return F.struct(F.when(write & x["early"], x["at"]).otherwise(acc["latest"]).alias("latest"), F.when(write, F.concat(acc["kept"], F.array(x["tie"]))).otherwise(acc["kept"]).alias("kept"))
+
+    return runs.select(*keys, F.explode(F.aggregate("rows", zero, step, lambda acc: acc["kept"])).alias(tie))

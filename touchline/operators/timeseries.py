@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,46 +47,48 @@ SIMPLE = EloConfig(start=1700.0, home_bonus=0.0, most=1e9, low=1200.0, high=2200
 def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFrame:
     """Ratings of both teams before and after each match, in the order of date and match_id.
 
-    A match changes two teams' state, so matches can't be dealt by team; they are dealt by connected component of who has played whom
-    (one task a component). State is a dict over teams, rows are streamed as Arrow; no goals: no row. Ratings round at the end only.
+    A match changes two teams' state, so matches can't be dealt by team; they are dealt by connected component of who has played whom.
+    A component's matches come to one task in order and pass through it batch by batch; all that it holds is the map from team to
+    rating. No goals: no row. Ratings round at the end only.
     """
     scored = matches.where("hg is not null and ag is not null")
     # teams joined by any chain of opponents share a component; one league is the usual case
     rows = scored.select("match_id", "match_date", "home", "away", F.col("hg").cast("double").alias("hg"), F.col("ag").cast("double").alias("ag"), "neutral", C.k_factor(F.col("comp_type")).alias("k"))
-    rows = rows.join(_leagues(rows), "home")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        pdf = pdf.sort_values(["match_date", "match_id"])
-        ratings: dict = {}
-        out = []
-        for home, away, hg, ag, neutral, k in zip(pdf.home, pdf.away, pdf.hg, pdf.ag, pdf.neutral, pdf.k, strict=True):
-            h, a = ratings.get(home, config.start), ratings.get(away, config.start)
-            expected = 1 / (1 + 10 ** ((a - h - (0 if neutral else config.home_bonus)) / 400))
-            score = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
-            factor = k * max(1.0, math.log(abs(hg - ag) + 1)) if config.k is None else config.k * (1 + min(abs(hg - ag), 4) * config.margin)
-            step = max(-config.most, min(config.most, factor * (score - expected)))
-            ratings[home], ratings[away] = min(config.high, max(config.low, h + step)), min(config.high, max(config.low, a - step))
-            out.append((h, a, ratings[home], ratings[away]))
-        res = pdf[["match_id", "match_date", "home", "away"]].copy()
-        res[["home_pre", "away_pre", "home_post", "away_post"]] = out
-        return res
-
-    return rows.groupBy("league").applyInPandas(fold, "match_id long, match_date date, home long, away long, home_pre double, away_pre double, home_post double, away_post double")
-
-
-def _leagues(rows: DataFrame) -> DataFrame:
+    rows = rows.join(_leagues(rows), "home").select("league", *rows.columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        league, ratings = None, {}
+        for batch in batches:
+            out = []
+            for own, home, away, hg, ag, neutral, k in zip(*[batch.column(c).to_pylist() for c in ("league", "home", "away", "hg", "ag", "neutral", "k")], strict=True):
+                if own != league:
+                    league, ratings = own, {}
+                h, a = ratings.get(home, config.start), ratings.get(away, config.start)
+                expected = 1 / (1 + 10 ** ((a - h - (0 if neutral else config.home_bonus)) / 400))
+                score = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
+                factor = k * max(1.0, math.log(abs(hg - ag) + 1)) if config.k is None else config.k * (1 + min(abs(hg - ag), 4) * config.margin)
+                step = max(-config.most, min(config.most, factor * (score - expected)))
+                ratings[home], ratings[away] = min(config.high, max(config.low, h + step)), min(config.high, max(config.low, a - step))
+                out.append((h, a, ratings[home], ratings[away]))
+            columns = zip(("home_pre", "away_pre", "home_post", "away_post"), zip(*out, strict=True) if out else [[]] * 4, strict=True)
+            yield pa.record_batch({c: batch.column(c) for c in ("match_id", "match_date", "home", "away")} | {c: pa.array(v, pa.float64()) for c, v in columns})
+
+    ordered = rows.repartition("league").sortWithinPartitions("league", "match_date", "match_id")
+    return ordered.mapInArrow(fold, "match_id long, match_date date, home long, away long, home_pre double, away_pre double, home_post double, away_post double")
+
+
+def _leagues(rows: DataFrame, rounds: int = 100) -> DataFrame:
     """home -> league: the smallest team that chains of matches reach. Teams are few next to matches, and labels settle in a few rounds."""
     pairs = rows.select("home", "away").unionByName(rows.select(F.col("away").alias("home"), F.col("home").alias("away"))).distinct().persist()
-    labels = pairs.groupBy("home").agg(F.least(F.min("away"), F.col("home")).alias("league"))
-    while True:
+    labels = pairs.groupBy("home").agg(F.least(F.min("away"), F.col("home")).alias("league")).persist()
+    for _ in range(rounds):
         near = pairs.join(labels.select(F.col("home").alias("away"), "league"), "away").groupBy("home").agg(F.min("league").alias("near"))
         new = labels.join(near, "home").select("home", F.least("league", "near").alias("league")).persist()
         moved = new.join(labels.withColumnRenamed("league", "old"), "home").where("league <> old").limit(1).count()
-        labels = new
         if not moved:
-            return labels
+            return new
+        labels = new
+    raise RuntimeError(f"leagues did not settle in {rounds} rounds")
 
 
 def elo_rows(elo: DataFrame) -> DataFrame:

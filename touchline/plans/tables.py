@@ -14,6 +14,7 @@ from ..operators import timeseries as S
 from ..operators import tournament as G
 from ..schemas import conform
 from ..sources.readers import parse_report
+from ..streaming import ledger as L
 from .base import Tables, query
 
 
@@ -119,11 +120,11 @@ def ledger_upsert(t: Tables):
     return D.upsert(m.where("match_id % 2 = 0 or match_id % 3 = 0"), m.where("match_id % 2 = 1 or match_id % 3 = 0").withColumn("hg", F.when(F.col("match_id") % 3 == 0, F.col("hg") + 10).otherwise(F.col("hg"))), "match_id")
 
 
-@query("bulk_sync_conflict", "match_id:l hg:l status:s", "SELECT match_id, hg, CASE WHEN match_id % 2 = 0 AND match_id % 3 = 0 THEN CASE WHEN match_id % 4 = 0 THEN 'conflict_needs_review' ELSE 'unchanged' END WHEN match_id % 2 = 0 THEN 'kept' ELSE 'inserted' END AS status FROM v_match WHERE match_id % 2 = 0 OR match_id % 3 = 0")
+@query("bulk_sync_conflict", "match_id:l hg:l status:s", "SELECT match_id, hg + CASE WHEN match_id % 12 = 0 THEN 1 ELSE 0 END AS hg, CASE match_id % 3 WHEN 2 THEN CASE WHEN match_id % 4 = 0 THEN 'conflict_needs_review' ELSE 'unchanged' END WHEN 1 THEN 'kept' ELSE 'inserted' END AS status FROM v_match")
 def bulk_sync(t: Tables):
-    m = t.match.select("match_id", "hg")
-    new = m.where("match_id % 3 = 0").withColumn("hg", F.when(F.col("match_id") % 4 == 0, F.col("hg") + 1).otherwise(F.col("hg")))
-    return D.bulk_sync(m.where("match_id % 2 = 0"), new, "match_id", ["hg"])
+    m = t.match.select("match_id", "hg")  # a third of the matches is old, a third new, and a third on both sides
+    new = m.where("match_id % 3 <> 1").withColumn("hg", F.when(F.col("match_id") % 4 == 0, F.col("hg") + 1).otherwise(F.col("hg")))
+    return D.bulk_sync(m.where("match_id % 3 <> 0"), new, "match_id", ["hg"])
 
 
 SNAPS = "SELECT event_id, ts, user_id, user_id % 7 AS version, TIMESTAMP '2024-01-16 12:00:00' + to_hours(CAST(user_id % 200 AS INT)) AS kickoff, value FROM events"
@@ -145,10 +146,13 @@ def duplicate_mark(t: Tables):
     return s.withColumn("place", place).select("event_id", F.when(~F.col("early"), "after_kickoff").when(F.col("place") == 1, "used").otherwise("superseded").alias("status"))
 
 
-@query("snapshot_suppress", "event_id:l", f"SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM ({SNAPS})) WHERE prev IS NULL OR ts - prev >= INTERVAL 60 MINUTE")
+@query("snapshot_suppress", "event_id:l", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, version, event_type ORDER BY ts, event_id) AS rn FROM (SELECT s.*, e.event_type FROM ({SNAPS}) s JOIN events e USING (event_id))),
+    r AS (SELECT user_id, version, event_type, rn, event_id, true AS kept, CASE WHEN ts < kickoff THEN ts END AS latest FROM n WHERE rn = 1
+    UNION ALL SELECT n.user_id, n.version, n.event_type, n.rn, n.event_id, r.latest IS NULL OR r.latest < n.ts - INTERVAL 60 MINUTE, CASE WHEN (r.latest IS NULL OR r.latest < n.ts - INTERVAL 60 MINUTE) AND n.ts < n.kickoff THEN n.ts ELSE r.latest END
+    FROM r JOIN n ON n.user_id = r.user_id AND n.version = r.version AND n.event_type = r.event_type AND n.rn = r.rn + 1) SELECT event_id FROM r WHERE kept""")
 def suppress(t: Tables):
-    s = snaps(t)
-    return s.withColumn("prev", F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("prev is null or ts - prev >= interval 60 minutes")
+    s = snaps(t).join(t("events").select("event_id", F.col("event_type").alias("mode")), "event_id")
+    return D.suppressed(s, ["user_id", "version", "mode"], "ts", "kickoff", "event_id")
 
 
 SEM = "SELECT match_id, CASE WHEN match_id % 10 = 0 THEN NULL ELSE hg END AS hg, ag, CASE match_id % 3 WHEN 0 THEN 'Regular time' WHEN 1 THEN 'after extra time' ELSE '90 minutes' END AS txt, CASE WHEN match_id % 7 = 0 THEN 'draw' WHEN hg > ag THEN 'home_win' WHEN hg = ag THEN 'draw' ELSE 'away_win' END AS stored FROM v_match"
@@ -162,7 +166,7 @@ def semantics(t: Tables):
     return m.select("match_id", D.result_semantics(text, F.when(F.col("match_id") % 10 != 0, F.col("hg")), F.col("ag"), stored).alias("status"))
 
 
-RESULTS = """SELECT match_id AS result_id, CASE WHEN match_id % 6 = 0 THEN match_id END AS match_id, CASE WHEN match_id % 4 = 1 THEN away ELSE home END AS home, CASE WHEN match_id % 4 = 1 THEN home ELSE away END AS away, match_date + CAST(CASE match_id % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 5 ELSE 0 END AS INT) AS day FROM v_match WHERE match_id % 2 = 0 OR match_id % 3 = 1"""
+RESULTS = """SELECT match_id AS result_id, CASE WHEN match_id % 6 = 0 THEN match_id END AS match_id, CASE WHEN match_id % 4 = 1 THEN away ELSE home END AS home, CASE WHEN match_id % 4 = 1 THEN home ELSE away END AS away, match_date + CAST(CASE match_id % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 5 ELSE 0 END AS INT) AS day FROM v_match"""
 CASCADE = f"""WITH r AS ({RESULTS}), c AS (SELECT result_id, f.match_id AS f_id, CASE WHEN r.match_id = f.match_id THEN 1 WHEN r.home = f.home AND r.away = f.away AND r.day = f.match_date THEN 2 WHEN r.home = f.home AND r.away = f.away THEN 3 WHEN r.home = f.away AND r.away = f.home AND r.day = f.match_date THEN 4 ELSE 5 END AS step
     FROM r JOIN v_match f ON r.match_id = f.match_id OR (abs(r.day - f.match_date) <= 1 AND least(r.home, r.away) = least(f.home, f.away) AND greatest(r.home, r.away) = greatest(f.home, f.away))),
     b AS (SELECT result_id, step, count(DISTINCT f_id) AS n, min(f_id) AS f_id FROM c WHERE (result_id, step) IN (SELECT (result_id, min(step)) FROM c GROUP BY result_id) GROUP BY 1, 2)
@@ -172,7 +176,7 @@ CASCADE = f"""WITH r AS ({RESULTS}), c AS (SELECT result_id, f.match_id AS f_id,
 def results(t: Tables) -> DataFrame:
     i, turned = F.col("match_id"), F.col("match_id") % 4 == 1
     shift = F.when(i % 5 == 0, 1).when(i % 5 == 1, -1).when(i % 5 == 2, 5).otherwise(0)
-    return t.match.where("match_id % 2 = 0 or match_id % 3 = 1").select(
+    return t.match.select(
         i.alias("result_id"), F.when(i % 6 == 0, i).alias("match_id"), F.when(turned, F.col("away")).otherwise(F.col("home")).alias("home"), F.when(turned, F.col("home")).otherwise(F.col("away")).alias("away"), F.date_add("match_date", shift).alias("day")
     )
 
@@ -208,9 +212,9 @@ def nearest(t: Tables):
 
 
 @query("full_reconcile", "k:l n_left:l n_right:l status:s", """SELECT k, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, CASE WHEN b.n IS NULL THEN 'unmatched' WHEN a.n IS NULL THEN 'unused' WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' ELSE 'matched' END AS status
-    FROM (SELECT c_custkey % 90 AS k, count(*) AS n FROM customer WHERE c_custkey < 95 GROUP BY 1) a FULL JOIN (SELECT s_suppkey * 3 AS k, count(*) AS n FROM supplier GROUP BY 1) b USING (k)""")
+    FROM (SELECT c_custkey - c_custkey % 30 // 29 AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_suppkey * 3 AS k, count(*) AS n FROM supplier GROUP BY 1) b USING (k)""")
 def reconcile(t: Tables):
-    return D.reconcile(t("customer").where("c_custkey < 95").select((F.col("c_custkey") % 90).alias("k")), t("supplier").select((F.col("s_suppkey") * 3).alias("k")), "k")
+    return D.reconcile(t("customer").select(F.expr("c_custkey - c_custkey % 30 div 29").alias("k")), t("supplier").select((F.col("s_suppkey") * 3).alias("k")), "k")
 
 
 @query("semi_join", "c_custkey:l", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -344,10 +348,10 @@ def term_score(t: Tables):
 
 def pairs(t: Tables) -> DataFrame:
     code = lambda c: F.lower(F.concat(F.lit("n"), F.col(c).cast("string")))
-    return t.match.where("match_date < date'1995-04-01'").select(F.col("match_id").alias("pair_id"), code("home").alias("home_code"), code("away").alias("away_code"), F.col("match_date").alias("day"))
+    return t.match.select(F.col("match_id").alias("pair_id"), code("home").alias("home_code"), code("away").alias("away_code"), F.col("match_date").alias("day"))
 
 
-SLUGS = """SELECT match_id AS pair_id, pos, 'fif-' || CASE WHEN pos % 2 = 0 THEN 'n' || home || '-n' || away ELSE 'n' || away || '-n' || home END || '-' || strftime(match_date + [0, 0, -1, -1, 1, 1][pos + 1], '%Y-%m-%d') AS slug FROM v_match, range(6) AS r(pos) WHERE match_date < DATE '1995-04-01'"""
+SLUGS = """SELECT match_id AS pair_id, pos, 'fif-' || CASE WHEN pos % 2 = 0 THEN 'n' || home || '-n' || away ELSE 'n' || away || '-n' || home END || '-' || strftime(match_date + [0, 0, -1, -1, 1, 1][pos + 1], '%Y-%m-%d') AS slug FROM v_match, range(6) AS r(pos)"""
 
 
 @query("slug_candidates", "pair_id:l pos:l slug:s", SLUGS)
@@ -386,19 +390,18 @@ def pdf_parse(t: Tables):
     return parse_report(t.match.select("match_id", text.alias("text")))
 
 
-@query("stream_ledger", "match_id:l version:l n:l", "SELECT user_id AS match_id, user_id % 7 AS version, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16 12:00:00' GROUP BY 1, 2")
+@query("stream_ledger", "match_id:l version:l n:l", "SELECT user_id AS match_id, user_id % 7 AS version, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16 12:00:00' + to_hours(CAST(user_id % 200 AS INT)) GROUP BY 1, 2")
 def stream_ledger(t: Tables):
-    """A stream over the events table, run to its end and read from the sink: snapshots in time, by match and version."""
-    import tempfile
+    """A stream over the events table, run to its end by the ledger's own steps and read from the sink: snapshots in time, by match and version."""
     import uuid
 
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="touchline-stream-")
-    at = f"{shared.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    at = f"{t.spark.conf.get('spark.checkpoint.dir').rstrip('/')}/ledger-{uuid.uuid4().hex}"
     schema = t("events").schema
-    source = t.spark.readStream.schema(schema).parquet(f"{t.dir}/events.parquet*") if "://" not in t.dir else t.spark.readStream.schema(schema).parquet(f"{t.dir}/events.parquet")
-    flagged = source.select(F.col("user_id").alias("match_id"), (F.col("user_id") % 7).alias("version"), (F.col("ts") < F.expr("timestamp_ntz'2024-01-16 12:00:00'")).alias("in_time"))
-    flagged.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/ckpt").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(flagged.schema).parquet(f"{at}/out").where("in_time").groupBy("match_id", "version").agg(F.count("*").alias("n"))
+    source = t.spark.readStream.schema(schema).parquet(f"{t.dir}/events.parquet*" if "://" not in t.dir else f"{t.dir}/events.parquet")
+    kickoff = F.expr("timestamp_ntz'2024-01-16 12:00:00' + make_dt_interval(0, cast(user_id % 200 as int))")
+    ledger = L.flagged(source.select(F.col("user_id").alias("match_id"), (F.col("user_id") % 7).alias("version"), F.col("ts").alias("snapshot_utc"), kickoff.alias("kickoff_utc")))
+    L.run_once(ledger, f"{at}/out", f"{at}/ckpt")
+    return t.spark.read.schema(ledger.schema).parquet(f"{at}/out").where("prediction_before_kickoff").groupBy("match_id", "version").agg(F.count("*").alias("n"))
 
 
 @query("league_context", "team:l played:l points:l share_of_best:d", "SELECT team, played, points, points * 1e0 / max(points) OVER () AS share_of_best FROM (SELECT team, count(*) AS played, sum(CASE WHEN team_goals > opponent_goals THEN 3 WHEN team_goals = opponent_goals THEN 1 ELSE 0 END) AS points FROM v_team GROUP BY 1)")

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def flagged(events: DataFrame) -> DataFrame:
+    """Snapshots with prediction_before_kickoff, which marks those in time; the others stay."""
+    return events.withColumn("prediction_before_kickoff", F.col("snapshot_utc") < F.col("kickoff_utc"))
+
+
 def snapshots(events: DataFrame, gap: str = "60 minutes") -> DataFrame:
     """One snapshot for each match and version within ``gap`` of event time; state is dropped behind the watermark.
 
     events: snapshot_utc, kickoff_utc (timestamps), match_id, version, and values. prediction_before_kickoff marks those in time; the
     others stay, flagged.
     """
-    return events.withWatermark("snapshot_utc", gap).dropDuplicatesWithinWatermark(["match_id", "version"]).withColumn("prediction_before_kickoff", F.col("snapshot_utc") < F.col("kickoff_utc"))
+    return flagged(events.withWatermark("snapshot_utc", gap).dropDuplicatesWithinWatermark(["match_id", "version"]))
 
 
 def with_results(ledger: DataFrame, results: DataFrame, delay: str = "4 hours", most: str = "3 days") -> DataFrame:
