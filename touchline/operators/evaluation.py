@@ -113,26 +113,31 @@ def promotion(by_set: DataFrame, base: str, least: int = 30) -> DataFrame:
     return j.withColumn("status", F.when(F.col("parameter_set") == base, "baseline").when(F.col("n") < least, "sample_too_small").when(better, "promoted").otherwise("not_promoted"))
 
 
-def walk_forward_shrinkage(rows: DataFrame, least: int = 30, steps: int = 11) -> DataFrame:
-    """Each row scored with the shrinkage weight (0, 0.05, ...) towards base rates that was best on all rows before it.
+def walk_forward_shrinkage(rows: DataFrame, least: int = 30, steps: int = 11, digits: int = 3) -> DataFrame:
+    """Each row scored with the shrinkage weight (0, 0.05, ...) towards base rates that was best on all rows of earlier days.
 
-    Base rates are running counts. The loss of a weight over all earlier rows depends on the base rates of that moment, so it isn't a
-    running sum; each row joins its prefix, a range join that is meant for thousands of scored matches. rows: match_id, order columns
-    match_date and match_id, home_win, draw, away_win, actual.
+    Base rates are running counts with one added for each outcome; a day needs ``least`` rows before it. What a weight would have lost
+    depends on the base rates of the moment, so it isn't a running sum of rows. It is one of counts, though: earlier rows count by
+    outcome and by the probability that they gave it, rounded to ``digits``. So the work is days x probabilities x weights, however
+    many rows there are. rows: match_id, match_date, home_win, draw, away_win, actual.
     """
-    order = Window.orderBy("match_date", "match_id")
-    prefix = order.rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda o: F.coalesce(F.sum(F.when(F.col("actual") == o, 1.0).otherwise(0.0)).over(prefix), F.lit(0.0)) + 1
-    rn = rows.select("match_id", "match_date", *P, "actual", F.row_number().over(order).alias("rn"), *[count(o).alias(f"n_{o}") for o in P])
-    total = F.col("n_home_win") + F.col("n_draw") + F.col("n_away_win")
-    rn = rn.withColumns({f"b_{o}": F.col(f"n_{o}") / total for o in P})
-    train = rn.select(F.col("rn").alias("t_rn"), F.col("actual").alias("t_actual"), C.of_actual(*[F.col(p) for p in P], F.col("actual")).alias("t_p"))
-    test = rn.where(F.col("rn") > least)
-    pairs = test.select("rn", *[f"b_{o}" for o in P]).join(train, F.col("t_rn") < F.col("rn"))
-    w = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: i / 20.0)).alias("w")
-    base = C.of_actual(*[F.col(f"b_{o}") for o in P], F.col("t_actual"))
-    losses = pairs.select("rn", base.alias("b"), "t_p", w).groupBy("rn", "w").agg(F.round(F.avg(C.log_loss((1 - F.col("w")) * F.col("t_p") + F.col("w") * F.col("b"))), 9).alias("loss"))
-    best = losses.groupBy("rn").agg(F.min(F.struct("loss", "w")).alias("x")).select("rn", F.col("x.w").alias("weight"))
-    out = test.join(best, "rn")
+    p = F.round(C.of_actual(*[F.col(o) for o in P], F.col("actual")), digits)
+    daily = rows.groupBy("match_date", "actual", p.alias("p")).agg(F.count("*").alias("n"))
+    days = Window.orderBy("match_date")  # of one row a day
+    of = lambda o: F.coalesce(F.sum(f"n_{o}").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    each = daily.groupBy("match_date").agg(*[F.sum(F.when(F.col("actual") == o, F.col("n")).otherwise(0)).alias(f"n_{o}") for o in P])
+    each = each.select("match_date", F.row_number().over(days).alias("day"), *[of(o).alias(f"c_{o}") for o in P])
+    total = F.col("c_home_win") + F.col("c_draw") + F.col("c_away_win")
+    each = each.withColumns({f"b_{o}": F.col(f"c_{o}") / total for o in P} | {"before": total - 3}).drop(*[f"c_{o}" for o in P]).persist()
+    last = each.agg(F.max("day")).first()[0] or 0
+    bucket = Window.partitionBy("actual", "p").orderBy("day")
+    counted = daily.join(each.select("match_date", "day"), "match_date").select("actual", "p", "day", F.sum("n").over(bucket).alias("n"), F.coalesce(F.lead("day").over(bucket), F.lit(last)).alias("to"))
+    counted = counted.where("to > day").select("actual", "p", "n", F.explode(F.sequence(F.col("day") + 1, F.col("to"))).alias("day"))
+    base = C.of_actual(*[F.col(f"b_{o}") for o in P], F.col("actual"))
+    weights = [i / 20.0 for i in range(steps)]
+    lost = [F.round(F.sum(F.col("n") * C.log_loss((1 - w) * F.col("p") + w * base)) / F.sum("n"), 9) for w in weights]
+    best = counted.join(each.where(F.col("before") >= least), "day").groupBy("match_date").agg(F.array(*[F.struct(x.alias("loss"), F.lit(w).alias("w")) for x, w in zip(lost, weights, strict=True)]).alias("x"))
+    best = best.select("match_date", F.array_min("x")["w"].alias("weight")).join(each, "match_date")
+    out = rows.join(best, "match_date")
     blended = out.withColumns({o: (1 - F.col("weight")) * F.col(o) + F.col("weight") * F.col(f"b_{o}") for o in P})
     return scored(blended).select("match_id", "weight", *P, "brier", "log_loss", "hit")

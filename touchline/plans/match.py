@@ -465,12 +465,13 @@ def team_sensitivity(t: Tables):
 
 @query("walk_forward_calib", "match_id:l weight:d home_win:d draw:d away_win:d brier:d log_loss:d", """SELECT match_id, w AS weight, h AS home_win, d AS draw, a AS away_win, pow(h - CASE WHEN actual = 'home_win' THEN 1 ELSE 0 END, 2) + pow(d - CASE WHEN actual = 'draw' THEN 1 ELSE 0 END, 2) + pow(a - CASE WHEN actual = 'away_win' THEN 1 ELSE 0 END, 2) AS brier,
     -ln(greatest(1e-3, least(999e-3, CASE actual WHEN 'home_win' THEN h WHEN 'draw' THEN d ELSE a END))) AS log_loss FROM (SELECT *, (1 - w) * home_win + w * bh AS h, (1 - w) * draw + w * bd AS d, (1 - w) * away_win + w * ba AS a FROM (
-    WITH n AS (SELECT *, row_number() OVER (ORDER BY match_date, match_id) AS rn FROM v_prob WHERE match_date >= DATE '2001-05-01'),
-    b AS (SELECT *, 1 + coalesce(sum((actual = 'home_win')::int) OVER o, 0) AS ch, 1 + coalesce(sum((actual = 'draw')::int) OVER o, 0) AS cd, 1 + coalesce(sum((actual = 'away_win')::int) OVER o, 0) AS ca, ch / (ch + cd + ca) AS bh, cd / (ch + cd + ca) AS bd, ca / (ch + cd + ca) AS ba FROM n WINDOW o AS (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    l AS (SELECT e.rn, i / 2e1 AS w, round(avg(-ln(greatest(1e-3, least(999e-3, (1 - i / 2e1) * t.p_actual + i / 2e1 * CASE t.actual WHEN 'home_win' THEN e.bh WHEN 'draw' THEN e.bd ELSE e.ba END)))), 9) AS loss FROM b e JOIN n t ON t.rn < e.rn, range(11) AS g(i) WHERE e.rn > 30 GROUP BY 1, 2)
-    SELECT b.*, f.w FROM b JOIN (SELECT rn, arg_min(w, struct_pack(l := loss, w := w)) AS w FROM l GROUP BY 1) f USING (rn))) """)
+    WITH n AS (SELECT *, round(p_actual, 3) AS p3 FROM v_prob), c AS (SELECT match_date, sum((actual = 'home_win')::int) AS ch, sum((actual = 'draw')::int) AS cd, sum((actual = 'away_win')::int) AS ca FROM n GROUP BY 1),
+    b AS (SELECT match_date, 1 + coalesce(sum(ch) OVER o, 0) AS nh, 1 + coalesce(sum(cd) OVER o, 0) AS nd, 1 + coalesce(sum(ca) OVER o, 0) AS na, nh / (nh + nd + na) AS bh, nd / (nh + nd + na) AS bd, na / (nh + nd + na) AS ba FROM c WINDOW o AS (ORDER BY match_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    h AS (SELECT match_date, actual, p3, count(*) AS k FROM n GROUP BY ALL),
+    l AS (SELECT e.match_date, i / 2e1 AS w, round(sum(k * -ln(greatest(1e-3, least(999e-3, (1 - i / 2e1) * t.p3 + i / 2e1 * CASE t.actual WHEN 'home_win' THEN e.bh WHEN 'draw' THEN e.bd ELSE e.ba END)))) / sum(k), 9) AS loss FROM b e JOIN h t ON t.match_date < e.match_date, range(11) AS g(i) WHERE nh + nd + na - 3 >= 30 GROUP BY 1, 2)
+    SELECT n.*, bh, bd, ba, f.w FROM n JOIN b USING (match_date) JOIN (SELECT match_date, arg_min(w, struct_pack(l := loss, w := w)) AS w FROM l GROUP BY 1) f USING (match_date))) """)
 def walk_forward(t: Tables):
-    return E.walk_forward_shrinkage(t.prob.where("match_date >= date '2001-05-01'"))
+    return E.walk_forward_shrinkage(t.prob)
 
 
 @query("goal_stats_by_comp", "comp_type:s n:l goals_mean:d over_share:d btts_share:d draw_share:d", "SELECT comp_type, count(*) AS n, avg(hg + ag) AS goals_mean, avg((hg + ag >= 3)::int) AS over_share, avg((hg > 0 AND ag > 0)::int) AS btts_share, avg((hg = ag)::int) AS draw_share FROM v_match GROUP BY 1")
