@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import licenses, mixing, sharding, toxicity, transport
+from touchline.llm import base, licenses, mixing, sharding, toxicity, transport
 from touchline.llm.base import table
 from touchline.llm.queries import QUERIES
 
@@ -216,3 +216,22 @@ def test_shards_are_even_and_gapless(spark):
         assert abs(sum(x["size"] for x in own) - total / 40) <= most
     order = sorted(got, key=lambda x: (x.doc_id, x.text_crc32, x["size"]))
     assert [x.shard for x in order] == sorted(x.shard for x in got)
+
+
+@pytest.mark.parametrize("shape", ["none", "loops", "chain", "star", "random"])
+def test_components(spark, shape):
+    r = random.Random(3)
+    edges = {
+        "none": [],
+        "loops": [(4, 4), (5, 5)],
+        "chain": [(i, i + 1) for i in range(-40, 60)],
+        "star": [(7, i) for i in range(300)] + [(-3, 299), (-3, 299)],
+        "random": [(r.randrange(-400, 400) * 10**15, r.randrange(-400, 400) * 10**15) for _ in range(350)],
+    }[shape]
+    low = {x: x for e in edges for x in e}
+    while any(low[a] != low[b] for a, b in edges):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    want = sorted((x, c) for x, c in low.items() if any(x in e and e[0] != e[1] for e in edges))
+    got = base.components(spark.createDataFrame(edges, "a long, b long").repartition(5))
+    assert sorted(map(tuple, got.collect())) == want

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,29 +103,67 @@ def perhaps(df: DataFrame, among: DataFrame, key: str, keep: str = "") -> DataFr
     return out.drop("bitmap_word", "bitmap_bits")
 
 
+#: edges that a task contracts at once, and edges of a partition between two rounds, about
+FOREST_EDGES, ROUND_EDGES = 200_000, 20_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars with the same components as the edges (a, b): each node but the smallest of its component, and that one."""
+    values, dense = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = dense[: len(a)], dense[len(a) :]
+    label = np.arange(len(values))
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new != (further := new[new])).any():
+            new = further
+        if (new == label).all():
+            break
+        label = new
+    leaf = label != np.arange(len(values))
+    return values[leaf], values[label[leaf]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task as stars, FOREST_EDGES at a time."""
+    held, n = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += len(batch)
+        if n and (batch is None or n >= FOREST_EDGES):
+            u, v = forest(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.record_batch({"u": u, "v": v})
+            held, n = [], 0
+
+
+def _stars(now: DataFrame) -> bool:
+    """Whether each node u has one edge, to a node v that is no other edge's u."""
+    ends = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("hub")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("hub")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("hub").alias("hub")).where("out + hub > 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
+    """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014), after each task has contracted its own edges.
 
-    ``edges``: two long columns, in any order, repeats and loops allowed. Returns ``node, component`` for every node with
-    an edge to another node; the component is its smallest node. Each step aggregates before it joins, so a node with
-    very many neighbours is never gathered in one group.
+    ``edges``: two long columns without nulls, in any order, repeats and loops allowed. Returns ``node, component`` for every node
+    with an edge to another node; the component is its smallest node. Each step aggregates before it joins, so a node with
+    very many neighbours is never gathered in one group. The steps end once all edges are stars. Partitions between two rounds
+    are in proportion to the edges.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now, seen = cut(now), None
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_forests, "u long, v long").distinct())
     for _ in range(rounds):
+        if _stars(now):
+            break
+        parts = max(8, now.count() // ROUND_EDGES)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         now = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = now.groupBy("u").agg(F.min("v").alias("m"))
         now = now.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(now)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+        now = cut(now.coalesce(parts))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    low = now.groupBy("u").agg(F.min("v").alias("component"))
-    return low.select(F.col("u").alias("node"), "component").unionByName(low.select(F.col("component").alias("node"), "component").distinct())
+    named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())
