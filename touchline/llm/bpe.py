@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: words whose ids a task remembers; beyond that it starts anew
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: rows, and bytes of text or ids, that a task works on at once; a longer text is on its own
 ROWS, BYTES = 256, 4 << 20
 #: kinds of normalizers that the encoder has in code; a vocabulary file with others is refused
