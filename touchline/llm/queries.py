@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, ngram_join, pii, quality, sharding, toxicity, transport
+from . import bpe, divergence, langid, licenses, mixing, ngram_join, pii, prefix_trie, quality, sharding, toxicity, transport, vector_dedup
 from .base import table
 from .sql import ORACLES  # noqa: F401
 
@@ -65,10 +65,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.tree(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(divergence.audit(table(spark, sf_dir, "documents"), 3), 200)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op4_licenses, op5_quality, op6_sharding, op7_transport, op8_mixing, op9_ngram_join, op10_langid, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op4_licenses, op5_quality, op6_sharding, op7_transport, op8_mixing, op9_ngram_join, op10_langid, op11_prefix_trie, op12_vector_dedup, op13_divergence, pipeline)}

@@ -73,4 +73,39 @@ reach AS (SELECT node AS a, node AS b FROM e UNION SELECT r.a, l.b FROM reach r
 c AS (SELECT a AS node, min(e.low) AS component_id FROM reach JOIN e ON e.node = reach.b GROUP BY 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM k LEFT JOIN c ON c.node = k.node AND k.n > 0"""
 
-ORACLES = {"op5_quality": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op9_ngram_join": OP9}
+_TURN = "coalesce(role, ''), coalesce(text, '')"
+OP11 = f"""WITH {CRC_TABLE}, n AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN}) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, n, conv_id - conv_id % 5 AS base, {CRC.replace("coalesce(text, '')", "CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT conv_id, max(pos) AS n FROM n GROUP BY conv_id), crc_table),
+b AS (SELECT c.*, least(c.h, coalesce(o.n, 0)) AS head FROM c LEFT JOIN c o ON o.conv_id = c.base),
+t AS (SELECT b.conv_id, pos AS depth, role, text FROM b JOIN n ON n.conv_id = b.base AND pos <= head UNION ALL SELECT b.conv_id, head + pos - h, role, text FROM b JOIN n ON n.conv_id = b.conv_id AND pos > h),
+p AS MATERIALIZED (SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS bytes FROM c UNION ALL SELECT conv_id, depth, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth)), strlen(text) FROM t),
+m AS MATERIALIZED (SELECT depth, prefix, min(conv_id) AS node, count(*) AS n_convs, max(bytes) AS bytes FROM p GROUP BY depth, prefix),
+path AS MATERIALIZED (SELECT conv_id, depth, node, n_convs, m.bytes, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p JOIN m USING (depth, prefix)),
+x AS MATERIALIZED (SELECT m.depth, m.node, m.n_convs, m.bytes, o.node AS parent FROM m LEFT JOIN path o ON o.conv_id = m.node AND o.depth = m.depth - 1),
+k AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM x WHERE depth > 0 GROUP BY ALL),
+y AS MATERIALIZED (SELECT x.*, coalesce(n_children, 0) AS n_children FROM x LEFT JOIN k USING (depth, node)),
+a AS (SELECT path.depth, path.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((y.n_convs - 1) * y.bytes) AS saved FROM y JOIN path ON path.conv_id = y.node AND path.depth <= y.depth GROUP BY ALL),
+e AS (SELECT depth, node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM path WHERE last GROUP BY ALL)
+SELECT node AS conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM y JOIN a USING (depth, node) LEFT JOIN e USING (depth, node)"""
+
+OP12 = """WITH RECURSIVE r AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS MATERIALIZED (SELECT rid, x FROM r WHERE len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM g a JOIN g b ON a.rid <> b.rid AND len(a.x) = len(b.x) AND CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) END >= 0.95e0),
+c AS (SELECT rid AS a, rid AS b FROM r UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+m AS (SELECT a AS rid, min(vec_id) AS component_id FROM c JOIN r ON r.rid = c.b GROUP BY 1), n AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM r JOIN m USING (rid) LEFT JOIN n USING (rid)"""
+
+_P = "1 + 1000000000 * (CAST({} AS HUGEINT) + 1) // greatest({} + n_terms, 1)"
+OP13 = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS n_terms, CAST(sum(total) AS HUGEINT) AS n_lang FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (SELECT lang, source, coalesce(n_terms, 0) AS n_terms, coalesce(n_lang, 0) AS n_lang, CAST(coalesce(s.n, 0) AS HUGEINT) AS n_group FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s USING (lang, source)),
+f AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_P.format("coalesce(c.n, 0)", "n_group")} AS p, {_P.format("total", "n_lang")} AS q FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+o AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(o.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN o ON o.lang = a.lang AND o.source = a.source AND o.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM f WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES = {"op5_quality": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op9_ngram_join": OP9, "op11_prefix_trie": OP11, "op12_vector_dedup": OP12, "op13_divergence": OP13}
