@@ -9,6 +9,7 @@ from touchline.llm import quality
 from touchline.llm.queries import ORACLES, QUERIES
 
 OPS = [n for n in QUERIES if n != "pipeline"]
+ROW_OPS = [n for n in OPS if int(n[2:].split("_")[0]) <= 10]  # a row out for each document
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
@@ -19,7 +20,7 @@ def test_as_sql(spark, odd_folder, name):
         same(QUERIES[name](spark, folder).toArrow().to_pylist(), sql(ORACLES[name], folder))
 
 
-@pytest.mark.parametrize("name", OPS)
+@pytest.mark.parametrize("name", ROW_OPS)
 def test_odd_rows_come_out(spark, odd_folder, name):
     ids = [r.doc_id for r in spark.read.parquet(f"{odd_folder}/documents.parquet").collect()]
     got = QUERIES[name](spark, odd_folder).collect()

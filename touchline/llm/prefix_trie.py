@@ -156,16 +156,19 @@ def _chains(levels: list[DataFrame], turns: DataFrame, convs: DataFrame) -> Data
     return root.unionByName(rows.select(*node(F.col("at"), F.when(F.col("at") == F.greatest("depth", F.lit(1)), F.coalesce("parent", "conv_id")).otherwise(F.col("conv_id")))))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """depth, node, conv_id in order -> the ids of each node in decimal, joined by commas, in pieces: depth, node, first id, ids."""
-    for batch in batches:
-        depth, node, conv = (batch.column(i).to_numpy() for i in range(3))
-        if not len(conv):
-            continue
-        cuts = np.flatnonzero(np.concatenate([[True], (depth[1:] != depth[:-1]) | (node[1:] != node[:-1])]))
-        cuts = np.unique(np.concatenate([cuts, np.arange(0, len(conv), PIECE)]))
-        text = [",".join(map(str, x.tolist())) for x in np.split(conv, cuts[1:])]
-        yield pa.record_batch({"depth": depth[cuts], "node": node[cuts], "first": conv[cuts], "ids": pa.array(text, pa.string())})
+def _pieces(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """depth, node, conv_id in order -> the ids of each node in decimal, joined by commas, in pieces: depth, node, first id, ids."""
+        for batch in batches:
+            depth, node, conv = (batch.column(i).to_numpy() for i in range(3))
+            if not len(conv):
+                continue
+            cuts = np.flatnonzero(np.concatenate([[True], (depth[1:] != depth[:-1]) | (node[1:] != node[:-1])]))
+            cuts = np.unique(np.concatenate([cuts, np.arange(0, len(conv), size)]))
+            text = [",".join(map(str, x.tolist())) for x in np.split(conv, cuts[1:])]
+            yield pa.record_batch({"depth": depth[cuts], "node": node[cuts], "first": conv[cuts], "ids": pa.array(text, pa.string())})
+
+    return run
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +190,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"depth": [now[0]], "conv_id": [now[1]], "ends_sha256": [digest.hexdigest()]})
 
 
-def with_ends(trie: Trie) -> DataFrame:
+def with_ends(trie: Trie, piece: int = PIECE) -> DataFrame:
     """The nodes with ends_sha256: of the decimal ids of conversations that end there, ascending, joined by commas (none: of nothing)."""
     order = ["depth", "node", "conv_id"]
-    pieces = trie.ends.select(F.col("depth").cast("long").alias("depth"), "node", "conv_id").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pieces, "depth long, node long, first long, ids string")
+    pieces = trie.ends.select(F.col("depth").cast("long").alias("depth"), "node", "conv_id").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pieces(piece), "depth long, node long, first long, ids string")
     digests = pieces.repartition("depth", "node").sortWithinPartitions("depth", "node", "first").mapInArrow(_digests, "depth long, conv_id long, ends_sha256 string")
     alone = F.when((F.col("n_convs") == 1) & (F.col("n_children") == 0), F.sha2(F.col("conv_id").cast("string").cast("binary"), 256))
     none = F.lit(hashlib.sha256(b"").hexdigest())
