@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -37,12 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share: that of the session, or of its context; an error if neither names one."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="touchline-ckpt-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    named, own = spark.conf.get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if not named and not own.isDefined():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not own.isDefined():
+        sc.setCheckpointDir(named)
+    return named or own.get()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +69,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as keep it apart from the names in ``taken`` (in any case)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def spaced(text: Column) -> Column:
     """The text with a blank for each other kind of white space; an empty one for a null."""
     return F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")

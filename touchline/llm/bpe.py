@@ -17,9 +17,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: words whose ids a task remembers; beyond that it starts anew
-REMEMBERED = 120_000
+#: words whose ids a task remembers, beyond which it starts anew, and characters of a word that it remembers: at most some 70 MB in all
+REMEMBERED, REMEMBERED_CHARS = 120_000, 64
 #: rows, and bytes of text or ids, that a task works on at once; a longer text is on its own
 ROWS, BYTES = 256, 4 << 20
 #: kinds of normalizers that the encoder has in code; a vocabulary file with others is refused
@@ -46,9 +47,11 @@ class Known(dict):
         self.bpe = bpe
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids = array("I", self.bpe.word(word)).tobytes()
+        ids = array("I", self.bpe.word(word)).tobytes()
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -196,9 +199,10 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """What decode(encode(docs)) gives, with one Python worker a task instead of two."""
+def round_trip(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What decode(encode(docs)) gives, with one Python worker a task instead of two, and the columns ``keep`` of ``docs`` (of other names)."""
     source = _source(docs, vocabulary)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[docs.schema[c] for c in keep], T.StructField("ids", T.BinaryType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _made(Bpe, source)
@@ -206,15 +210,17 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             for rows in _slices(batch, "text"):
                 ids = [bpe.encode(x.as_py() or "") for x in rows.column("text")]
-                yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": pa.array(ids, pa.binary()), "text": pa.array(map(strings.decode, ids), pa.string())})
+                own = {c: rows.column(c) for c in ("doc_id", *keep)}
+                yield pa.record_batch(own | {"ids": pa.array(ids, pa.binary()), "text": pa.array(map(strings.decode, ids), pa.string())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInArrow(run, schema)
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
+def digest(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, n_tokens and the digests of ids and decoded text."""
     return decoded.select(
         "doc_id",
+        *keep,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),

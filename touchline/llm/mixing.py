@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, n_words, perhaps, spaced, stage
+from .base import cut, free_name, n_words, perhaps, spaced, stage
 
 #: words of a block
 BLOCK = 512
@@ -142,22 +142,29 @@ def first_words(text: Column, n: Column) -> Column:
     return F.substring(text, F.lit(1), F.aggregate(F.split(spaced(text), " ", -1), zero, step, lambda acc: acc["end"]))
 
 
+def slot_name(columns: list[str]) -> str:
+    """The column of mixed() that tells the slot: mix_slot, or a longer name if there is such a column already."""
+    return free_name("mix_slot", columns)
+
+
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix has them, in the order of its slots: range-partitioned by the first slot of each document's pass and sorted
-    within, so that each beginning of the files holds the sources near their target shares.
+    """``docs`` as the mix has them, with slot_name(): the first slot of each document's pass in the schedule. Read in the order of this column, each
+    beginning of the rows holds the sources near their target shares, wherever and however often they have been written.
 
     Keeps all columns of ``docs``; n_chars, if there is one, is that of the text. A document that is taken once and a half comes twice,
     the second time cut after the words taken (white space before that is kept). Documents of which nothing is taken go. Rows equal in
-    doc_id, source and text stand for each other; what is taken of them all is given out whole.
+    doc_id, source and text stand for each other; what is taken of them all is given out whole. Texts move once, to meet the plan.
     """
+    slot = slot_name(docs.columns)
     rows, pieces = mix(docs, **how)
-    plan = pieces.groupBy("sid", "place", "pass").agg(F.min("row").alias("mix_row"), F.min("size").alias("mix_size"), F.min("slot").alias("mix_slot"), F.sum(F.col("word_to") - F.col("word_from")).alias("mix_words"))
-    plan = stage(plan.drop("sid", "place", "pass"), "mix-plan")
+    plan = pieces.groupBy("sid", "place", "pass").agg(F.min("row").alias("mix_row"), F.min("size").alias("mix_size"), F.min("slot").alias("slot"), F.sum(F.col("word_to") - F.col("word_from")).alias("mix_words"))
+    plan = stage(plan.select("mix_row", F.struct("slot", F.col("mix_size").alias("size"), F.col("mix_words").alias("words")).alias("mix_plan")), "mix-plan")
     twice = stage(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("mix_row")), "mix-equal")
-    hashed = perhaps(docs.withColumn("mix_row", row_hash()), twice, "mix_row", keep="mix_twice")
+    own = F.struct(*docs.columns).alias("mix_own")
+    hashed = perhaps(docs.select(own, row_hash().alias("mix_row")), twice, "mix_row", keep="mix_twice")
     single = hashed.where("not mix_twice").unionByName(hashed.where("mix_twice").dropDuplicates(["mix_row"]))
     joined = single.join(plan.hint("merge"), "mix_row")
-    text = F.when(F.col("mix_words") == F.col("mix_size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("mix_words").cast("int")))
-    out = joined.withColumn("text", text)
-    out = (out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns, "mix_slot")
-    return out.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot").drop("mix_slot")
+    whole = F.col("mix_own.text")
+    text = F.when(F.col("mix_plan.words") == F.col("mix_plan.size"), whole).otherwise(first_words(whole, F.col("mix_plan.words").cast("int")))
+    kept = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return joined.select(*[kept.get(c, F.col(f"mix_own.`{c}`")).alias(c) for c in docs.columns], F.col("mix_plan.slot").alias(slot))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textblocks as tb
-from .base import cut
+from .base import cut, free_name
 
 #: labelled rows that learning uses at most; those with the lowest hash of doc_id
 LABELLED = 40_000
@@ -158,7 +158,7 @@ def _features(model: Model, n: np.ndarray, found: list[list[float]]) -> np.ndarr
     return out
 
 
-def _scan(shared, spans: bool, carry: bool = False):
+def _scan(shared, spans: bool, carry: bool = False, names: tuple[str, str] = ("score", "passages")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
@@ -178,7 +178,7 @@ def _scan(shared, spans: bool, carry: bool = False):
                         limit = (math.log(max(int(n[d]), 1) * model.k) - math.log(EXPECTED)) / model.lam + model.low
                         at = piece.offsets[d]
                         rows.append([{"begin": int(w.starts[first[d] + b] - at), "end": int(w.ends[first[d] + e - 1] - at), "score": s} for s, b, e in segs if s >= limit])
-                    out |= {"score": pa.array(p), "passages": pa.array(rows, pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64(), "score": pa.float64()})))}
+                    out |= {names[0]: pa.array(p), names[1]: pa.array(rows, pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64(), "score": pa.float64()})))}
                 yield pa.record_batch(out)
 
     return run
@@ -245,14 +245,20 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     return model._replace(fit=_logistic(x[order], y[order].astype(float)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "passages")) -> DataFrame:
     """All columns of ``docs``, with score (probability of being toxic) and passages (array of begin, end in UTF-8 bytes, and score of
-    every significant segment) of every whole text. A null or empty text has no tokens and the score of that. A row in, a row
-    out; columns that are called score or passages already are replaced."""
+    every significant segment) of every whole text, under these ``names``. A null or empty text has no tokens and the score of that. A row
+    in, a row out; columns that have these names already are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("score", "passages")
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))])
-    return rows.mapInArrow(_scan(shared, True, True), schema)
+    rows = docs.drop(*names)
+    schema = T.StructType([*rows.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))])
+    return rows.mapInArrow(_scan(shared, True, True, names), schema)
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with a score below 0.5, as they are: also columns that are called score or passages."""
+    names = free_name("score", docs.columns), free_name("passages", docs.columns)
+    return score(docs, model, names).where(F.col(names[0]) < 0.5).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
