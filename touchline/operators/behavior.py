@@ -38,10 +38,6 @@ def quality_modifier(elo: Column, strength: float = 0.35, baseline: float = 1500
     return C.clamp(1 + (F.coalesce(elo, F.lit(baseline)) - baseline) / 400 * strength, 0.75, 1.25)
 
 
-def _rate(condition: str) -> Column:
-    return C.weighted_mean(F.when(F.expr(condition), 1.0).otherwise(0.0), F.col("w"))
-
-
 def _composite(parts: list[tuple[Column, float]], default: float = 0.5) -> Column:
     """Weighted mean of the parts that are there, their weights scaled up to 1."""
     value = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in parts[1:]), F.coalesce(parts[0][0] * parts[0][1], F.lit(0.0)))
@@ -49,39 +45,60 @@ def _composite(parts: list[tuple[Column, float]], default: float = 0.5) -> Colum
     return F.when(weight > 0, C.clamp(value / weight, 0.0, 1.0)).otherwise(default)
 
 
+#: rates of matches with a condition
+RATES = {
+    "scoring_rate": "team_goals > 0",
+    "multi_goal_rate": "team_goals >= 2",
+    "clean_sheet_rate": "opponent_goals = 0",
+    "multi_conceded_rate": "opponent_goals >= 2",
+    "win_rate": "team_goals > opponent_goals",
+    "btts_rate": "team_goals > 0 and opponent_goals > 0",
+    "over_1_5_rate": "team_goals + opponent_goals >= 2",
+    "over_2_5_rate": "team_goals + opponent_goals >= 3",
+    "failed_to_score_rate": "team_goals = 0",
+}
+
+
+def sums(rows: DataFrame, *by: str, more: list[Column] | None = None) -> DataFrame:
+    """What means() divides: n_matches, the sum of weights (w), and weighted sums of goals, rates, points and residuals, by ``by``. Sums of parts
+    add up to those of the whole, so they can be taken by day first. Rows without a weight above 0 count in n_matches only."""
+    w = F.when(F.col("w") > 0, F.col("w"))
+    robust = w * F.col("blowout")
+    points = F.when(F.col("team_goals") > F.col("opponent_goals"), 3.0).when(F.col("team_goals") == F.col("opponent_goals"), 1.0).otherwise(0.0)
+    goals = lambda c: C.clamp(F.col(c).cast("double"), 0.0, GOAL_CAP)
+    plain = {"goals_for": goals("team_goals"), "goals_against": goals("opponent_goals"), "points_per_match": points, "goal_difference": (F.col("team_goals") - F.col("opponent_goals")).cast("double"), "result_residual": F.col("result_residual")}
+    plain |= {name: F.when(F.expr(rule), 1.0).otherwise(0.0) for name, rule in RATES.items()}
+    capped = {"for_residual": F.col("for_residual_capped"), "against_residual": F.col("against_residual_capped")}
+    known = lambda x, weight: F.sum(F.when(x.isNotNull(), weight))
+    parts = [F.sum(x * w).alias(f"s_{n}") for n, x in plain.items()] + [F.sum(x * robust).alias(f"s_{n}") for n, x in capped.items()]
+    parts += [known(plain["goals_for"], w).alias("w_goals"), known(plain["result_residual"], w).alias("w_result"), known(capped["for_residual"], robust).alias("w_for"), known(capped["against_residual"], robust).alias("w_against")]
+    return rows.groupBy(*by).agg(F.count("*").alias("n_matches"), *parts, *(more or []))
+
+
+def means(summed: DataFrame) -> DataFrame:
+    """The weighted means of sums(); null without any weight."""
+    of = {"result_residual": "w_result", "for_residual": "w_for", "against_residual": "w_against"}
+    names = [c[2:] for c in summed.columns if c.startswith("s_")]
+    return summed.withColumns({n: F.col(f"s_{n}") / F.when(F.col(of.get(n, "w_goals")) > 0, F.col(of.get(n, "w_goals"))) for n in names})
+
+
 def indices(rows: DataFrame, *by: str) -> DataFrame:
     """Attack, defense and form indices (raw, from residuals, and final: 0.7 raw + 0.3 residual) and rates of goal markets."""
-    by = by or ("team",)
-    goals = lambda c: C.weighted_mean(C.clamp(F.col(c).cast("double"), 0.0, GOAL_CAP), F.col("w"))
-    robust = lambda c: C.weighted_mean(F.col(c), F.col("w") * F.col("blowout"))
-    points = F.when(F.col("team_goals") > F.col("opponent_goals"), 3.0).when(F.col("team_goals") == F.col("opponent_goals"), 1.0).otherwise(0.0)
-    agg = rows.groupBy(*by).agg(
-        F.count("*").alias("n_matches"),
-        goals("team_goals").alias("goals_for"),
-        goals("opponent_goals").alias("goals_against"),
-        _rate("team_goals > 0").alias("scoring_rate"),
-        _rate("team_goals >= 2").alias("multi_goal_rate"),
-        _rate("opponent_goals = 0").alias("clean_sheet_rate"),
-        _rate("opponent_goals >= 2").alias("multi_conceded_rate"),
-        _rate("team_goals > opponent_goals").alias("win_rate"),
-        _rate("team_goals > 0 and opponent_goals > 0").alias("btts_rate"),
-        _rate("team_goals + opponent_goals >= 2").alias("over_1_5_rate"),
-        _rate("team_goals + opponent_goals >= 3").alias("over_2_5_rate"),
-        _rate("team_goals = 0").alias("failed_to_score_rate"),
-        C.weighted_mean(points, F.col("w")).alias("points_per_match"),
-        C.weighted_mean((F.col("team_goals") - F.col("opponent_goals")).cast("double"), F.col("w")).alias("goal_difference"),
-        robust("for_residual_capped").alias("for_residual"),
-        robust("against_residual_capped").alias("against_residual"),
-        C.weighted_mean(F.col("result_residual"), F.col("w")).alias("result_residual"),
-    )
-    share = lambda c, most: C.clamp(F.col(c) / most, 0.0, 1.0)
+    out = means(sums(rows, *(by or ("team",))))
+    return composed(out.drop(*[c for c in out.columns if c[:2] in ("s_", "w_")]))
+
+
+def composed(agg: DataFrame) -> DataFrame:
+    """The indices of rows that have the means."""
+    unit = lambda x: F.when(x.isNotNull(), C.clamp(x, 0.0, 1.0))
+    share = lambda c, most: unit(F.col(c) / most)
     agg = agg.withColumns(
         {
             "attack_raw": _composite([(share("goals_for", 2.65), 0.36), (F.col("scoring_rate"), 0.26), (F.col("multi_goal_rate"), 0.20)]),
             "defense_raw": _composite([(1 - share("goals_against", 2.55), 0.38), (F.col("clean_sheet_rate"), 0.24), (1 - F.col("multi_conceded_rate"), 0.20)]),
-            "attack_residual": F.coalesce(C.clamp(F.lit(0.5) + F.col("for_residual") / 3, 0.0, 1.0), F.lit(0.5)),
-            "defense_residual": F.coalesce(C.clamp(F.lit(0.5) - F.col("against_residual") / 3, 0.0, 1.0), F.lit(0.5)),
-            "form_index": C.clamp(F.lit(0.55) * share("points_per_match", 3.0) + F.lit(0.25) * F.col("win_rate") + F.lit(0.20) * C.clamp((F.col("goal_difference") + 2) / 4, 0.0, 1.0), 0.0, 1.0),
+            "attack_residual": F.coalesce(unit(F.lit(0.5) + F.col("for_residual") / 3), F.lit(0.5)),
+            "defense_residual": F.coalesce(unit(F.lit(0.5) - F.col("against_residual") / 3), F.lit(0.5)),
+            "form_index": unit(F.lit(0.55) * share("points_per_match", 3.0) + F.lit(0.25) * F.col("win_rate") + F.lit(0.20) * unit((F.col("goal_difference") + 2) / 4)),
         }
     )
     final = lambda a, b: F.lit(0.7) * F.col(a) + F.lit(0.3) * F.col(b)
@@ -158,11 +175,16 @@ def reliability(n: Column, days: Column) -> Column:
     return F.when((n >= 25) & (days <= 180), "high").when((n >= 15) & (days <= 365), "moderate").when(n >= 8, "low").otherwise("insufficient")
 
 
-def blend(ratings: DataFrame, behavior: DataFrame, most: tuple[float, float, float] = (0.12, 0.12, 0.18)) -> DataFrame:
-    """Ratings moved towards behavior: only for graded samples of 8 or more, by a weight for the grade, and by ``most`` at most."""
-    j = ratings.join(behavior, "team", "left")
+def blended(rows: DataFrame, most: tuple[float, float, float] = (0.12, 0.12, 0.18)) -> DataFrame:
+    """Ratings moved towards behavior: only for graded samples of 8 or more, by a weight for the grade, and by ``most`` at most. Adds blend_weight and
+    attack_blended, defense_blended, form_blended to rows with ratings, indices, n_matches and grade."""
     weight = F.when(F.coalesce("n_matches", F.lit(0)) < 8, 0.0).when(F.col("grade") == "high", 0.35).when(F.col("grade") == "moderate", 0.25).when(F.col("grade") == "low", 0.10).otherwise(0.0)
-    j = j.withColumn("blend_weight", weight)
+    rows = rows.withColumn("blend_weight", weight)
     move = lambda a, b, cap: F.col(a) + C.clamp(F.coalesce(F.col("blend_weight") * (F.col(b) - F.col(a)), F.lit(0.0)), -cap, cap)
     pairs = zip(("attack", "defense", "form"), ("attack_final", "defense_final", "form_index"), most, strict=True)
-    return j.select("team", "blend_weight", *[move(a, b, cap).alias(f"{a}_blended") for a, b, cap in pairs])
+    return rows.withColumns({f"{a}_blended": move(a, b, cap) for a, b, cap in pairs})
+
+
+def blend(ratings: DataFrame, behavior: DataFrame) -> DataFrame:
+    """blended() of the ratings of teams, with or without behavior."""
+    return blended(ratings.join(behavior, "team", "left")).select("team", "blend_weight", "attack_blended", "defense_blended", "form_blended")

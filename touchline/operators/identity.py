@@ -1,59 +1,9 @@
-"""Which result belongs to which fixture: a cascade of ever looser rules, as one join and one aggregation."""
+"""Which row of another table is nearest in time."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .tables import team_key
-
-#: fixed values: step, method and confidence, in the order of the cascade
-STEPS = [(1, "match_id", 1.0), (2, "exact_same_date", 0.98), (3, "exact_near", 0.96), (4, "reversed_same_date", 0.93), (5, "reversed_near", 0.90)]
-
-
-def cascade(results: DataFrame, fixtures: DataFrame, days: int = 1) -> DataFrame:
-    """Each result's fixture by the first rule that fits any: match_id, same teams on the day, same teams within ``days``, and both
-    with home and away exchanged. If that rule fits several fixtures, the result is ambiguous; looser rules are not tried.
-
-    results: result_id, match_id, home, away, day. fixtures: match_id, home, away, day. Candidates come from two equi-joins, on match_id
-    and on the unordered pair of teams with the day's bucket; the cascade is a min over step numbers.
-    """
-    f = fixtures.select(F.col("match_id").alias("f_id"), F.col("home").alias("f_home"), F.col("away").alias("f_away"), F.col("day").alias("f_day"))
-    r = results.select("result_id", F.col("match_id").alias("r_id"), F.col("home").alias("r_home"), F.col("away").alias("r_away"), F.col("day").alias("r_day"))
-    by_id = r.join(f, F.col("r_id") == F.col("f_id")).select("result_id", "f_id", F.lit(1).alias("step"), F.lit(0).alias("delta"))
-    width = 2 * days + 1
-    bucket = lambda d: F.floor(F.unix_date(d) / width)
-    # a fixture is in its own bucket and the next ones on either side, so days around a bucket's edge meet
-    spread = f.withColumn("key", team_key(F.col("f_home"), F.col("f_away"))).withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.date_sub("f_day", days)), bucket(F.date_add("f_day", days))))))
-    pairs = r.withColumn("key", team_key(F.col("r_home"), F.col("r_away"))).withColumn("bucket", bucket(F.col("r_day"))).join(spread, ["key", "bucket"])
-    delta = F.abs(F.datediff("f_day", "r_day"))
-    same, turned = F.col("r_home") == F.col("f_home"), F.col("r_home") == F.col("f_away")
-    step = F.when(same & (delta == 0), 2).when(same, 3).when(turned & (delta == 0), 4).when(turned, 5)
-    near = pairs.where(delta <= days).select("result_id", "f_id", step.alias("step"), delta.alias("delta")).where("step is not null")
-    candidates = by_id.unionByName(near).distinct()
-    first = candidates.groupBy("result_id").agg(F.min("step").alias("step"))
-    best = candidates.join(first, ["result_id", "step"]).groupBy("result_id", "step").agg(F.count("*").alias("n"), F.min_by("f_id", F.struct("delta", "f_id")).alias("f_id"))
-    name = F.create_map(*[x for s, m, _ in STEPS for x in (F.lit(s), F.lit(m))])
-    sure = F.create_map(*[x for s, _, c in STEPS for x in (F.lit(s), F.lit(c))])
-    out = results.select("result_id").join(best, "result_id", "left")
-    single = F.col("n") == 1
-    return out.select(
-        "result_id",
-        F.when(single, F.col("f_id")).alias("fixture_id"),
-        F.when(F.col("n").isNull(), "unmatched").when(single, name[F.col("step")]).otherwise("ambiguous").alias("method"),
-        F.when(single, sure[F.col("step")]).alias("confidence"),
-        F.when(single, F.col("step").isin(4, 5)).alias("reversed"),
-    )
-
-
-def oriented(matched: DataFrame) -> DataFrame:
-    """Goals and outcome turned round where home and away are exchanged."""
-    flip = F.coalesce("reversed", F.lit(False))
-    return matched.withColumns({"home_goals": F.when(flip, F.col("ag")).otherwise(F.col("hg")), "away_goals": F.when(flip, F.col("hg")).otherwise(F.col("ag"))})
 
 
 def nearest(rows: DataFrame, candidates: DataFrame, key: str, at: str, id_: str) -> DataFrame:
@@ -70,19 +20,3 @@ def nearest(rows: DataFrame, candidates: DataFrame, key: str, at: str, id_: str)
     later = F.col("before").isNull() | (gap("after") < gap("before")) | ((gap("after") == gap("before")) & (F.col("after.id") < F.col("before.id")))
     pick = F.when(F.col("after").isNotNull() & later, F.col("after")).otherwise(F.col("before"))
     return both.select(F.col("rid").alias(id_), key, pick["id"].alias("nearest_id"), pick["v"].alias("nearest_value"), (F.when(F.col("after").isNotNull() & later, gap("after")).otherwise(gap("before")) / 1000000).alias("gap_s"))
-
-
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, which Spark has no function for; nulls have none."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
-
-
-def fuzzy(left: DataFrame, right: DataFrame, block: str, name: str, least: float = 0.92, margin: float = 0.03) -> DataFrame:
-    """Of each left name its most similar right name in the same block, if it is similar enough and the next best clearly less so."""
-    pairs = left.select(block, F.col(name).alias("a")).distinct().join(right.select(block, F.col(name).alias("b")).distinct(), block)
-    pairs = pairs.withColumn("ratio", ratio("a", "b"))
-    order = Window.partitionBy(block, "a").orderBy(F.col("ratio").desc(), "b")
-    ranked = pairs.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("ratio").over(order)).where("place = 1")
-    status = F.when(F.col("ratio") < least, "no_match").when(F.col("ratio") - F.coalesce("next", F.lit(0.0)) < margin, "ambiguous").otherwise("matched")
-    return ranked.select(block, "a", "b", "ratio", status.alias("status"))

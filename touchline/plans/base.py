@@ -41,12 +41,14 @@ class Query:
                     used.append(name)
 
         need(self.sql)
-        ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ('v_numbered', 'v_elo', 'v_prob') else ''}({views[n]})" for n in used)
+        ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({views[n]})" for n in used)
         recursive = "RECURSIVE " if any("UNION ALL" in views[n] for n in used) or "UNION ALL" in self.sql else ""
         return (f"WITH {recursive}{ctes} " if ctes else "") + f"SELECT {', '.join(col(n, t) for n, t in self._columns())} FROM ({self.sql}) AS q"
 
 
 CATALOG: dict[str, Query] = {}
+#: views that are made once in a query's SQL
+MATERIALIZED = {"v_numbered", "v_elo", "v_prob"}
 
 
 def query(name: str, columns: str, sql: str | None):

@@ -166,31 +166,6 @@ def semantics(t: Tables):
     return m.select("match_id", D.result_semantics(text, F.when(F.col("match_id") % 10 != 0, F.col("hg")), F.col("ag"), stored).alias("status"))
 
 
-RESULTS = """SELECT match_id AS result_id, CASE WHEN match_id % 6 = 0 THEN match_id END AS match_id, CASE WHEN match_id % 4 = 1 THEN away ELSE home END AS home, CASE WHEN match_id % 4 = 1 THEN home ELSE away END AS away, match_date + CAST(CASE match_id % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 5 ELSE 0 END AS INT) AS day FROM v_match"""
-CASCADE = f"""WITH r AS ({RESULTS}), c AS (SELECT result_id, f.match_id AS f_id, CASE WHEN r.match_id = f.match_id THEN 1 WHEN r.home = f.home AND r.away = f.away AND r.day = f.match_date THEN 2 WHEN r.home = f.home AND r.away = f.away THEN 3 WHEN r.home = f.away AND r.away = f.home AND r.day = f.match_date THEN 4 ELSE 5 END AS step
-    FROM r JOIN v_match f ON r.match_id = f.match_id OR (abs(r.day - f.match_date) <= 1 AND least(r.home, r.away) = least(f.home, f.away) AND greatest(r.home, r.away) = greatest(f.home, f.away))),
-    b AS (SELECT result_id, step, count(DISTINCT f_id) AS n, min(f_id) AS f_id FROM c WHERE (result_id, step) IN (SELECT (result_id, min(step)) FROM c GROUP BY result_id) GROUP BY 1, 2)
-    SELECT r.result_id, CASE WHEN n = 1 THEN f_id END AS fixture_id, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE ['match_id', 'exact_same_date', 'exact_near', 'reversed_same_date', 'reversed_near'][step] END AS method, CASE WHEN n = 1 THEN [1e0, 98e-2, 96e-2, 93e-2, 9e-1][step] END AS confidence FROM r LEFT JOIN b USING (result_id)"""
-
-
-def results(t: Tables) -> DataFrame:
-    i, turned = F.col("match_id"), F.col("match_id") % 4 == 1
-    shift = F.when(i % 5 == 0, 1).when(i % 5 == 1, -1).when(i % 5 == 2, 5).otherwise(0)
-    return t.match.select(
-        i.alias("result_id"), F.when(i % 6 == 0, i).alias("match_id"), F.when(turned, F.col("away")).otherwise(F.col("home")).alias("home"), F.when(turned, F.col("home")).otherwise(F.col("away")).alias("away"), F.date_add("match_date", shift).alias("day")
-    )
-
-
-@query("crosswalk_cascade", "result_id:l fixture_id:l method:s confidence:d", CASCADE)
-def cascade(t: Tables):
-    return I.cascade(results(t), t.match.withColumnRenamed("match_date", "day"))
-
-
-@query("join_audit_status", "method:s n:l", f"SELECT method, count(*) AS n FROM ({CASCADE}) GROUP BY 1")
-def audit(t: Tables):
-    return cascade(t).groupBy("method").agg(F.count("*").alias("n"))
-
-
 @query("interval_result_match", "match_id:l n:l nearest:l", """SELECT a.match_id, count(*) AS n, arg_min(b.match_id, struct_pack(d := abs(a.match_date - b.match_date), m := b.match_id)) AS nearest FROM v_match a JOIN v_match b ON least(a.home, a.away) = least(b.home, b.away) AND greatest(a.home, a.away) = greatest(b.home, b.away)
     AND abs(a.match_date - b.match_date) <= 3 AND a.match_id <> b.match_id GROUP BY 1""")
 def interval(t: Tables):
@@ -365,12 +340,6 @@ def first_listed(t: Tables):
     return K.first_listed(c, c.where("pair_id % 3 = 0 and pos in (1, 2)"))
 
 
-@query("fuzzy_ratio", "block:l a:s b:s ratio:d status:s", None)
-def fuzzy(t: Tables):
-    s = t("supplier").select((F.col("s_nationkey") % 25).cast("long").alias("block"), F.col("s_name").alias("name"))
-    return I.fuzzy(s, s.withColumn("name", F.regexp_replace("name", "0000", "00O0")), "block", "name")
-
-
 @query("bracket_resolve", "match_no:l home:s away:s", """WITH q AS (SELECT i AS match_no, 'T' || (2 * i - 1) AS home, 'T' || (2 * i) AS away, i % 3 AS hg, i % 2 AS ag FROM range(1, 9) AS r(i)), qw AS (SELECT match_no, CASE WHEN hg > ag THEN home ELSE away END AS w, CASE WHEN hg > ag THEN away ELSE home END AS l FROM q),
     s AS (SELECT 8 + i AS match_no, a.w AS home, b.w AS away, i % 2 AS win FROM range(1, 5) AS r(i) JOIN qw a ON a.match_no = 2 * i - 1 JOIN qw b ON b.match_no = 2 * i), sw AS (SELECT match_no, CASE WHEN win = 1 THEN home ELSE away END AS w, CASE WHEN win = 1 THEN away ELSE home END AS l FROM s),
     f AS (SELECT 12 + i AS match_no, a.w AS home, b.w AS away FROM range(1, 3) AS r(i) JOIN sw a ON a.match_no = 7 + 2 * i JOIN sw b ON b.match_no = 8 + 2 * i)
