@@ -28,8 +28,8 @@ from .base import small_or_shuffled, stage
 
 #: rows and cells of a row of the sketch, and bytes of a page in which it moves
 DEPTH, CELLS, PAGE = 4, 1 << 20, 1 << 12
-#: rows of the table of groups that is broadcast at most
-GROUPS = 100_000
+#: rows of the table of groups that is broadcast at most, and bytes of texts whose terms a task sums before it gives them out
+GROUPS, PIECE = 100_000, 1 << 21
 
 #: a term: ASCII letters and every byte of a character beyond ASCII
 LETTER = np.zeros(256, bool)
@@ -55,10 +55,10 @@ def _keys(values: pa.Array) -> np.ndarray:
     return hashes[codes.indices.to_numpy(zero_copy_only=False)]
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
+def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
     """Cell of each hash in each row of the sketch, as places in the flat sketch."""
     steps = np.arange(1, DEPTH + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    return (T.mix(hashes[None, :] ^ steps) % np.uint64(CELLS)).astype(np.int64) + np.arange(DEPTH)[:, None] * CELLS
+    return (T.mix(hashes[None, :] ^ steps) % np.uint64(cells)).astype(np.int64) + np.arange(DEPTH)[:, None] * cells
 
 
 def _added(sketch: np.ndarray, cells: np.ndarray, n: np.ndarray) -> None:
@@ -72,21 +72,24 @@ def _in_docs(doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(np.unique(doc.astype(np.int64) * n + term) % n, minlength=n)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, text -> the pages of the task's sketch that aren't empty."""
-    sketch = np.zeros(DEPTH * CELLS, np.uint8)
-    for batch in batches:
-        lang = _keys(batch.column(0))
-        for piece in T.pieces(batch.column(1)):
-            w = T.words(piece, LETTER, lower=True)
-            terms, at = np.unique(T.mix(w.hashes ^ lang[piece.first + w.doc]), return_inverse=True)
-            if len(terms):
-                _added(sketch, _cells(terms), _in_docs(w.doc, at, len(terms)))
-    pages = sketch.reshape(-1, PAGE)
-    full = np.flatnonzero(pages.any(axis=1))
-    for i in range(0, len(full), 256):
-        part = full[i : i + 256]
-        yield pa.record_batch({"page": part, "cells": pa.array([pages[k].tobytes() for k in part], pa.binary())})
+def _sketches(cells: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """lang, text -> the pages of the task's sketch that aren't empty."""
+        sketch = np.zeros(DEPTH * cells, np.uint8)
+        for batch in batches:
+            lang = _keys(batch.column(0))
+            for piece in T.pieces(batch.column(1), PIECE):
+                w = T.words(piece, LETTER, lower=True)
+                terms, at = np.unique(T.mix(w.hashes ^ lang[piece.first + w.doc]), return_inverse=True)
+                if len(terms):
+                    _added(sketch, _cells(terms, cells), _in_docs(w.doc, at, len(terms)))
+        pages = sketch.reshape(-1, PAGE)
+        full = np.flatnonzero(pages.any(axis=1))
+        for i in range(0, len(full), 256):
+            part = full[i : i + 256]
+            yield pa.record_batch({"page": part, "cells": pa.array([pages[k].tobytes() for k in part], pa.binary())})
+
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +103,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"page": pa.array(list(held), pa.int64()), "cells": pa.array([x.tobytes() for x in held.values()], pa.binary())})
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """Merged count-min sketch of document frequencies by language and term: DEPTH * CELLS bytes, at every size of ``docs``."""
-    pages = docs.select("lang", "text").mapInArrow(_sketches, "page long, cells binary").repartition("page").mapInArrow(_merged, "page long, cells binary")
-    out = np.zeros((DEPTH * CELLS // PAGE, PAGE), np.uint8)
+def sketch(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """Merged count-min sketch of document frequencies by language and term: DEPTH * ``cells`` bytes, at every size of ``docs``."""
+    pages = docs.select("lang", "text").mapInArrow(_sketches(cells), "page long, cells binary").repartition("page").mapInArrow(_merged, "page long, cells binary")
+    out = np.zeros((DEPTH * cells // PAGE, PAGE), np.uint8)
     for row in pages.toArrow().to_pylist():
         out[row["page"]] = np.frombuffer(row["cells"], np.uint8)
     return out.reshape(-1)
@@ -120,18 +123,18 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
 def _survivors(held: Broadcast, min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """lang, source, text -> lang, source, term, occurrences and documents of what the sketch lets through, a row for each in a piece."""
-        cells = held.value
+        sketch = held.value
         for batch in batches:
             lang, source = batch.column(0), batch.column(1)
             lang_key, source_key = _keys(lang), _keys(source)
             group_key = T.mix(lang_key ^ T.mix(source_key))
-            for piece in T.pieces(batch.column(2)):
+            for piece in T.pieces(batch.column(2), PIECE):
                 w = T.words(piece, LETTER, lower=True)
                 if not len(w.doc):
                     continue
                 row = piece.first + w.doc
                 terms, inverse = np.unique(T.mix(w.hashes ^ lang_key[row]), return_inverse=True)
-                may = (cells[_cells(terms)].min(axis=0) >= min_docs)[inverse]
+                may = (sketch[_cells(terms, len(sketch) // DEPTH)].min(axis=0) >= min_docs)[inverse]
                 if not may.any():
                     continue
                 row, hashes, starts, ends = row[may], w.hashes[may], w.starts[may], w.ends[may]
@@ -143,9 +146,9 @@ def _survivors(held: Broadcast, min_docs: int):
     return run
 
 
-def counts(docs: DataFrame, min_docs: int = 3) -> DataFrame:
+def counts(docs: DataFrame, min_docs: int = 3, cells: int = CELLS) -> DataFrame:
     """lang, source, term, count, docs: exact for every term that is in ``min_docs`` documents of its language; of others some may be missing."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch(docs))
+    held = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells))
     found = docs.select("lang", "source", "text").mapInArrow(_survivors(held, min_docs), "lang string, source string, term string, count long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
@@ -160,10 +163,10 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def audit(documents: DataFrame, min_docs: int = 3) -> Audit:
+def audit(documents: DataFrame, min_docs: int = 3, cells: int = CELLS) -> Audit:
     """Divergence of every (language, source) from the language's other sources, and of every kept term from the language: see Audit."""
     docs = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    found = stage(counts(docs, min_docs), "divergence-counts")
+    found = stage(counts(docs, min_docs, cells), "divergence-counts")
     kept = stage(found.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "divergence-kept")
     own = stage(found.select("lang", "source", "term", "count").join(kept, ["lang", "term"]), "divergence-own")
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("total").alias("n_lang"))
