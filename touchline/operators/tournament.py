@@ -80,25 +80,71 @@ def adjusted(rows: DataFrame, most: float = 0.05) -> DataFrame:
     return rows.withColumns(out).withColumns({"adj_under_2_5": 1 - F.col("adj_over_2_5"), "adj_btts_no": 1 - F.col("adj_btts_yes")})
 
 
-def resolve_bracket(slots: DataFrame, rounds: int = 8) -> DataFrame:
-    """slots: match_no, home, away (a team, or `W<match_no>` / `L<match_no>`), hg, ag, advancing (who goes on after a draw).
+#: a slot of a match that names no team yet, and its parts
+SLOT = r"(?i)^(winner|loser|runner[- ]up|3rd|third)\b"
+MATCH_SLOT = r"(?i)^(winner|loser)\s+(?:of\s+)?match\s+([0-9]+)$"
+GROUP_SLOT = r"(?i)^(winner|runner[- ]up)\s+(?:of\s+)?group\s+([a-z])$"
+THIRD_SLOT = r"(?i)^(?:3rd|third)\s+(?:of\s+)?groups?\s+([a-z](?:\s*[/,]\s*[a-z])*)$"
+
+
+def group_tables(matches: DataFrame) -> DataFrame:
+    """grp, team, points, goal_difference, goals_for, position of matches with grp, home, away, hg, ag; matches without goals don't count, and teams
+    without a match that does aren't there. Sums are partial before rows move; a table has a row a team."""
+    side = lambda own, a, b: F.struct(F.col(own).alias("team"), F.col(a).alias("own"), F.col(b).alias("other"))
+    rows = matches.where("hg is not null and ag is not null").select("grp", F.inline(F.array(side("home", "hg", "ag"), side("away", "ag", "hg"))))
+    points = F.when(F.col("own") > F.col("other"), 3).when(F.col("own") == F.col("other"), 1).otherwise(0)
+    table = rows.groupBy("grp", "team").agg(F.sum(points).alias("points"), F.sum(F.col("own") - F.col("other")).alias("goal_difference"), F.sum("own").alias("goals_for"))
+    order = Window.partitionBy("grp").orderBy(F.desc("points"), F.desc("goal_difference"), F.desc("goals_for"), "team")
+    return table.withColumn("position", F.row_number().over(order))
+
+
+def resolve_bracket(bracket: DataFrame, tables: DataFrame) -> DataFrame:
+    """Teams of a bracket's slots: match_no, home, away (resolved where that can be proven, else as given), home_status, away_status, status.
+
+    bracket: match_no (unique), home, away (a team, or `Winner Match 12`, `Loser Match 12`, `Winner Group A`, `Runner-up Group A`, `3rd Group A/B/C`),
+    hg, ag, advancing (`home` or `away`: who goes on after a draw); tables: of group_tables(). The winner's side of a match follows from
+    its result alone, so a slot that names a match points to one slot of that match. Pointers are followed by doubling: each round joins
+    every slot with the one it points to, until none moves; there are as many rounds as the logarithm of the bracket's depth, and
+    no cap. The third of several groups is the best of their thirds, if all of them have one.
 
-    Replaces references by teams until nothing changes: one join a round, at most ``rounds`` of them, lineage cut by Spark's own
-    checkpoint where the session has a folder for it. References to matches without a winner stay.
+    Statuses: `source` (a team was given), `resolved`, `pending` (no such match, no result, a group without a table, or a slot behind it is not
+    resolved), `manual` (a draw without advancing, or a text of another form), `cycle` (the slot depends on itself).
     """
-    now = slots
-    for _ in range(rounds):
-        winner = F.when(F.col("hg") > F.col("ag"), F.col("home")).when(F.col("hg") < F.col("ag"), F.col("away")).otherwise(F.col("advancing"))
-        loser = F.when(winner == F.col("home"), F.col("away")).when(winner == F.col("away"), F.col("home"))
-        known = now.where(~F.col("home").rlike("^[WL][0-9]+$") & ~F.col("away").rlike("^[WL][0-9]+$")).where(winner.isNotNull())
-        names = known.select(F.inline(F.array(F.struct(F.concat(F.lit("W"), F.col("match_no")).alias("ref"), winner.alias("name")), F.struct(F.concat(F.lit("L"), F.col("match_no")).alias("ref"), loser.alias("name")))))
-        new = now
-        for side in ("home", "away"):
-            new = new.join(names.withColumnsRenamed({"ref": side, "name": "_name"}), side, "left").withColumn(side, F.coalesce("_name", side)).drop("_name")
-        new = new.select(*slots.columns).persist()
-        left = new.where(F.col("home").rlike("^[WL][0-9]+$") | F.col("away").rlike("^[WL][0-9]+$")).count()
-        changed = new.exceptAll(now).limit(1).count()
-        now = new
-        if not left or not changed:
+    from ..sources.session import cut
+
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("text"))
+    slots = bracket.select("match_no", F.inline(F.array(side(0, "home"), side(1, "away"))))
+    text = F.btrim("text")
+    slots = slots.withColumns({"mode": F.lower(F.regexp_extract(text, MATCH_SLOT, 1)), "ref": F.regexp_extract(text, MATCH_SLOT, 2).try_cast("long"), "place": F.lower(F.regexp_extract(text, GROUP_SLOT, 1)), "grp": F.upper(F.regexp_extract(text, GROUP_SLOT, 2)), "groups": F.split(F.upper(F.regexp_replace(F.regexp_extract(text, THIRD_SLOT, 1), r"\s", "")), "[/,]")})
+    won = F.when(F.col("hg") > F.col("ag"), 0).when(F.col("hg") < F.col("ag"), 1).when(F.col("advancing") == "home", 0).when(F.col("advancing") == "away", 1)
+    played = bracket.select(F.col("match_no").alias("ref"), won.alias("won"), (F.col("hg").isNotNull() & F.col("ag").isNotNull()).alias("over"))
+    named = tables.select("grp", F.when(F.col("position") == 1, "winner").otherwise("runner up").alias("place"), F.col("team").alias("ranked"), "position").where("position <= 2").drop("position")
+    slots = slots.withColumn("place", F.regexp_replace("place", "-", " ")).join(played, "ref", "left").join(named, ["grp", "place"], "left")
+    thirds = tables.where("position = 3").select("grp", F.struct((-F.col("points")).alias("p"), (-F.col("goal_difference")).alias("d"), (-F.col("goals_for")).alias("g"), "team").alias("third"))
+    wanted = slots.where("groups[0] <> ''").select("match_no", "side", F.size("groups").alias("n"), F.explode("groups").alias("grp")).join(thirds, "grp")
+    best = wanted.groupBy("match_no", "side").agg(F.count("*").alias("have"), F.max("n").alias("n"), F.min("third").alias("third")).where("have = n").select("match_no", "side", F.col("third.team").alias("best_third"))
+    slots = slots.join(best, ["match_no", "side"], "left")
+    of_match, of_group, of_third = F.col("mode") != "", F.col("place") != "", F.col("groups")[0] != ""
+    name = F.when(of_group, F.col("ranked")).when(of_third, F.col("best_third")).when(~text.rlike(SLOT), F.col("text"))
+    points = of_match & F.col("won").isNotNull()
+    state = F.when(points, "points").when(name.isNotNull(), F.when(of_group | of_third, "resolved").otherwise("source"))
+    state = state.when(of_match, F.when(F.coalesce("over", F.lit(False)), "manual").otherwise("pending")).when(of_group | of_third, "pending").otherwise("manual")
+    target = F.when(points, F.col("ref") * 2 + F.when(F.col("mode") == "winner", F.col("won")).otherwise(1 - F.col("won")))
+    now = cut(slots.select((F.col("match_no") * 2 + F.col("side")).alias("slot"), "match_no", "side", "text", target.alias("target"), F.when(~points, name).alias("team"), state.alias("state")))
+    ends = now.where("target is null").select(F.col("slot").alias("target"), F.col("team").alias("end_team"), F.col("state").alias("end_state"))
+    jumps = now.where("target is not null").select("slot", "target")
+    # a pointer of a pointer, until no slot points to one that points on
+    for _ in range(jumps.count().bit_length() + 1):
+        onward = jumps.select(F.col("slot").alias("target"), F.col("target").alias("further"))
+        moved = cut(jumps.join(onward, "target", "left").select("slot", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")))
+        jumps = moved.select("slot", "target")
+        if moved.where("moved").isEmpty():
             break
-    return now
+    found = jumps.join(ends, "target", "left")
+    team, status = F.col("end_team"), F.when(F.col("end_state").isNull(), "cycle").when(F.col("end_team").isNull(), "pending").otherwise("resolved")
+    told = now.join(found.select("slot", team.alias("far_team"), status.alias("far_status")), "slot", "left")
+    told = told.select("match_no", "side", F.coalesce("team", "far_team", "text").alias("name"), F.coalesce("far_status", "state").alias("status"))
+    both = told.groupBy("match_no").agg(*[F.max(F.when(F.col("side") == k, F.col(c))).alias(n) for k, s in enumerate(("home", "away")) for c, n in (("name", s), ("status", f"{s}_status"))])
+    any_ = lambda x: (F.col("home_status") == x) | (F.col("away_status") == x)
+    overall = F.when(any_("cycle"), "cycle").when(any_("manual"), "manual").when(any_("pending"), "pending").when(any_("resolved"), "resolved").otherwise("source")
+    return both.withColumn("status", overall)

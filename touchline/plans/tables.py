@@ -15,7 +15,7 @@ from ..operators import tournament as G
 from ..schemas import conform
 from ..sources.readers import parse_report
 from ..streaming import ledger as L
-from .base import Tables, query
+from .base import VIEWS, Tables, query
 
 
 @query("scan_conform", "match_id:s date_utc:t odds:d missing:s", "SELECT CAST(o_orderkey AS VARCHAR) AS match_id, CAST(o_orderdate AS DATE) AS date_utc, o_totalprice AS odds, CAST(NULL AS VARCHAR) AS missing FROM orders")
@@ -340,16 +340,50 @@ def first_listed(t: Tables):
     return K.first_listed(c, c.where("pair_id % 3 = 0 and pos in (1, 2)"))
 
 
-@query("bracket_resolve", "match_no:l home:s away:s", """WITH q AS (SELECT i AS match_no, 'T' || (2 * i - 1) AS home, 'T' || (2 * i) AS away, i % 3 AS hg, i % 2 AS ag FROM range(1, 9) AS r(i)), qw AS (SELECT match_no, CASE WHEN hg > ag THEN home ELSE away END AS w, CASE WHEN hg > ag THEN away ELSE home END AS l FROM q),
-    s AS (SELECT 8 + i AS match_no, a.w AS home, b.w AS away, i % 2 AS win FROM range(1, 5) AS r(i) JOIN qw a ON a.match_no = 2 * i - 1 JOIN qw b ON b.match_no = 2 * i), sw AS (SELECT match_no, CASE WHEN win = 1 THEN home ELSE away END AS w, CASE WHEN win = 1 THEN away ELSE home END AS l FROM s),
-    f AS (SELECT 12 + i AS match_no, a.w AS home, b.w AS away FROM range(1, 3) AS r(i) JOIN sw a ON a.match_no = 7 + 2 * i JOIN sw b ON b.match_no = 8 + 2 * i)
-    SELECT match_no, home, away FROM q UNION ALL SELECT match_no, home, away FROM s UNION ALL SELECT match_no, home, away FROM f UNION ALL SELECT 15, a.home, b.home FROM f a, f b WHERE a.match_no = 13 AND b.match_no = 14 UNION ALL SELECT 16, a.away, b.away FROM f a, f b WHERE a.match_no = 13 AND b.match_no = 14""")
-def bracket(t: Tables):
-    rows = [(i, f"T{2 * i - 1}", f"T{2 * i}", i % 3, i % 2, f"T{2 * i}") for i in range(1, 9)]
-    rows += [(8 + i, f"W{2 * i - 1}", f"W{2 * i}", i % 2, 1 - i % 2, None) for i in range(1, 5)]
-    rows += [(12 + i, f"W{7 + 2 * i}", f"W{8 + 2 * i}", 1, 0, None) for i in (1, 2)]
-    rows += [(15, "W13", "W14", None, None, None), (16, "L13", "L14", None, None, None)]
-    return G.resolve_bracket(t.spark.createDataFrame(rows, "match_no long, home string, away string, hg int, ag int, advancing string"))
+#: the group of a match between two teams of one group
+_GROUPED = "SELECT chr(CAST(65 + home % 8 AS INT)) AS grp, 'T' || home AS home, 'T' || away AS away, CASE WHEN match_id % 9 <> 0 THEN hg END AS hg, ag FROM v_match WHERE home % 8 = away % 8 AND home % 8 <> 6"
+VIEWS["v_group_table"] = f"""SELECT *, row_number() OVER (PARTITION BY grp ORDER BY points DESC, goal_difference DESC, goals_for DESC, team) AS position FROM (SELECT grp, team, sum(CASE WHEN a > b THEN 3 WHEN a = b THEN 1 ELSE 0 END) AS points, sum(a - b) AS goal_difference, sum(a) AS goals_for
+    FROM (SELECT grp, home AS team, hg AS a, ag AS b FROM ({_GROUPED}) WHERE hg IS NOT NULL UNION ALL SELECT grp, away, ag, hg FROM ({_GROUPED}) WHERE hg IS NOT NULL) GROUP BY 1, 2)"""
+#: customers as matches of a bracket: match i is between the winners of 2i and 2i + 1, the outer half between places of groups; some slots, results and references are odd
+_SLOT = """CASE WHEN i % 41 = 7 AND {k} = 1 THEN 'Winner Match ' || i WHEN i % 43 = 9 AND {k} = 1 THEN 'Winner of the play-off' WHEN i % 47 = 11 AND {k} = 0 THEN 'Winner Match ' || (i + 1000000) WHEN 2 * i + 1 <= n THEN CASE WHEN i % 5 = 0 THEN 'Loser' ELSE 'Winner' END || ' Match ' || (2 * i + {k})
+    WHEN i % 4 = 0 THEN 'T' || (i % 32 + {k}) WHEN i % 4 = 1 THEN 'Winner Group ' || chr(CAST(65 + (i + {k}) % 8 AS INT)) WHEN i % 4 = 2 THEN 'Runner-up Group ' || chr(CAST(65 + (i + {k}) % 8 AS INT)) ELSE '3rd Group ' || chr(CAST(65 + i % 6 AS INT)) || '/' || chr(CAST(65 + (i + {k}) % 8 AS INT)) || '/C' END"""
+VIEWS["v_bracket"] = f"""SELECT i AS match_no, {_SLOT.format(k=0)} AS home, {_SLOT.format(k=1)} AS away, CASE WHEN i % 37 <> 5 THEN CAST(floor(abs(c_acctbal)) AS BIGINT) % 3 END AS hg, i % 3 AS ag, CASE WHEN i % 11 = 3 THEN NULL WHEN i % 2 = 0 THEN 'home' ELSE 'away' END AS advancing
+    FROM (SELECT c_custkey + 1 AS i, c_acctbal, count(*) OVER () AS n FROM customer)"""
+
+
+def bracket(t: Tables) -> DataFrame:
+    size = t("customer").agg(F.count("*").alias("n"))
+    c = t("customer").join(F.broadcast(size), how="cross").select((F.col("c_custkey") + 1).alias("i"), "c_acctbal", "n")
+    slot = lambda k: F.expr(_SLOT.format(k=k))
+    advancing = F.expr("case when i % 11 = 3 then null when i % 2 = 0 then 'home' else 'away' end")
+    return c.select(F.col("i").alias("match_no"), slot(0).alias("home"), slot(1).alias("away"), F.expr("case when i % 37 <> 5 then cast(floor(abs(c_acctbal)) as bigint) % 3 end").alias("hg"), F.expr("i % 3").alias("ag"), advancing.alias("advancing"))
+
+
+def group_matches(t: Tables) -> DataFrame:
+    team = lambda c: F.concat(F.lit("T"), F.col(c).cast("string"))
+    m = t.match.where("home % 8 = away % 8 and home % 8 <> 6")
+    return m.select(F.expr("chr(65 + home % 8)").alias("grp"), team("home").alias("home"), team("away").alias("away"), F.when(F.col("match_id") % 9 != 0, F.col("hg")).alias("hg"), "ag")
+
+
+@query("group_tables", "grp:s team:s points:l goal_difference:l goals_for:l position:l", "SELECT * FROM v_group_table")
+def group_tables(t: Tables):
+    return G.group_tables(group_matches(t))
+
+
+@query("bracket_resolve", "match_no:l home:s away:s home_status:s away_status:s status:s", r"""WITH RECURSIVE s AS MATERIALIZED (SELECT b.match_no, side, text, lower(regexp_extract(text, '^(?i)(winner|loser) match ([0-9]+)$', 1)) AS mode, TRY_CAST(regexp_extract(text, '^(?i)(winner|loser) match ([0-9]+)$', 2) AS BIGINT) AS ref, replace(lower(regexp_extract(text, '^(?i)(winner|runner-up) group ([a-z])$', 1)), '-', ' ') AS place,
+    regexp_extract(text, '^(?i)(winner|runner-up) group ([a-z])$', 2) AS grp, regexp_extract(text, '^(?i)3rd group ([a-z/]+)$', 1) AS thirds FROM (SELECT match_no, 0 AS side, home AS text FROM v_bracket UNION ALL SELECT match_no, 1, away FROM v_bracket) b),
+    o AS (SELECT match_no, hg IS NOT NULL AS over, CASE WHEN hg > ag THEN 0 WHEN hg < ag THEN 1 WHEN advancing = 'home' THEN 0 WHEN advancing = 'away' THEN 1 END AS won FROM v_bracket),
+    x AS (SELECT s.match_no, s.side, arg_min(team, struct_pack(p := -points, d := -goal_difference, g := -goals_for, t := team)) AS best, count(*) AS have, any_value(n) AS n FROM (SELECT match_no, side, len(string_split(thirds, '/')) AS n, unnest(string_split(thirds, '/')) AS g FROM s WHERE thirds <> '') s JOIN v_group_table t ON t.position = 3 AND t.grp = g GROUP BY 1, 2),
+    p AS MATERIALIZED (SELECT s.match_no, s.side, text, CASE WHEN mode <> '' AND won IS NOT NULL THEN s.ref * 2 + CASE WHEN mode = 'winner' THEN won ELSE 1 - won END END AS target, CASE WHEN mode <> '' THEN NULL WHEN place <> '' THEN t.team WHEN thirds <> '' THEN CASE WHEN have = n THEN best END WHEN NOT regexp_matches(text, '(?i)^(winner|loser|runner[- ]up|3rd|third)\b') THEN text END AS team,
+    CASE WHEN mode <> '' THEN CASE WHEN won IS NOT NULL THEN 'points' WHEN over THEN 'manual' ELSE 'pending' END WHEN place <> '' THEN CASE WHEN t.team IS NULL THEN 'pending' ELSE 'resolved' END WHEN thirds <> '' THEN CASE WHEN have = n THEN 'resolved' ELSE 'pending' END WHEN regexp_matches(text, '(?i)^(winner|loser|runner[- ]up|3rd|third)\b') THEN 'manual' ELSE 'source' END AS state
+    FROM s LEFT JOIN o ON o.match_no = s.ref AND mode <> '' LEFT JOIN v_group_table t ON t.grp = s.grp AND t.position = CASE place WHEN 'winner' THEN 1 WHEN 'runner up' THEN 2 END LEFT JOIN x ON x.match_no = s.match_no AND x.side = s.side),
+    w AS (SELECT match_no, side, target AS at, 1 AS n FROM p WHERE target IS NOT NULL UNION ALL SELECT w.match_no, w.side, p.target, n + 1 FROM w JOIN p ON p.match_no * 2 + p.side = w.at WHERE p.target IS NOT NULL AND n < 40),
+    e AS (SELECT w.match_no, w.side, any_value(p.team) AS team, any_value(p.state) AS state FROM w JOIN p ON p.match_no * 2 + p.side = w.at WHERE p.target IS NULL GROUP BY 1, 2),
+    f AS (SELECT p.match_no, p.side, coalesce(p.team, e.team, p.text) AS name, CASE WHEN p.target IS NULL THEN p.state WHEN e.state IS NULL THEN 'cycle' WHEN e.team IS NULL THEN 'pending' ELSE 'resolved' END AS st FROM p LEFT JOIN e ON e.match_no = p.match_no AND e.side = p.side),
+    g AS (SELECT match_no, max(name) FILTER (side = 0) AS home, max(name) FILTER (side = 1) AS away, max(st) FILTER (side = 0) AS home_status, max(st) FILTER (side = 1) AS away_status FROM f GROUP BY 1)
+    SELECT *, CASE WHEN 'cycle' IN (home_status, away_status) THEN 'cycle' WHEN 'manual' IN (home_status, away_status) THEN 'manual' WHEN 'pending' IN (home_status, away_status) THEN 'pending' WHEN 'resolved' IN (home_status, away_status) THEN 'resolved' ELSE 'source' END AS status FROM g""")
+def bracket_resolve(t: Tables):
+    return G.resolve_bracket(bracket(t), G.group_tables(group_matches(t)))
 
 
 @query("pdf_text_parse", "match_id:l home_win:d draw:d away_win:d status:s", "SELECT match_id, (match_id % 60) / 1e2 AS home_win, CASE WHEN match_id % 9 <> 0 THEN 25e-2 END AS draw, (75 - match_id % 60) / 1e2 AS away_win, CASE WHEN match_id % 9 = 0 THEN 'missing_probabilities' ELSE 'importable' END AS status FROM v_match")
