@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import behavior as B
+from ..operators import calibration as W
 from ..operators import evaluation as E
 from ..operators import markets as K
 from ..operators import model as M
@@ -463,15 +464,35 @@ def team_sensitivity(t: Tables):
     return by.groupBy("team").agg(F.max_by("blend", F.struct(F.round("p", 9), -F.col("blend"))).alias("best_blend"), F.max("p").alias("best_p"), F.max(F.when(F.col("blend") == 0, F.col("p"))).alias("base_p"))
 
 
-@query("walk_forward_calib", "match_id:l weight:d home_win:d draw:d away_win:d brier:d log_loss:d", """SELECT match_id, w AS weight, h AS home_win, d AS draw, a AS away_win, pow(h - CASE WHEN actual = 'home_win' THEN 1 ELSE 0 END, 2) + pow(d - CASE WHEN actual = 'draw' THEN 1 ELSE 0 END, 2) + pow(a - CASE WHEN actual = 'away_win' THEN 1 ELSE 0 END, 2) AS brier,
-    -ln(greatest(1e-3, least(999e-3, CASE actual WHEN 'home_win' THEN h WHEN 'draw' THEN d ELSE a END))) AS log_loss FROM (SELECT *, (1 - w) * home_win + w * bh AS h, (1 - w) * draw + w * bd AS d, (1 - w) * away_win + w * ba AS a FROM (
-    WITH n AS (SELECT *, round(p_actual, 3) AS p3 FROM v_prob), c AS (SELECT match_date, sum((actual = 'home_win')::int) AS ch, sum((actual = 'draw')::int) AS cd, sum((actual = 'away_win')::int) AS ca FROM n GROUP BY 1),
-    b AS (SELECT match_date, 1 + coalesce(sum(ch) OVER o, 0) AS nh, 1 + coalesce(sum(cd) OVER o, 0) AS nd, 1 + coalesce(sum(ca) OVER o, 0) AS na, nh / (nh + nd + na) AS bh, nd / (nh + nd + na) AS bd, na / (nh + nd + na) AS ba FROM c WINDOW o AS (ORDER BY match_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    h AS (SELECT match_date, actual, p3, count(*) AS k FROM n GROUP BY ALL),
-    l AS (SELECT e.match_date, i / 2e1 AS w, round(sum(k * -ln(greatest(1e-3, least(999e-3, (1 - i / 2e1) * t.p3 + i / 2e1 * CASE t.actual WHEN 'home_win' THEN e.bh WHEN 'draw' THEN e.bd ELSE e.ba END)))) / sum(k), 9) AS loss FROM b e JOIN h t ON t.match_date < e.match_date, range(11) AS g(i) WHERE nh + nd + na - 3 >= 30 GROUP BY 1, 2)
-    SELECT n.*, bh, bd, ba, f.w FROM n JOIN b USING (match_date) JOIN (SELECT match_date, arg_min(w, struct_pack(l := loss, w := w)) AS w FROM l GROUP BY 1) f USING (match_date))) """)
+_LOST = ", ".join(f"round(sum(-ln(greatest(1e-3, least(999e-3, (1 - {w}e0) * i.p_actual + {w}e0 * CASE i.actual WHEN 'home_win' THEN t.bh WHEN 'draw' THEN t.bd ELSE t.ba END)))) / count(*), 9)" for w in [0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5])
+
+
+def calibrated(t: Tables):
+    """Scored rows with market probabilities, and derived values for disagreement and confidence."""
+    rows = t.prob.select("match_id", "match_date", *E.P, "actual")
+    market = M.devig(t.odds)
+    i = F.col("match_id")
+    return rows.join(market, "match_id", "left").withColumns({"disagreement": (i * 7 % 45).cast("double"), "high": i % 3 == 0})
+
+
+@query("walk_forward_calib", "match_id:l weight:d home_win:d draw:d away_win:d", f"""WITH c AS (SELECT *, row_number() OVER o AS rn, 1 + coalesce(sum((actual = 'home_win')::int) OVER w, 0) AS nh, 1 + coalesce(sum((actual = 'draw')::int) OVER w, 0) AS nd, 1 + coalesce(sum((actual = 'away_win')::int) OVER w, 0) AS na FROM v_prob WINDOW o AS (ORDER BY match_date, match_id), w AS (ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    n AS MATERIALIZED (SELECT *, nh / (nh + nd + na) AS bh, nd / (nh + nd + na) AS bd, na / (nh + nd + na) AS ba FROM c), f AS (SELECT t.rn, [{_LOST}] AS lost FROM n t JOIN n i ON i.rn < t.rn WHERE t.rn > 30 GROUP BY t.rn)
+    SELECT match_id, w AS weight, (1 - w) * home_win + w * bh AS home_win, (1 - w) * draw + w * bd AS draw, (1 - w) * away_win + w * ba AS away_win FROM (SELECT n.*, (list_position(lost, list_min(lost)) - 1) / 2e1 AS w FROM n JOIN f USING (rn))""")
 def walk_forward(t: Tables):
-    return E.walk_forward_shrinkage(t.prob)
+    fitted = W.walk_forward(calibrated(t))
+    return fitted.select("match_id", F.col("shrinkage").alias("weight"), *[F.col(f"v2_{c}").alias(c) for c in E.P])
+
+
+@query("calibration_variants", "match_id:l model:s home_win:d draw:d away_win:d brier:d log_loss:d", None)
+def calibration_variants(t: Tables):
+    rows = calibrated(t)
+    return W.variants(W.walk_forward(rows), rows)
+
+
+@query("calibration_metrics", "model:s n:l brier_score:d log_loss:d top_pick_accuracy:d brier_delta:d log_loss_delta:d status:s", None)
+def calibration_metrics(t: Tables):
+    rows = calibrated(t)
+    return W.variant_metrics(W.variants(W.walk_forward(rows), rows))
 
 
 @query("goal_stats_by_comp", "comp_type:s n:l goals_mean:d over_share:d btts_share:d draw_share:d", "SELECT comp_type, count(*) AS n, avg(hg + ag) AS goals_mean, avg((hg + ag >= 3)::int) AS over_share, avg((hg > 0 AND ag > 0)::int) AS btts_share, avg((hg = ag)::int) AS draw_share FROM v_match GROUP BY 1")
