@@ -44,6 +44,15 @@ class EloConfig:
 SIMPLE = EloConfig(start=1700.0, home_bonus=0.0, most=1e9, low=1200.0, high=2200.0, k=24.0)
 
 
+def updated(h: float, a: float, hg: float, ag: float, neutral: bool, k: float, config: EloConfig) -> tuple[float, float]:
+    """Both ratings after a match."""
+    expected = 1 / (1 + 10 ** ((a - h - (0 if neutral else config.home_bonus)) / 400))
+    score = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
+    factor = k * max(1.0, math.log(abs(hg - ag) + 1)) if config.k is None else config.k * (1 + min(abs(hg - ag), 4) * config.margin)
+    step = max(-config.most, min(config.most, factor * (score - expected)))
+    return min(config.high, max(config.low, h + step)), min(config.high, max(config.low, a - step))
+
+
 def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFrame:
     """Ratings of both teams before and after each match, in the order of date and match_id.
 
@@ -64,11 +73,7 @@ def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFram
                 if own != league:
                     league, ratings = own, {}
                 h, a = ratings.get(home, config.start), ratings.get(away, config.start)
-                expected = 1 / (1 + 10 ** ((a - h - (0 if neutral else config.home_bonus)) / 400))
-                score = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
-                factor = k * max(1.0, math.log(abs(hg - ag) + 1)) if config.k is None else config.k * (1 + min(abs(hg - ag), 4) * config.margin)
-                step = max(-config.most, min(config.most, factor * (score - expected)))
-                ratings[home], ratings[away] = min(config.high, max(config.low, h + step)), min(config.high, max(config.low, a - step))
+                ratings[home], ratings[away] = updated(h, a, hg, ag, neutral, k, config)
                 out.append((h, a, ratings[home], ratings[away]))
             columns = zip(("home_pre", "away_pre", "home_post", "away_post"), zip(*out, strict=True) if out else [[]] * 4, strict=True)
             yield pa.record_batch({c: batch.column(c) for c in ("match_id", "match_date", "home", "away")} | {c: pa.array(v, pa.float64()) for c, v in columns})

@@ -76,7 +76,10 @@ class Tables:
 
     @property
     def match(self) -> DataFrame:
-        o = self("orders")
+        return self.match_of(self("orders"))
+
+    def match_of(self, o: DataFrame) -> DataFrame:
+        """Matches derived from orders, read as a table or as a stream."""
         kind = F.element_at(F.array(*map(F.lit, KINDS)), F.substring("o_orderpriority", 1, 1).cast("int"))
         m = o.select(
             F.col("o_orderkey").alias("match_id"),

@@ -393,18 +393,53 @@ def pdf_parse(t: Tables):
     return parse_report(t.match.select("match_id", text.alias("text")))
 
 
+def _streamed(t: Tables, name: str, make) -> DataFrame:
+    """What a stream gives out that is run to its end: ``make`` turns tables read as streams into one. Its files lie in the shared folder."""
+    import uuid
+
+    from ..sources.session import shared_dir
+
+    at = f"{shared_dir(t.spark)}/touchline/{name}-{uuid.uuid4().hex}"
+
+    def source(table: str) -> DataFrame:
+        path = f"{t.dir}/{table}.parquet"
+        return t.spark.readStream.schema(t(table).schema).parquet(path if "://" in t.dir else f"{path}*")
+
+    out = make(source)
+    L.run_once(out, f"{at}/out", f"{at}/ckpt")
+    return t.spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+KICKOFF = "timestamp_ntz'2024-01-16 12:00:00' + make_dt_interval(0, cast(user_id % 200 as int))"
+
+
 @query("stream_ledger", "match_id:l version:l n:l", "SELECT user_id AS match_id, user_id % 7 AS version, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16 12:00:00' + to_hours(CAST(user_id % 200 AS INT)) GROUP BY 1, 2")
 def stream_ledger(t: Tables):
-    """A stream over the events table, run to its end by the ledger's own steps and read from the sink: snapshots in time, by match and version."""
-    import uuid
+    """Snapshots in time, by match and version, of a stream over the events table."""
+    make = lambda source: L.flagged(source("events").select(F.col("user_id").alias("match_id"), (F.col("user_id") % 7).alias("version"), F.col("ts").alias("snapshot_utc"), F.expr(KICKOFF).alias("kickoff_utc")))
+    return _streamed(t, "ledger", make).where("prediction_before_kickoff").groupBy("match_id", "version").agg(F.count("*").alias("n"))
+
+
+@query("stream_results", "match_id:l result_utc:x hg:l ag:l", """SELECT p.event_id AS match_id, r.result_utc, r.hg, r.ag FROM events p JOIN (SELECT event_id, ts + to_hours(CAST(event_id % 100 AS INT)) AS result_utc, event_id % 4 AS hg, event_id % 3 AS ag FROM events WHERE event_id % 5 <> 0) r ON r.event_id = p.event_id AND r.result_utc >= p.ts + INTERVAL 4 HOUR AND r.result_utc <= p.ts + INTERVAL 3 DAY""")
+def stream_results(t: Tables):
+    """A stream of predictions (an event each, kickoff at its time) joined to a stream of delayed results."""
+
+    def make(source):
+        p = source("events").select(F.col("event_id").alias("match_id"), F.col("ts").cast("timestamp").alias("kickoff_utc"))
+        late = F.expr("cast(ts as timestamp) + make_dt_interval(0, cast(event_id % 100 as int))")
+        r = source("events").where("event_id % 5 <> 0").select(F.col("event_id").alias("match_id"), late.alias("result_utc"), F.expr("event_id % 4").alias("hg"), F.expr("event_id % 3").alias("ag"))
+        return L.with_results(p, r)
+
+    return _streamed(t, "results", make)
+
+
+@query("stream_elo", "match_id:l home:l away:l home_post:d away_post:d late:b", "SELECT match_id, home, away, round(home_post, 3) AS home_post, round(away_post, 3) AS away_post, false AS late FROM v_elo")
+def stream_elo(t: Tables):
+    """Ratings of a stream over the orders table, from state by league and team."""
+    from ..streaming.ratings import elo_stream
 
-    at = f"{t.spark.conf.get('spark.checkpoint.dir').rstrip('/')}/ledger-{uuid.uuid4().hex}"
-    schema = t("events").schema
-    source = t.spark.readStream.schema(schema).parquet(f"{t.dir}/events.parquet*" if "://" not in t.dir else f"{t.dir}/events.parquet")
-    kickoff = F.expr("timestamp_ntz'2024-01-16 12:00:00' + make_dt_interval(0, cast(user_id % 200 as int))")
-    ledger = L.flagged(source.select(F.col("user_id").alias("match_id"), (F.col("user_id") % 7).alias("version"), F.col("ts").alias("snapshot_utc"), kickoff.alias("kickoff_utc")))
-    L.run_once(ledger, f"{at}/out", f"{at}/ckpt")
-    return t.spark.read.schema(ledger.schema).parquet(f"{at}/out").where("prediction_before_kickoff").groupBy("match_id", "version").agg(F.count("*").alias("n"))
+    out = _streamed(t, "elo", lambda source: elo_stream(t.match_of(source("orders")).withColumn("league", F.lit(0))))
+    return out.withColumns({c: F.round(c, 3) for c in ("home_post", "away_post")})
 
 
 @query("league_context", "team:l played:l points:l share_of_best:d", "SELECT team, played, points, points * 1e0 / max(points) OVER () AS share_of_best FROM (SELECT team, count(*) AS played, sum(CASE WHEN team_goals > opponent_goals THEN 3 WHEN team_goals = opponent_goals THEN 1 ELSE 0 END) AS points FROM v_team GROUP BY 1)")

@@ -11,27 +11,13 @@ def flagged(events: DataFrame) -> DataFrame:
     return events.withColumn("prediction_before_kickoff", F.col("snapshot_utc") < F.col("kickoff_utc"))
 
 
-def snapshots(events: DataFrame, gap: str = "60 minutes") -> DataFrame:
-    """One snapshot for each match and version within ``gap`` of event time; state is dropped behind the watermark.
-
-    events: snapshot_utc, kickoff_utc (timestamps), match_id, version, and values. prediction_before_kickoff marks those in time; the
-    others stay, flagged.
-    """
-    return flagged(events.withWatermark("snapshot_utc", gap).dropDuplicatesWithinWatermark(["match_id", "version"]))
-
-
-def with_results(ledger: DataFrame, results: DataFrame, delay: str = "4 hours", most: str = "3 days") -> DataFrame:
+def with_results(ledger: DataFrame, results: DataFrame, delay: str = "4 hours", most: str = "3 days", how: str = "inner") -> DataFrame:
     """Snapshots joined to results that come at least ``delay`` after kickoff and within ``most`` of it; both sides' state is bounded by
-    watermarks."""
-    left = ledger.withWatermark("kickoff_utc", delay).alias("p") if not ledger.isStreaming else ledger.alias("p")
-    right = results.withWatermark("result_utc", delay).alias("r")
+    watermarks. ``how``: inner, or left_outer, which gives out a snapshot without a result once the watermark says that none can come."""
+    left = ledger.withWatermark("kickoff_utc", delay).alias("p") if ledger.isStreaming else ledger.alias("p")
+    right = results.withWatermark("result_utc", delay).alias("r") if results.isStreaming else results.alias("r")
     on = (F.col("p.match_id") == F.col("r.match_id")) & (F.col("r.result_utc") >= F.col("p.kickoff_utc") + F.expr(f"interval {delay}")) & (F.col("r.result_utc") <= F.col("p.kickoff_utc") + F.expr(f"interval {most}"))
-    return left.join(right, on).select("p.*", "r.result_utc", "r.hg", "r.ag")
-
-
-def hourly(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Counts and mean value by kind of event and hour, final once the watermark has passed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    return left.join(right, on, how).select("p.*", "r.result_utc", "r.hg", "r.ag")
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
