@@ -1,8 +1,11 @@
 """Segments, transport streams, licences, the mix's schedule and shards, each against a plain form of the same thing."""
 
+import math
 import random
+import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,7 +144,7 @@ def test_query_inherits(spark):
 
 
 @pytest.mark.parametrize("n", [200, 2000])
-def test_licences_among_other_words(spark, monkeypatch, n):
+def test_licences_among_other_words(spark, n):
     apache, mit = "Apache-2.0", "MIT"
     rows = [
         (1, "Copyright 2020 Acme. Released under the MIT License.", mit),
@@ -154,10 +157,46 @@ def test_licences_among_other_words(spark, monkeypatch, n):
     ]
     filler = spark.range(100, 100 + n).select(F.col("id").alias("file_id"), F.concat(F.lit("x/f"), "id").alias("path"), F.concat(F.lit("the file of the work by "), F.col("id").cast("string")).alias("text"))
     files = spark.createDataFrame([(i, f"d{i}/a", t) for i, t, _ in rows], "file_id long, path string, text string").unionByName(filler)
-    for limit in (licenses.BROADCAST_ROWS, 0) if n == 200 else (licenses.BROADCAST_ROWS,):
-        monkeypatch.setattr(licenses, "BROADCAST_ROWS", limit)
-        got = {r.file_id: r.own for r in licenses.scan(files).where("file_id < 100 or own is not null").collect()}
-        assert got == {i: own for i, _, own in rows}
+    got = {r.file_id: r.own for r in licenses.scan(files).where("file_id < 100 or own is not null").collect()}
+    assert got == {i: own for i, _, own in rows}
+
+
+FAMILIES = [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+]
+
+
+@pytest.mark.parametrize("n", [100, 1500])
+def test_families_are_told_apart_by_their_words(spark, n):
+    """Published headers and texts, each in a file of its own, against cosines of all lines and windows by plain counting."""
+    files = [(i, f"d{i}/x.py", f"Copyright 2020 Some One\n# " + "\n# ".join(textwrap.wrap(text, 70)) + "\nimport os") for i, (_, text) in enumerate(FAMILIES)]
+    files += [(100 + i, f"x/f{i}", f"the file of the work by {i} and of the library it is under") for i in range(n)]
+    got = {r.file_id: (r.own, r.own_cosine) for r in licenses.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert [got[i][0] for i in range(len(FAMILIES))] == [name for name, _ in FAMILIES]
+    assert all(got[100 + i][0] is None for i in range(n))
+    words = lambda text: re.findall(licenses.WORD, text.lower())
+    seen = Counter(w for _, _, text in files for w in set(words(text)))
+    weigh = lambda ws: {w: c * math.log((1 + len(files)) / (1 + seen[w])) for w, c in Counter(ws).items()}
+    dot = lambda a, b: sum(x * b.get(w, 0.0) for w, x in a.items())
+    templates = [(name, len(words(t)), weigh(words(t))) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    for i in range(len(FAMILIES)):
+        ws, best = words(files[i][2]), []
+        for name, size, t in templates:
+            for c in [ws[k : k + size] for k in range(max(len(ws) - size, 0) + 1)] + [words(line) for line in files[i][2].split("\n")]:
+                c = weigh(c)
+                cosine = dot(c, t) / max(math.sqrt(dot(c, c) * dot(t, t)), 1e-12)
+                if round(cosine, 6) >= licenses.COSINE:
+                    best.append((round(3 * dot(c, t) - dot(c, c) - dot(t, t), 4), name, cosine))
+        told, name, cosine = max(best)
+        assert got[i][0] == name and abs(got[i][1] - max(c for x, m, c in best if x == told and m == name)) < 2e-5
 
 
 def test_schedule_gives_each_block_once_and_evenly(spark):

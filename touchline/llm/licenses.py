@@ -8,10 +8,22 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_or_shuffled, stage
+from .base import stage
+
+#: fixed text: the header that files under licences of the GNU family carry; what it is, the licence's name, its version
+GNU = """This {thing} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by
+        the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version. This {thing} is distributed in the
+        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE. See the GNU {name} for more details."""
+
+
+def _gnu(thing: str, name: str, version: str) -> tuple[str, ...]:
+    return f"This work is licensed under the GNU {name}, version {version}", f"This {thing} is licensed under the GNU {name}, version {version}", GNU.format(thing=thing, name=name, version=version, mark=":", comma=",")
+
 
 #: fixed texts: the sentences by which files declare a licence, then headers and licence texts as they are published
 TEMPLATES = {
+    "AGPL-3.0": _gnu("program", "Affero General Public License", "3"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
@@ -27,20 +39,26 @@ TEMPLATES = {
         documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
         contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
     ),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0",),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3",
-        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
-        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
-        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
-        PURPOSE. See the GNU General Public License for more details.""",
+    "BSD-2-Clause": (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+        met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. This software is provided by the copyright holders and contributors "as is"
+        and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular
+        purpose are disclaimed.""",
     ),
+    "CC-BY-3.0": ("This work is licensed under a Creative Commons Attribution 3.0 Unported License",),
+    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "GPL-2.0": _gnu("program", "General Public License", "2"),
+    "GPL-3.0": _gnu("program", "General Public License", "3"),
     "ISC": (
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
         above copyright notice and this permission notice appear in all copies.""",
     ),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3",),
+    "LGPL-2.1": _gnu("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0": _gnu("library", "Lesser General Public License", "3"),
     "MIT": (
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
@@ -56,9 +74,7 @@ TEMPLATES = {
 }
 #: cosine at which a line or window declares a licence
 COSINE = 0.8
-#: a table of at most so many rows of words or candidates is broadcast, a larger one is shuffled
-BROADCAST_ROWS = 200_000
-WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+WORD = r"[a-z0-9]+(?:[.][a-z0-9]+)*"
 
 
 def _words(text: Column) -> Column:
@@ -91,7 +107,9 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None,
     Candidates are every line of the whole text, and for each template every window of as many words as it has, over the joined
     lines: so neither words before or after a declaration nor a line break or comment mark within hide it. Words of candidates and
     templates are weighted by their count times ln((1 + N) / (1 + n)) with n of all N files having the word, whichever word it is. A
-    file declares the licence of its candidate with the highest cosine of at least ``cosine`` (ties: the first by name). A licence
+    file declares the licence of one of its candidates with a cosine of at least ``cosine``: of the one that shares most with its template,
+    less what only one of both has (3 c.t - t.t - c.c; ties: the first by name). Between licences whose texts differ in a version or
+    a few words, or of which one contains the other, these words decide; their cosines are too near for that. A licence
     file is one named LICENSE, LICENCE or COPYING (any suffix); if a directory has several, the smallest path counts. Null texts and
     paths declare and inherit nothing; an empty table gives an empty one. A row in, a row out: rows are told apart by file_id, path and
     text, so a file_id may repeat; extra columns are not looked at. A licence may have several templates.
@@ -111,10 +129,11 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None,
     seen = stage(files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "license-words")
     n = {r["word"]: r["n"] for r in seen.where(F.col("word").isin(vocabulary)).collect()}  # as many rows as the templates have words
     idf = {w: math.log((1 + max(total, 1)) / (1 + n.get(w, 0))) for w in vocabulary}
-    weights, shapes, least = [], [], cosine * cosine - 1e-5  # cosines are rounded
+    weights, shapes, norms, least = [], [], [], cosine * cosine - 1e-5  # cosines are rounded
     for name, ws in counted.items():
         tf = {w: ws.count(w) * idf[w] for w in ws}
         norm = math.sqrt(sum(x * x for x in tf.values())) or 1.0
+        norms.append((name, norm))
         weights += [(name, w, x / norm) for w, x in sorted(tf.items())]
         rest, rare = 0.0, []  # a candidate without any of the heaviest words has a cosine below the norm of the others
         for w, x in sorted(tf.items(), key=lambda p: (p[1], p[0])):
@@ -128,12 +147,15 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None,
     counts = candidates.select("license", "content").distinct().select("license", "content", F.explode(F.split("content", " ", -1)).alias("word"))
     counts = counts.groupBy("license", "content", "word").agg(F.count("*").alias("tf"))
     needed = stage(counts.select("word").distinct().join(seen, "word").select("word", F.log(F.lit(1.0 + max(total, 1)) / (1 + F.col("n"))).alias("idf")), "license-idf")
-    counts = counts.join(small_or_shuffled(needed, needed.count(), BROADCAST_ROWS), "word").withColumn("x", F.col("tf") * F.col("idf")).join(F.broadcast(table), ["license", "word"], "left")
+    counts = counts.join(needed, "word").withColumn("x", F.col("tf") * F.col("idf")).join(F.broadcast(table), ["license", "word"], "left")
     scored = counts.groupBy("license", "content").agg(F.sum(F.col("x") * F.coalesce("weight", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     scored = scored.where("norm > 0").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= cosine)
-    scored = stage(scored.select("license", "content", "cosine"), "license-scored")
-    scored = candidates.join(small_or_shuffled(scored, scored.count(), BROADCAST_ROWS), ["license", "content"])
-    best = scored.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("file_id", F.substring_index("b.license", "/", 1).alias("own"), (-F.col("b.c")).alias("own_cosine"))
+    # shared mass, less what only the template and only the candidate has, in squared weights: texts of one family differ in a few words
+    sized = scored.join(F.broadcast(spark.createDataFrame(norms, "license string, size double")), "license")
+    told = F.round(3 * F.col("dot") * F.col("size") - F.col("size") * F.col("size") - F.col("norm") * F.col("norm"), 6)
+    scored = stage(sized.select("license", "content", "cosine", told.alias("told")), "license-scored")
+    scored = candidates.join(scored, ["license", "content"])
+    best = scored.groupBy("file_id").agg(F.min(F.struct((-F.col("told")).alias("t"), "license", (-F.col("cosine")).alias("c"))).alias("b")).select("file_id", F.substring_index("b.license", "/", 1).alias("own"), (-F.col("b.c")).alias("own_cosine"))
     own = stage(files.select("file_id", "given_id", "path").join(best, "file_id", "left"), "license-own")
 
     base = F.element_at(F.split("path", "/", -1), -1)
