@@ -29,18 +29,6 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Overwrite a table that ``df`` may itself read: write beside it, then move into place."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}__new"
-    df.write.mode("overwrite").parquet(beside)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    old, new = fs_path(path), fs_path(beside)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
-
-
 @dataclass(frozen=True)
 class Tier:
     label: str
