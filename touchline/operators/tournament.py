@@ -24,7 +24,7 @@ def needs(table: DataFrame, remaining: DataFrame, advance: int = 2, by: str = "g
     """incentive label of each team from its group's table; remaining: grp, team, remaining (matches left)."""
     group = Window.partitionBy(by)
     cut = F.max(F.when(F.col("position") == advance, F.col("points"))).over(group)
-    chaser = F.coalesce(F.max(F.when(F.col("position") == advance + 1, F.col("points"))).over(group), F.lit(0))
+    chaser = F.coalesce(F.max(F.when(F.col("position") == advance + 1, F.col("points"))).over(group), F.lit(-99))
     t = table.join(remaining, [by, "team"], "left").withColumn("remaining", F.coalesce("remaining", F.lit(0))).withColumns({"cutoff": cut, "margin": F.col("points") - chaser})
     inside, last = F.col("position") <= advance, F.col("remaining") <= 1
     label = (
@@ -80,6 +80,20 @@ def adjusted(rows: DataFrame, most: float = 0.05) -> DataFrame:
     return rows.withColumns(out).withColumns({"adj_under_2_5": 1 - F.col("adj_over_2_5"), "adj_btts_no": 1 - F.col("adj_btts_yes")})
 
 
+def context_evaluation(rows: DataFrame) -> DataFrame:
+    """One row: how baseline and adjusted probabilities did on completed matches (Brier scores here are divided by three), and how far the adjusted mean
+    draw lies from the share of draws. rows: home_win, draw, away_win, adj_home_win, adj_draw, adj_away_win, actual."""
+    sets = {"baseline": ("home_win", "draw", "away_win"), "context": ("adj_home_win", "adj_draw", "adj_away_win")}
+    p = {n: [F.col(c) for c in cols] for n, cols in sets.items()}
+    y = F.col("actual")
+    return rows.where("actual is not null").agg(
+        F.count("*").alias("n"),
+        *[F.avg(C.brier(*p[n], y) / 3).alias(f"{n}_brier") for n in sets],
+        *[F.avg(C.log_loss(C.of_actual(*p[n], y))).alias(f"{n}_log_loss") for n in sets],
+        (F.avg("adj_draw") - F.avg((y == "draw").cast("int"))).alias("draw_calibration_delta"),
+    )
+
+
 #: a slot of a match that names no team yet, and its parts
 SLOT = r"(?i)^(winner|loser|runner[- ]up|3rd|third)\b"
 MATCH_SLOT = r"(?i)^(winner|loser)\s+(?:of\s+)?match\s+([0-9]+)$"
