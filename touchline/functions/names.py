@@ -28,8 +28,8 @@ def tables() -> tuple[str, str, list[tuple[str, str]]]:
             marks.append(ch)
         elif len(plain) == 1 and plain.isascii():
             one[ch] = plain
-        elif plain.isascii() and plain.isalnum() and (at < 0x250 or 0x2160 <= at < 0x2180 or 0xFB00 <= at < 0xFB07):
-            several.append((ch, plain))
+        elif len(plain) > 1 and (at < 0x250 or 0x2160 <= at < 0x2180 or 0xFB00 <= at < 0xFB07) and (spelled := "".join(x if x.isascii() and x.isalnum() else " " for x in plain)).strip():
+            several.append((ch, spelled))
     return "".join([*one, *marks]), "".join(one.values()), several
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.names import name_key
 
 
 def edges(quotes: DataFrame) -> DataFrame:
@@ -98,3 +99,46 @@ def best_quote(quotes: DataFrame, keys: list[str]) -> DataFrame:
     """Of each selection the quote with a price and the largest gap."""
     order = Window.partitionBy(*keys).orderBy(F.col("price_cents").isNull(), F.abs("gap_cents").desc_nulls_last(), "market_id")
     return quotes.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+
+
+#: fixed values: words that tell what a market is about
+MATCHUP_WORDS = ("vs", "v", "versus", "beat", "defeat", "draw", "tie")
+SPORTS_WORDS = ("fifa", "football", "game", "match", "soccer", "world cup")
+POLITICAL_WORDS = ("approval", "bitcoin", "congress", "crypto", "election", "fed", "government", "inflation", "interest rate", "mayor", "minister", "poll", "president", "senate", "tariff", "vote", "war")
+#: fixed values: points of both teams, matchup words, sports words, sports category, competition, a date within two days; and of what speaks against it
+POINTS = {"teams": 60.0, "matchup": 12.0, "sports": 14.0, "category": 10.0, "competition": 8.0, "date": 6.0, "political": -80.0, "no_context": -20.0}
+
+
+def mentions(markets: DataFrame, terms: DataFrame) -> DataFrame:
+    """market_id, team of every term (team, term; one word or several) that is in a market's text as whole words. Texts meet terms by the term's first word, so
+    no text is searched for all terms."""
+    text = name_key(F.col("text"))
+    tokens = markets.select("market_id", text.alias("text")).withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
+    known = terms.select("team", name_key(F.col("term")).alias("term")).where("term <> ''").distinct().withColumn("word", F.substring_index("term", " ", 1))
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return tokens.join(known, "word").where(F.contains(padded("text"), padded("term"))).select("market_id", "team").distinct()
+
+
+def map_markets(markets: DataFrame, fixtures: DataFrame, terms: DataFrame, top: int = 1) -> DataFrame:
+    """The ``top`` markets of each fixture that name both teams and aren't rejected: match_id, market_id, score, confidence. A market without both teams is rejected
+    whatever else it says, so markets and fixtures meet by the pairs of teams that a text names. Ties go to the lowest market_id.
+
+    markets: market_id, text, category, day; fixtures: match_id, home, away, competition, day; terms: team, term.
+    """
+    said = mentions(markets, terms)
+    pairs = said.withColumnRenamed("team", "low").join(said.withColumnRenamed("team", "high"), "market_id").where("low < high")
+    met = fixtures.where("home <> away").select("match_id", F.least("home", "away").alias("low"), F.greatest("home", "away").alias("high"), name_key(F.col("competition")).alias("competition"), F.col("day").alias("kickoff")).join(pairs, ["low", "high"])
+    has = lambda words: F.concat(F.lit(" "), F.col("text"), F.lit(" ")).rlike(" (" + "|".join(words) + ") ")
+    about = markets.select("market_id", name_key(F.col("text")).alias("text"), name_key(F.col("category")).alias("category"), "day")
+    about = about.select("market_id", "text", "day", has(MATCHUP_WORDS).alias("matchup"), has(SPORTS_WORDS).alias("sports"), has(POLITICAL_WORDS).alias("political"), F.col("category").isin("sports", "soccer", "football").alias("sporting"), F.contains("category", F.lit("politic")).alias("politics"))
+    rows = met.join(about, "market_id")
+    point = lambda c, n: F.when(c, POINTS[n]).otherwise(0.0)
+    named = (F.col("competition") != "") & F.contains(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.concat(F.lit(" "), F.col("competition"), F.lit(" ")))
+    near = F.coalesce(F.abs(F.datediff("day", "kickoff")) <= 2, F.lit(False))
+    score = F.lit(POINTS["teams"]) + point(F.col("matchup"), "matchup") + point(F.col("sports"), "sports") + point(F.col("sporting"), "category") + point(named, "competition") + point(near, "date")
+    against = (F.col("political") | F.col("politics")) & ~F.col("sports")
+    rejected = against | ~(F.col("sports") | F.col("matchup") | F.col("sporting"))
+    rows = rows.where(~rejected).withColumn("score", score)
+    label = F.when((F.col("sports") | F.col("sporting")) & (F.col("score") >= 75), "high").when(F.col("score") >= 55, "medium").otherwise("low")
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("score"), "market_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= top).select("match_id", "market_id", "score", label.alias("confidence"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import markets as K
 from ..operators import records as R
-from .base import Tables, query
+from .base import CATALOG, Tables, query
+from .linking import TEAMS, names
 from .tables import SLUGS, pairs
 
 
@@ -94,8 +96,32 @@ def log_metrics(t: Tables):
     k AS (SELECT slug, w[1] AS pre, w[2] AS one, w[3] AS two, CAST(array_to_string(w[4:6], '-') AS DATE) AS hint FROM p), f AS (SELECT match_id, match_date AS day, 'n' || home AS h, 'n' || away AS a FROM v_match)
     SELECT match_id, slug, score, CASE WHEN day = hint AND pre = 'fif' THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN day = hint THEN '' ELSE 'date mismatch' END AS warning FROM (SELECT *, 35 * (h IN (one, two))::int + 35 * (a IN (one, two))::int + 20 * (day = hint)::int + 10 * (pre = 'fif')::int AS score, row_number() OVER (PARTITION BY match_id ORDER BY score DESC, slug) AS place FROM f JOIN k ON least(h, a) = least(one, two) AND greatest(h, a) = greatest(one, two)) WHERE place = 1""")
 def slug_scores(t: Tables):
-    from ..operators import markets as K
-
     listed = K.slug_candidates(pairs(t)).where("pair_id % 3 = 0 and pos in (1, 2)")
     slugs = listed.select(F.when(F.col("pair_id") % 2 == 0, F.col("slug")).otherwise(F.replace("slug", F.lit("fif-"), F.lit("cup-"))).alias("slug"))
     return R.slug_scores(slugs, pairs(t).withColumnRenamed("pair_id", "match_id"))
+
+
+_QUESTION = "CASE match_id % 6 WHEN 0 THEN 'Will ' || h || ' beat ' || a || '?' WHEN 1 THEN h || ' vs ' || a || ': total goals' WHEN 2 THEN h || ' and ' || a || ' election: next president' WHEN 3 THEN h || ' to win the World Cup' WHEN 4 THEN a || ' v. ' || h || ' friendly football match' ELSE h || ', ' || a END"
+_CATEGORY = "CASE match_id % 4 WHEN 0 THEN 'Sports' WHEN 1 THEN 'Politics' WHEN 2 THEN '' ELSE 'Soccer' END"
+_WORDS = lambda words: "regexp_matches(' ' || text || ' ', ' (" + "|".join(words) + ") ')"
+
+
+@query("map_markets", "match_id:l market_id:l score:d confidence:s", f"""WITH n AS (SELECT team, {TEAMS}[team + 1] AS name FROM v_name), m AS MATERIALIZED (SELECT match_id AS market_id, trim(regexp_replace(lower({_QUESTION}), '[^a-z0-9'']+', ' ', 'g')) AS text, lower({_CATEGORY}) AS category, match_date + CAST(match_id % 7 - 3 AS INT) AS day, CASE match_id % 6 WHEN 3 THEN NULL ELSE least(home, away) END AS low, greatest(home, away) AS high FROM (SELECT v.*, x.name AS h, y.name AS a FROM v_match v JOIN n x ON x.team = home JOIN n y ON y.team = away)),
+    r AS (SELECT f.match_id, market_id, {_WORDS(K.MATCHUP_WORDS)} AS mu, {_WORDS(K.SPORTS_WORDS)} AS sp, {_WORDS(K.POLITICAL_WORDS)} AS po, category IN ('sports', 'soccer', 'football') AS sc, category LIKE '%politic%' AS pc, contains(' ' || text || ' ', ' ' || replace(comp_type, '_', ' ') || ' ') AS co, abs(day - match_date) <= 2 AS near FROM v_match f JOIN m ON low = least(home, away) AND high = greatest(home, away)),
+    s AS (SELECT *, 60e0 + CASE WHEN mu THEN 12 ELSE 0 END + CASE WHEN sp THEN 14 ELSE 0 END + CASE WHEN sc THEN 10 ELSE 0 END + CASE WHEN co THEN 8 ELSE 0 END + CASE WHEN near THEN 6 ELSE 0 END AS score FROM r WHERE NOT ((po OR pc) AND NOT sp) AND (sp OR mu OR sc))
+    SELECT match_id, market_id, score, CASE WHEN (sp OR sc) AND score >= 75 THEN 'high' WHEN score >= 55 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY score DESC, market_id) AS place FROM s) WHERE place = 1""")
+def map_markets(t: Tables):
+    n = names(t).select("team", F.replace("name", F.lit(" football union"), F.lit("")).alias("term"))
+    m = t.match.join(n.withColumnsRenamed({"team": "home", "term": "h"}), "home").join(n.withColumnsRenamed({"team": "away", "term": "a"}), "away")
+    markets = m.select(F.col("match_id").alias("market_id"), F.expr(_QUESTION).alias("text"), F.expr(_CATEGORY).alias("category"), F.expr("date_add(match_date, cast(match_id % 7 - 3 as int))").alias("day"))
+    fixtures = t.match.select("match_id", "home", "away", F.replace("comp_type", F.lit("_"), F.lit(" ")).alias("competition"), F.col("match_date").alias("day"))
+    return K.map_markets(markets, fixtures, n)
+
+
+@query("context_evaluation", "n:l baseline_brier:d context_brier:d baseline_log_loss:d context_log_loss:d draw_calibration_delta:d", f"""SELECT count(*) AS n, avg(p.brier / 3) AS baseline_brier, avg((pow(adj_home_win - CASE WHEN actual = 'home_win' THEN 1 ELSE 0 END, 2) + pow(adj_draw - CASE WHEN actual = 'draw' THEN 1 ELSE 0 END, 2) + pow(adj_away_win - CASE WHEN actual = 'away_win' THEN 1 ELSE 0 END, 2)) / 3) AS context_brier, avg(log_loss) AS baseline_log_loss,
+    avg(-ln(greatest(1e-3, least(999e-3, CASE actual WHEN 'home_win' THEN adj_home_win WHEN 'draw' THEN adj_draw ELSE adj_away_win END)))) AS context_log_loss, avg(adj_draw) - avg((actual = 'draw')::int) AS draw_calibration_delta FROM v_prob p JOIN ({CATALOG['context_adjust'].sql}) c ON c.match_id = p.match_id""")
+def context_evaluation(t: Tables):
+    from ..operators import tournament as G
+
+    adjusted = CATALOG["context_adjust"].plan(t).select("match_id", "adj_home_win", "adj_draw", "adj_away_win")
+    return G.context_evaluation(t.prob.join(adjusted, "match_id"))
