@@ -215,7 +215,7 @@ def test_mixed_texts_hold_what_is_taken(spark, odd_folder):
     docs = mixing.stage(spark.read.parquet(f"{odd_folder}/documents.parquet"), "odd")
     took = {r.doc_id: r.n for r in mixing.taken(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
     got = mixing.mixed(docs)
-    assert got.columns == docs.columns
+    assert got.columns == [*docs.columns, "mix_slot"]
     n = {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
     assert n == {d: k for d, k in took.items() if k}
     whole = {(r.doc_id, r.text) for r in docs.collect()}
@@ -224,17 +224,27 @@ def test_mixed_texts_hold_what_is_taken(spark, odd_folder):
     assert all(any(d == i and t.startswith(x) for i, t in whole if t) for d, x in cuts)
 
 
-def test_mix_comes_in_the_order_of_slots(spark):
+def test_slots_keep_the_order_of_the_mix_across_a_write(spark, tmp_path):
+    """Written by the pipeline's own steps and read in whatever order files come: the slot tells the mix, whose beginnings are near the targets."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     targets = {r.source: r.target for r in mixing.taken(docs).join(docs.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
     words, seen, total = 0, dict.fromkeys(targets, 0), sum(targets.values())
-    for r in mixing.mixed(docs).select("source", mixing.n_words(F.col("text")).alias("n")).toLocalIterator():
+    mixing.mixed(docs).repartition(7).write.parquet(str(tmp_path / "mix"))
+    rows = spark.read.parquet(str(tmp_path / "mix")).select("mix_slot", "source", mixing.n_words(F.col("text")).alias("n")).collect()
+    for r in sorted(rows, key=lambda r: r.mix_slot):
         seen[r.source] += r.n
         words += r.n
         if words > total / 4:  # a document's words count where it begins, so the very beginning is coarser
             assert all(abs(seen[k] / words - t / total) < 0.08 for k, t in targets.items())
 
 
+def test_slot_of_documents_that_have_one(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i}", "s", "mine", i) for i in range(20)] + [(None, "x y", None, "mine", 3)], "doc_id long, text string, source string, mix_slot string, N_words int")
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns, "mix_slot_"] and {r.mix_slot for r in got.collect()} == {"mine"}
+    assert "n_chars" not in got.columns and got.where("mix_slot_ is null").count() == 0
+
+
 def test_schedule_decides_the_order(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     first = lambda: sorted((r.doc_id, r.first_slot) for r in mixing.taken(docs).collect() if r.taken)
