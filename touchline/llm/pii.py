@@ -164,12 +164,12 @@ def disclosing(docs: DataFrame, root: int = 4, support: int = SUPPORT) -> tuple[
     rows = stage(rows, "pii-spans")
     total = float(rows.count())
     held = rows.where(F.size("protected") > 0).select("beside", _signs(F.col("beside")).alias("sign"), F.inline(_entities(F.col("protected"))))
-    entities = held.groupBy("kind", "entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    entities = stage(entities, "pii-entities")
-    known = perhaps(held, entities, "entity").join(entities.hint("merge"), ["kind", "entity"])
-    pairs = known.select("kind", "entity", "n_e", "sign", F.explode("beside").alias("term"))
-    together = stage(pairs.groupBy("term", "entity").agg(F.min("kind").alias("kind"), F.min("n_e").alias("n_e"), F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pii-together")
-    spread = docs.select(*_keys(), F.explode(_terms(_spaced(text))).alias("term"))
+    entities = stage(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "pii-entities")
+    # an entity's rows never meet: each brings its terms, these are summed by (term, entity), and only the sums meet what entities count
+    pairs = perhaps(held, entities, "entity").select("kind", "entity", "sign", F.explode("beside").alias("term"))
+    together = pairs.groupBy("term", "entity").agg(F.min("kind").alias("kind"), F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    together = stage(together.join(entities.hint("merge"), "entity"), "pii-together")
+    spread = docs.select(F.explode(_terms(_spaced(text))).alias("term"))
     counted = perhaps(spread, together, "term").groupBy("term").agg(F.count("*").alias("n_t"))
     p, share = F.col("n_e") / F.lit(total), (F.col("n_te") + PRIOR * F.col("n_e") / F.lit(total)) / (F.col("n_t") + PRIOR)
     left = share
@@ -178,8 +178,9 @@ def disclosing(docs: DataFrame, root: int = 4, support: int = SUPPORT) -> tuple[
     likely = together.join(counted.hint("merge"), "term").withColumn("share", share).where((F.col("share") > p) & (left >= p))
     likely = stage(likely.select("term", "entity", "kind", "share"), "pii-likely")
     # near copies are one piece of evidence: they mostly share the least of their terms' hashes
-    signs = perhaps(perhaps(pairs.select("entity", "sign", "term"), likely, "term"), likely, "entity").join(likely.hint("merge"), ["term", "entity"])
-    sound = signs.select("term", "entity", "kind", "share", "sign").distinct().groupBy("term", "entity", "kind", "share").agg(F.count("*").alias("signs")).where(F.col("signs") >= support)
+    signs = perhaps(perhaps(pairs.select("entity", "sign", "term"), likely, "term"), likely, "entity").distinct()
+    signs = signs.groupBy("term", "entity").agg(F.count("*").alias("signs")).where(F.col("signs") >= support)
+    sound = signs.join(likely.hint("merge"), ["term", "entity"])
     best = F.max(F.struct("share", (-F.col("kind")).alias("first")))
     flagged = sound.groupBy("term").agg(best.alias("b")).select("term", F.when(F.col("b.share") >= SURE, -1).otherwise(-F.col("b.first")).alias("what"))
     return rows.drop("beside"), stage(flagged, "pii-flagged")
@@ -218,11 +219,14 @@ def sanitise(docs: DataFrame, root: int = 4, support: int = SUPPORT) -> DataFram
     hashes, and texts are told apart by one and a CRC-32.
 
     All steps are joins and sums: only entities of ``support`` documents bring pairs, (term, entity) pairs are first summed in each task,
-    and flagged terms are joined to the terms of all texts, so no entity's documents and no term's are gathered. Joins sort and
+    and join what is known of entities as sums; flagged terms join the terms of all texts. So no entity's documents and no term's are gathered. Joins sort and
     merge at every size, behind bitmaps of a fixed size.
     """
     rows, hits = _disclosed(docs, root, support)
-    found = rows.join(hits.hint("merge"), ["text_hash", "text_crc32"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(PLACES)))
+    none = F.array().cast(PLACES)
+    flagged = perhaps(rows, hits, "text_hash", keep="pii_perhaps")  # texts without such terms never move, null and empty ones neither
+    some = flagged.where("pii_perhaps").join(hits.hint("merge"), ["text_hash", "text_crc32"], "left").withColumn("terms", F.coalesce("terms", none))
+    found = some.unionByName(flagged.where("not pii_perhaps").withColumn("terms", none))
     side = lambda secret: F.filter("protected", lambda b: (b["k"] == len(KINDS)) == F.lit(secret))
     return found.select("doc_id", "text_crc32", side(False).alias("base"), side(True).alias("secrets"), "terms")
 
