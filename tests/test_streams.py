@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators.timeseries import rolling_elo
 from touchline.plans.base import Tables
 from touchline.streaming import ledger as L
-from touchline.streaming.ratings import elo_stream
+from touchline.streaming.ratings import STORE, elo_stream
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,7 +18,9 @@ def test_elo_state_survives_a_restart(spark, tmp_path):
     frame = lambda part: spark.createDataFrame(part, matches.schema).coalesce(1)
     source, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
     frame(rows[:60]).write.parquet(source)
-    run = lambda: L.run_once(elo_stream(spark.readStream.schema(matches.schema).option("maxFilesPerTrigger", 1).parquet(source)), out, ckpt)
+    session = spark.newSession()
+    session.conf.set(*STORE)
+    run = lambda: L.run_once(elo_stream(session.readStream.schema(matches.schema).option("maxFilesPerTrigger", 1).parquet(source)), out, ckpt)
     run()
     assert spark.read.parquet(out).count() == 60
     for a, b in ((60, 150), (150, 239)):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -393,8 +393,8 @@ def pdf_parse(t: Tables):
     return parse_report(t.match.select("match_id", text.alias("text")))
 
 
-def _streamed(t: Tables, name: str, make) -> DataFrame:
-    """What a stream gives out that is run to its end: ``make`` turns tables read as streams into one. Its files lie in the shared folder."""
+def _streamed(t: Tables, name: str, make, session: SparkSession | None = None) -> DataFrame:
+    """What a stream gives out that is run to its end: ``make`` turns tables read as streams (in ``session``) into one. Its files lie in the shared folder."""
     import uuid
 
     from ..sources.session import shared_dir
@@ -403,7 +403,7 @@ def _streamed(t: Tables, name: str, make) -> DataFrame:
 
     def source(table: str) -> DataFrame:
         path = f"{t.dir}/{table}.parquet"
-        return t.spark.readStream.schema(t(table).schema).parquet(path if "://" in t.dir else f"{path}*")
+        return (session or t.spark).readStream.schema(t(table).schema).parquet(path if "://" in t.dir else f"{path}*")
 
     out = make(source)
     L.run_once(out, f"{at}/out", f"{at}/ckpt")
@@ -436,9 +436,11 @@ def stream_results(t: Tables):
 @query("stream_elo", "match_id:l home:l away:l home_post:d away_post:d late:b", "SELECT match_id, home, away, round(home_post, 3) AS home_post, round(away_post, 3) AS away_post, false AS late FROM v_elo")
 def stream_elo(t: Tables):
     """Ratings of a stream over the orders table, from state by league and team."""
-    from ..streaming.ratings import elo_stream
+    from ..streaming.ratings import STORE, elo_stream
 
-    out = _streamed(t, "elo", lambda source: elo_stream(t.match_of(source("orders")).withColumn("league", F.lit(0))))
+    session = t.spark.newSession()
+    session.conf.set(*STORE)
+    out = _streamed(t, "elo", lambda source: elo_stream(t.match_of(source("orders")).withColumn("league", F.lit(0))), session)
     return out.withColumns({c: F.round(c, 3) for c in ("home_post", "away_post")})
 
 

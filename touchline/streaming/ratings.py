@@ -12,7 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import columns as C
 from ..operators.timeseries import EloConfig, updated
 
-#: state of a league's teams needs a store that holds maps
+#: setting of a session whose streams keep maps as state
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 SCHEMA = "match_id long, match_date date, home long, away long, home_pre double, away_pre double, home_post double, away_post double, late boolean"
 
@@ -57,7 +57,7 @@ class Ratings(StatefulProcessor):
 
 def elo_stream(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFrame:
     """rolling_elo() of a stream of matches with a league column (a stream can't tell who will ever play whom): ratings before and after each match that
-    has goals, and whether it came late. A trigger's matches of a league come to one task, so bound a trigger at the source."""
-    matches.sparkSession.conf.set(*STORE)
+    has goals, and whether it came late. A trigger's matches of a league come to one task, so bound a trigger at the source. The session of
+    ``matches`` must name the state store STORE; nothing is set here, as other streams of it may use another."""
     rows = matches.where("hg is not null and ag is not null").select("league", "match_id", "match_date", "home", "away", F.col("hg").cast("double").alias("hg"), F.col("ag").cast("double").alias("ag"), "neutral", C.k_factor(F.col("comp_type")).alias("k"))
     return rows.groupBy("league").transformWithStateInPandas(Ratings(config), SCHEMA, "append", "none")
