@@ -28,8 +28,10 @@ from .base import small_or_shuffled, stage
 
 #: rows and cells of a row of the sketch, and bytes of a page in which it moves
 DEPTH, CELLS, PAGE = 4, 1 << 20, 1 << 12
-#: rows of the table of groups that is broadcast at most, and bytes of texts whose terms a task sums before it gives them out
-GROUPS, PIECE = 100_000, 1 << 21
+#: rows of the table of groups that is broadcast at most
+GROUPS = 100_000
+#: bytes of texts whose terms a task sums at once, and rows of such sums that it holds before it sums them again and gives them out
+PIECE, HELD = 1 << 21, 600_000
 
 #: a term: ASCII letters and every byte of a character beyond ASCII
 LETTER = np.zeros(256, bool)
@@ -120,10 +122,20 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.LargeStringArray.from_buffers(len(lens), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[pos].tobytes())).cast(pa.string())
 
 
-def _survivors(held: Broadcast, min_docs: int):
+def _summed(held: list[tuple[np.ndarray, pa.RecordBatch]]) -> pa.RecordBatch:
+    """Rows of several pieces as one row for each key."""
+    rows = pa.Table.from_batches([x for _, x in held]).combine_chunks()
+    _, first, at = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_inverse=True)
+    out = rows.take(pa.array(first))
+    for c in ("count", "docs"):
+        out = out.set_column(out.schema.get_field_index(c), c, pa.array(np.bincount(at, rows.column(c).to_numpy()).astype(np.int64)))
+    return out.to_batches()[0]
+
+
+def _survivors(shared: Broadcast, min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """lang, source, text -> lang, source, term, occurrences and documents of what the sketch lets through, a row for each in a piece."""
-        sketch = held.value
+        """lang, source, text -> lang, source, term, occurrences and documents of what the sketch lets through, summed over HELD rows of pieces at a time."""
+        sketch, held, n_held = shared.value, [], 0
         for batch in batches:
             lang, source = batch.column(0), batch.column(1)
             lang_key, source_key = _keys(lang), _keys(source)
@@ -138,10 +150,16 @@ def _survivors(held: Broadcast, min_docs: int):
                 if not may.any():
                     continue
                 row, hashes, starts, ends = row[may], w.hashes[may], w.starts[may], w.ends[may]
-                _, first, at, n = np.unique(T.mix(group_key[row] ^ hashes), return_index=True, return_inverse=True, return_counts=True)
+                keys, first, at, n = np.unique(T.mix(group_key[row] ^ hashes), return_index=True, return_inverse=True, return_counts=True)
                 docs = _in_docs(row, at, len(first))
                 names = _strings(T.LOWER[piece.data], starts[first], ends[first])
-                yield pa.record_batch({"lang": lang.take(pa.array(row[first])), "source": source.take(pa.array(row[first])), "term": names, "count": n.astype(np.int64), "docs": docs.astype(np.int64)})
+                held.append((keys, pa.record_batch({"lang": lang.take(pa.array(row[first])), "source": source.take(pa.array(row[first])), "term": names, "count": n.astype(np.int64), "docs": docs.astype(np.int64)})))
+                n_held += len(keys)
+                if n_held >= HELD:
+                    yield _summed(held)
+                    held, n_held = [], 0
+        if held:
+            yield _summed(held)
 
     return run
 
