@@ -170,12 +170,7 @@ def semantics(t: Tables):
     AND abs(a.match_date - b.match_date) <= 3 AND a.match_id <> b.match_id GROUP BY 1""")
 def interval(t: Tables):
     m = t.match.select("match_id", "match_date", D.team_key(F.col("home"), F.col("away")).alias("pair"))
-    bucket = lambda d: F.floor(F.unix_date(d) / 7)
-    left = m.withColumn("bucket", bucket("match_date"))
-    right = m.select("pair", F.col("match_id").alias("o_id"), F.col("match_date").alias("o_date")).withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.date_sub("o_date", 3)), bucket(F.date_add("o_date", 3))))))
-    gap = F.abs(F.datediff("match_date", "o_date"))
-    near = left.join(right, ["pair", "bucket"]).where((gap <= 3) & (F.col("match_id") != F.col("o_id")))
-    return near.groupBy("match_id").agg(F.count("*").alias("n"), F.min_by("o_id", F.struct(gap, "o_id")).alias("nearest"))
+    return D.near_days(m, "pair", "match_id", "match_date").where("n > 0")
 
 
 @query("nearest_weather", "event_id:l nearest_id:l nearest_value:d gap_s:d", """SELECT * FROM (SELECT a.event_id, b.event_id AS nearest_id, b.value AS nearest_value, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 AS gap_s, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(epoch_us(a.ts) - epoch_us(b.ts)), b.event_id) AS place
