@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.session import shared_dir
 
 
 def wide_to_long(matches: DataFrame) -> DataFrame:
@@ -27,6 +29,10 @@ def long_to_wide(rows: DataFrame) -> DataFrame:
     return rows.groupBy("match_id").agg(F.min(row).alias("x")).select("match_id", "x.r.*")
 
 
+#: matches of a round of rolling_elo(), about
+SPAN = 2_000_000
+
+
 @dataclass(frozen=True)
 class EloConfig:
     start: float = 1500.0
@@ -57,29 +63,60 @@ def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFram
     """Ratings of both teams before and after each match, in the order of date and match_id.
 
     A match changes two teams' state, so matches can't be dealt by team; they are dealt by connected component of who has played whom.
-    A component's matches come to one task in order and pass through it batch by batch; all that it holds is the map from team to
-    rating. No goals: no row. Ratings round at the end only.
+    A component's matches pass through one task in order, batch by batch; all that it holds is the map from team to rating. More than SPAN
+    matches go in rounds of about so many, in order: a round's task sorts no more, and starts with the ratings that the round before it
+    left, which lie in the shared folder as a row a team, as its output does. No goals: no row. Ratings round at the end only.
     """
     scored = matches.where("hg is not null and ag is not null")
     # teams joined by any chain of opponents share a component; one league is the usual case
     rows = scored.select("match_id", "match_date", "home", "away", F.col("hg").cast("double").alias("hg"), F.col("ag").cast("double").alias("ag"), "neutral", C.k_factor(F.col("comp_type")).alias("k"))
-    rows = rows.join(_leagues(rows), "home").select("league", *rows.columns)
+    leagues, names = _leagues(rows), rows.columns
+    rounds = max(1, -(-rows.count() // SPAN))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         league, ratings = None, {}
+
+        def left() -> pa.RecordBatch:
+            none = lambda kind: pa.nulls(len(ratings), kind)
+            return pa.record_batch({"league": pa.array([league] * len(ratings), pa.int64()), "match_id": none(pa.int64()), "match_date": none(pa.date32()), "home": pa.array(ratings, pa.int64()), "away": none(pa.int64()), "home_pre": none(pa.float64()), "away_pre": none(pa.float64()), "home_post": pa.array(ratings.values(), pa.float64()), "away_post": none(pa.float64())})
+
         for batch in batches:
-            out = []
-            for own, home, away, hg, ag, neutral, k in zip(*[batch.column(c).to_pylist() for c in ("league", "home", "away", "hg", "ag", "neutral", "k")], strict=True):
+            at, out, end = 0, [], []
+            for own, match, home, away, hg, ag, neutral, k in zip(*[batch.column(c).to_pylist() for c in ("league", "match_id", "home", "away", "hg", "ag", "neutral", "k")], strict=True):
                 if own != league:
+                    if rounds > 1 and ratings:
+                        end.append(left())
                     league, ratings = own, {}
+                if match is None:  # what the round before left
+                    ratings[home], at = hg, at + 1
+                    out.append((None,) * 4)
+                    continue
                 h, a = ratings.get(home, config.start), ratings.get(away, config.start)
                 ratings[home], ratings[away] = updated(h, a, hg, ag, neutral, k, config)
                 out.append((h, a, ratings[home], ratings[away]))
             columns = zip(("home_pre", "away_pre", "home_post", "away_post"), zip(*out, strict=True) if out else [[]] * 4, strict=True)
-            yield pa.record_batch({c: batch.column(c) for c in ("match_id", "match_date", "home", "away")} | {c: pa.array(v, pa.float64()) for c, v in columns})
-
-    ordered = rows.repartition("league").sortWithinPartitions("league", "match_date", "match_id")
-    return ordered.mapInArrow(fold, "match_id long, match_date date, home long, away long, home_pre double, away_pre double, home_post double, away_post double")
+            done = pa.record_batch({c: batch.column(c) for c in ("league", "match_id", "match_date", "home", "away")} | {c: pa.array(v, pa.float64()) for c, v in columns})
+            yield done.filter(done.column("match_id").is_valid()) if at else done
+            yield from end
+        if rounds > 1 and ratings:
+            yield left()
+
+    schema = "match_id long, match_date date, home long, away long, home_pre double, away_pre double, home_post double, away_post double"
+    rated = lambda df: df.repartition("league").sortWithinPartitions("league", "match_date", "match_id").mapInArrow(fold, f"league long, {schema}")
+    if rounds == 1:
+        return rated(rows.join(leagues, "home").select("league", *names)).drop("league")
+    spark, at = matches.sparkSession, f"{shared_dir(matches.sparkSession)}/touchline/elo-{uuid.uuid4().hex}"
+    dealt = rows.join(leagues, "home").select("league", *names).repartitionByRange(rounds, "match_date", "match_id").withColumn("round", F.spark_partition_id())
+    dealt.write.partitionBy("round").parquet(f"{at}/matches")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{at}/matches")
+    none, before = F.lit(None), None
+    for i in range(rounds):
+        own = dealt.where(F.col("round") == i).drop("round")
+        if before is not None:  # null days come first
+            own = own.unionByName(before.select("league", none.cast("long").alias("match_id"), none.cast("date").alias("match_date"), "home", none.cast("long").alias("away"), F.col("home_post").alias("hg"), none.cast("double").alias("ag"), none.cast("boolean").alias("neutral"), none.cast("double").alias("k")))
+        rated(own).withColumn("state", F.col("match_id").isNull()).write.partitionBy("state").parquet(f"{at}/rated/round={i}")
+        before = spark.read.schema(f"league long, {schema}").parquet(f"{at}/rated/round={i}/state=true")
+    return spark.read.schema(schema).parquet(*[f"{at}/rated/round={i}/state=false" for i in range(rounds)])
 
 
 def _leagues(rows: DataFrame, rounds: int = 100) -> DataFrame:
