@@ -211,9 +211,12 @@ def _scaled(rows: DataFrame, home: Column, draw: Column, away: Column) -> DataFr
 def walk_forward_training(matches: DataFrame, rated: DataFrame) -> DataFrame:
     """Every match under all SETS with ratings of the mode baseline_manual as of its day: probabilities after the set's changes, scored. The sets are
     literal rows, so nothing is joined for them. base_goals is part of a set and changes no probability of this model."""
-    sets = F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(PARAMETERS, row, strict=True)]) for row in SETS]))
-    rows = with_sides(matches, rated.where(F.col("mode") == MODES[0]).drop("mode")).select("*", sets)
-    rows = poisson_outcomes(expected_goals(rows, F.lit(0.0032) * F.col("elo_factor"), F.col("attack_weight"), F.col("defense_weight")))
+    row = lambda values: F.struct(*[F.lit(v).alias(c) for c, v in zip(PARAMETERS, values, strict=True)])
+    models = list(dict.fromkeys(s[2:5] for s in SETS))  # sets that differ in what comes after the model share its probabilities
+    of_model = F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("_elo", "_attack", "_defense"), m, strict=True)], F.array(*[row(s) for s in SETS if s[2:5] == m]).alias("_sets")) for m in models]))
+    rows = with_sides(matches, rated.where(F.col("mode") == MODES[0]).drop("mode")).select("*", of_model)
+    rows = poisson_outcomes(expected_goals(rows, F.lit(0.0032) * F.col("_elo"), F.col("_attack"), F.col("_defense")))
+    rows = rows.select(*[c for c in rows.columns if c[0] != "_"], F.inline("_sets"))
     h, d, a = F.col("home_win"), F.col("draw"), F.col("away_win")
     rows = _scaled(rows, h, d * F.col("draw_factor"), a)
     one = F.lit(1.0)
