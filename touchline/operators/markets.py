@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.names import name_key
+from ..sources.session import cut
 
 
 def edges(quotes: DataFrame) -> DataFrame:
@@ -112,8 +113,12 @@ POINTS = {"teams": 60.0, "matchup": 12.0, "sports": 14.0, "category": 10.0, "com
 def mentions(markets: DataFrame, terms: DataFrame) -> DataFrame:
     """market_id, team of every term (team, term; one word or several) that is in a market's text as whole words. Texts meet terms by the term's first word, so
     no text is searched for all terms."""
-    text = name_key(F.col("text"))
-    tokens = markets.select("market_id", text.alias("text")).withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
+    return _mentions(markets.select("market_id", name_key(F.col("text")).alias("text")), terms)
+
+
+def _mentions(keyed: DataFrame, terms: DataFrame) -> DataFrame:
+    """mentions() of texts that are keys already."""
+    tokens = keyed.select("market_id", "text").withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
     known = terms.select("team", name_key(F.col("term")).alias("term")).where("term <> ''").distinct().withColumn("word", F.substring_index("term", " ", 1))
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     return tokens.join(known, "word").where(F.contains(padded("text"), padded("term"))).select("market_id", "team").distinct()
@@ -123,22 +128,46 @@ def map_markets(markets: DataFrame, fixtures: DataFrame, terms: DataFrame, top:
     """The ``top`` markets of each fixture that name both teams and aren't rejected: match_id, market_id, score, confidence. A market without both teams is rejected
     whatever else it says, so markets and fixtures meet by the pairs of teams that a text names. Ties go to the lowest market_id.
 
+    What a fixture adds to a market's own points is whether the text names its competition and whether the days are near. So of each pair of teams the
+    ``top`` markets are kept four times: of all, of each competition named, of each day, and of both; a fixture meets only these, and no fixture meets all
+    markets of its pair.
+
     markets: market_id, text, category, day; fixtures: match_id, home, away, competition, day; terms: team, term.
     """
-    said = mentions(markets, terms)
+    # keys cost more than all else, so each is made once
+    keyed = cut(markets.select("market_id", name_key(F.col("text")).alias("text"), name_key(F.col("category")).alias("category"), "day"))
+    said = cut(_mentions(keyed, terms))
     pairs = said.withColumnRenamed("team", "low").join(said.withColumnRenamed("team", "high"), "market_id").where("low < high")
-    met = fixtures.where("home <> away").select("match_id", F.least("home", "away").alias("low"), F.greatest("home", "away").alias("high"), name_key(F.col("competition")).alias("competition"), F.col("day").alias("kickoff")).join(pairs, ["low", "high"])
+    met = fixtures.where("home <> away").select("match_id", F.least("home", "away").alias("low"), F.greatest("home", "away").alias("high"), name_key(F.col("competition")).alias("competition"), F.col("day").alias("kickoff"))
+    met = cut(met)
     has = lambda words: F.concat(F.lit(" "), F.col("text"), F.lit(" ")).rlike(" (" + "|".join(words) + ") ")
-    about = markets.select("market_id", name_key(F.col("text")).alias("text"), name_key(F.col("category")).alias("category"), "day")
-    about = about.select("market_id", "text", "day", has(MATCHUP_WORDS).alias("matchup"), has(SPORTS_WORDS).alias("sports"), has(POLITICAL_WORDS).alias("political"), F.col("category").isin("sports", "soccer", "football").alias("sporting"), F.contains("category", F.lit("politic")).alias("politics"))
-    rows = met.join(about, "market_id")
+    about = keyed.select("market_id", "day", has(MATCHUP_WORDS).alias("matchup"), has(SPORTS_WORDS).alias("sports"), has(POLITICAL_WORDS).alias("political"), F.col("category").isin("sports", "soccer", "football").alias("sporting"), F.contains("category", F.lit("politic")).alias("politics"))
     point = lambda c, n: F.when(c, POINTS[n]).otherwise(0.0)
-    named = (F.col("competition") != "") & F.contains(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.concat(F.lit(" "), F.col("competition"), F.lit(" ")))
-    near = F.coalesce(F.abs(F.datediff("day", "kickoff")) <= 2, F.lit(False))
-    score = F.lit(POINTS["teams"]) + point(F.col("matchup"), "matchup") + point(F.col("sports"), "sports") + point(F.col("sporting"), "category") + point(named, "competition") + point(near, "date")
     against = (F.col("political") | F.col("politics")) & ~F.col("sports")
     rejected = against | ~(F.col("sports") | F.col("matchup") | F.col("sporting"))
-    rows = rows.where(~rejected).withColumn("score", score)
-    label = F.when((F.col("sports") | F.col("sporting")) & (F.col("score") >= 75), "high").when(F.col("score") >= 55, "medium").otherwise("low")
+    own = F.lit(POINTS["teams"]) + point(F.col("matchup"), "matchup") + point(F.col("sports"), "sports") + point(F.col("sporting"), "category")
+    rows = pairs.join(about.where(~rejected), "market_id").select("market_id", "low", "high", "day", own.alias("score"), (F.col("sports") | F.col("sporting")).alias("sure"))
+    rows = cut(rows)
+    kinds = met.select(F.col("competition").alias("team")).where("team <> ''").distinct()
+    named = _mentions(keyed, kinds.withColumn("term", F.col("team"))).withColumnRenamed("team", "competition")
+    named = cut(rows.join(named, "market_id"))
+
+    def best(df: DataFrame, points: float, *by: str) -> DataFrame:
+        def first(df: DataFrame, *keys: str) -> DataFrame:
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "market_id"))
+            return df.withColumn("place", place).where(F.col("place") <= top).drop("place")
+
+        keys = ["low", "high", *by]
+        if "kickoff" in by:  # the first of each day, before it goes to the days around it
+            df = first(df.where("day is not null"), *[c for c in keys if c != "kickoff"], "day")
+            df = df.withColumn("kickoff", F.explode(F.array(*[F.date_add("day", d) for d in range(-2, 3)])))
+        kept = first(df, *keys).select(*keys, "market_id", (F.col("score") + points).alias("score"), "sure")
+        return met.join(kept, keys).select("match_id", "market_id", "score", "sure")
+
+    near, told = POINTS["date"], POINTS["competition"]
+    found = best(rows, 0.0).unionByName(best(rows, near, "kickoff")).unionByName(best(named, told, "competition")).unionByName(best(named, told + near, "competition", "kickoff"))
+    # a market may come by several ways; the one with most points is true of it
+    found = found.groupBy("match_id", "market_id").agg(F.max("score").alias("score"), F.first("sure").alias("sure"))
+    label = F.when(F.col("sure") & (F.col("score") >= 75), "high").when(F.col("score") >= 55, "medium").otherwise("low")
     place = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("score"), "market_id"))
-    return rows.withColumn("place", place).where(F.col("place") <= top).select("match_id", "market_id", "score", label.alias("confidence"))
+    return found.withColumn("place", place).where(F.col("place") <= top).select("match_id", "market_id", "score", label.alias("confidence"))
