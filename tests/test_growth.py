@@ -2,12 +2,14 @@
 
 import datetime
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 
 from touchline.operators import backtest as T
 from touchline.operators import markets as K
+from touchline.operators import similarity as M
 from touchline.operators import tables as D
 from touchline.operators import timeseries as S
 from touchline.plans import backtest as Q
@@ -75,3 +77,16 @@ def test_sets_share_their_model(spark, monkeypatch):
     t = Tables(spark, FOLDER)
     out = T.walk_forward_training(Q.matches(t), Q.rated(t))
     assert out.count() == len(T.SETS) * t.match.count() and asked[0].count() == 5 * t.match.count()
+
+
+def test_names_that_are_all_alike(spark, monkeypatch):
+    """Numbers with a long common start: every similar pair within its block, and hardly any other pair is compared."""
+    r = random.Random(2)
+    left = [(i % 3, f"Supplier#{i:09d}") for i in range(700)]
+    right = [(b, r.choice([n.replace("pp", "p"), n[:17], n.replace("0000", "00O0")])) for b, n in left]
+    a, b = spark.createDataFrame(left, "block int, a string"), spark.createDataFrame(right, "block int, b string")
+    ratios = {(k, x, y): SequenceMatcher(None, x, y).ratio() for k, x in set(left) for j, y in set(right) if j == k}
+    want = {k: v for k, v in ratios.items() if v >= 0.89}
+    assert {(x.block, x.a, x.b): x.ratio for x in M.similar_names(a, b, 0.89, ("block",)).collect()} == want
+    monkeypatch.setattr(M, "ratio", lambda a, b: M.F.lit(1.0))
+    assert len(want) <= M.similar_names(a, b, 0.89, ("block",)).count() <= 1.2 * len(want) < 0.35 * len(ratios)

@@ -57,6 +57,13 @@ def test_fuzzy_in_a_hot_block(spark):
     assert sum(v == "matched" for v in got.values()) == 299
 
 
+def test_a_second_name_below_the_limit_makes_a_match_ambiguous(spark):
+    name = "abcdefghijklmnop"
+    left = spark.createDataFrame([(k, name) for k in (1, 2, 3)], "block int, name string")
+    right = spark.createDataFrame([(1, "abcdefghXjklmnop"), (2, "abcdefghXjklmnop"), (2, "abcdefghXjklmnopq"), (3, "abcdefghXjklmnopq")], "block int, name string")
+    assert {(x.block, x.status, x.ratio) for x in fuzzy(left, right, "block", "name").collect()} == {(1, "matched", 0.9375), (2, "ambiguous", 0.9375), (3, "no_match", None)}
+
+
 def test_ambiguous_and_nearest_fixtures(spark):
     """Two fixtures of one pairing within 36 hours: the nearer one counts if the other is more than 6 hours further."""
     t = lambda h: datetime.datetime(2024, 5, 1) + datetime.timedelta(hours=h)
