@@ -28,6 +28,18 @@ def test_elo_in_rounds(spark, monkeypatch):
     assert {r.match_id: r for r in rounds.collect()} == whole and len(rounds.inputFiles()) >= 4
 
 
+def test_rounds_hold_few_matches_and_days_one_row(spark):
+    """What a task sorts doesn't grow with the matches: rounds of less than half a million, and one row a team and day in as-of joins."""
+    assert S.SPAN < 500_000
+    day = lambda i: datetime.date(2020, 1, 1 + i)
+    rows = spark.createDataFrame([(1, day(i % 3), i, None if i % 30 > 26 else float(i)) for i in range(90)], "team long, match_date date, match_id long, v double")
+    keys = spark.createDataFrame([(1, day(i)) for i in range(4)] + [(2, day(1))], "team long, as_of date")
+    found = S.asof_latest(rows, keys, "v")
+    assert {(x.team, x.as_of.day): (x.v, x.matches_used, x.latest_match) for x in found.collect()} == {(1, 1): (None, 0, None), (1, 2): (84.0, 30, day(0)), (1, 3): (85.0, 60, day(1)), (1, 4): (86.0, 90, day(2)), (2, 2): (None, 0, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Union") < plan.index("Aggregate")
+
+
 def test_stream_sorts_in_pieces():
     r = np.random.default_rng(1)
     rows = pd.DataFrame({"match_date": [datetime.date(2020, 1, 1) + datetime.timedelta(int(d)) for d in r.integers(0, 40, 5000)], "match_id": r.permutation(5000), "home": 1, "away": 2, "hg": 1.0, "ag": 0.0, "k": 20.0, "neutral": False})

@@ -30,7 +30,7 @@ def long_to_wide(rows: DataFrame) -> DataFrame:
 
 
 #: matches of a round of rolling_elo(), about
-SPAN = 2_000_000
+SPAN = 400_000
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,9 @@ def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFram
     leagues, names = _leagues(rows), rows.columns
     rounds = max(1, -(-rows.count() // SPAN))
 
+    def values(column: pa.Array) -> list:
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         league, ratings = None, {}
 
@@ -82,7 +85,7 @@ def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFram
 
         for batch in batches:
             at, out, end = 0, [], []
-            for own, match, home, away, hg, ag, neutral, k in zip(*[batch.column(c).to_pylist() for c in ("league", "match_id", "home", "away", "hg", "ag", "neutral", "k")], strict=True):
+            for own, match, home, away, hg, ag, neutral, k in zip(*[values(batch.column(c)) for c in ("league", "match_id", "home", "away", "hg", "ag", "neutral", "k")], strict=True):
                 if own != league:
                     if rounds > 1 and ratings:
                         end.append(left())
@@ -114,9 +117,9 @@ def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFram
         own = dealt.where(F.col("round") == i).drop("round")
         if before is not None:  # null days come first
             own = own.unionByName(before.select("league", none.cast("long").alias("match_id"), none.cast("date").alias("match_date"), "home", none.cast("long").alias("away"), F.col("home_post").alias("hg"), none.cast("double").alias("ag"), none.cast("boolean").alias("neutral"), none.cast("double").alias("k")))
-        rated(own).withColumn("state", F.col("match_id").isNull()).write.partitionBy("state").parquet(f"{at}/rated/round={i}")
-        before = spark.read.schema(f"league long, {schema}").parquet(f"{at}/rated/round={i}/state=true")
-    return spark.read.schema(schema).parquet(*[f"{at}/rated/round={i}/state=false" for i in range(rounds)])
+        rated(own).write.parquet(f"{at}/rated/round={i}")
+        before = spark.read.schema(f"league long, {schema}").parquet(f"{at}/rated/round={i}").where("match_id is null")
+    return spark.read.schema(schema).parquet(*[f"{at}/rated/round={i}" for i in range(rounds)]).where("match_id is not null")
 
 
 def _leagues(rows: DataFrame, rounds: int = 100) -> DataFrame:
@@ -142,13 +145,14 @@ def elo_rows(elo: DataFrame) -> DataFrame:
 def asof_latest(rows: DataFrame, keys: DataFrame, value: str, by: str = "team", at: str = "as_of") -> DataFrame:
     """Of each key the ``value`` of its last row strictly before the key's date, and how many rows that are before it.
 
-    Union and window: keys and rows are sorted together once per ``by``, so the cost is linear, whatever the number of dates.
+    Union and window: keys and the days of rows are sorted together once per ``by``, so the cost is linear, whatever the number of dates. A
+    day's rows are one row before that: its last value and how many they are.
     """
-    both = rows.select(by, F.col("match_date").alias("d"), F.lit(1).alias("kind"), F.col("match_id").alias("m"), F.col(value).alias("v")).unionByName(
-        keys.select(by, F.col(at).alias("d"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("m"), F.lit(None).alias("v"))
-    )
-    earlier = Window.partitionBy(by).orderBy("d", "kind", "m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("value", F.last("v", ignorenulls=True).over(earlier)).withColumn("n", F.sum("kind").over(earlier)).withColumn("last_day", F.last(F.when(F.col("kind") == 1, F.col("d")), ignorenulls=True).over(earlier))
+    known = F.when(F.col(value).isNotNull(), F.struct("match_id", value))
+    daily = rows.groupBy(by, F.col("match_date").alias("d")).agg(F.max(known).getField(value).alias("v"), F.count("*").alias("n_rows"))
+    both = daily.withColumn("kind", F.lit(1)).unionByName(keys.select(by, F.col(at).alias("d"), F.lit(0).alias("kind"), F.lit(None).alias("v"), F.lit(0).cast("long").alias("n_rows")))
+    earlier = Window.partitionBy(by).orderBy("d", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("value", F.last("v", ignorenulls=True).over(earlier)).withColumn("n", F.sum("n_rows").over(earlier)).withColumn("last_day", F.last(F.when(F.col("kind") == 1, F.col("d")), ignorenulls=True).over(earlier))
     return seen.where("kind = 0").select(by, F.col("d").alias(at), F.col("value").alias(value), F.col("n").alias("matches_used"), F.col("last_day").alias("latest_match"))
 
 
