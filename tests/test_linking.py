@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import cache
 
 import pytest
 
@@ -77,6 +78,51 @@ def test_ambiguous_and_nearest_fixtures(spark):
     assert got[4] == got[5] == got[6] == (None, "no_fixture_match", 0.0) and got[8] == ("f2", "reversed_home_away_same_utc_date", 0.93)
 
 
+def test_full_days_as_all_pairs(spark, monkeypatch):
+    """Many fixtures of a pairing within 36 hours, ties, empty competitions, exchanged and misspelt names: as by comparing each result with every
+    fixture, while only a few candidates of each result are ranked."""
+    r, start = random.Random(5), datetime.datetime(2024, 5, 1)
+    teams = ["albania football union", "albanie football union", "borduria football union", "syldavia"]
+    misspelt = {x: x.replace("football", "footbal") for x in teams}
+    at = lambda: start + datetime.timedelta(hours=r.choice([*range(0, 48, 6), 100, 130, 131, 137, 200, 300]))
+    fixtures = [(f"f{i:03d}", *r.sample(teams, 2), at(), r.choice(["cup", "league", "league", ""])) for i in range(480)]
+    ratio = cache(lambda a, b: SequenceMatcher(None, a, b).ratio())
+    results, pairs = [], 0
+    for i in range(260):
+        spell = r.choice([lambda x: x, lambda x: misspelt[x], lambda x: x.replace(" ", "' ")])
+        results.append((i, r.choice(["", "", "", "f007"]) if i % 9 == 0 else "", *map(spell, r.sample(teams, 2)), at() + datetime.timedelta(hours=r.choice([0, 0, 30, 3])), r.choice(["cup", "league", "", "other"])))
+    want = {}
+    for i, id_, home, away, when, competition in results:
+        found = []
+        for f, h, a, kickoff, c in fixtures:
+            hours, today, fits = abs((kickoff - when).total_seconds()) / 3600, when.date() == kickoff.date(), competition == "" or c in ("", competition)
+            if id_ == f:
+                found.append((1, 0, hours, f, False))
+            if hours > 36 or not fits:
+                continue
+            hp, ap = plain(home, "a-z0-9"), plain(away, "a-z0-9")
+            for rule, same, turned in ((2, (hp, ap) == (h, a), False), (4, (hp, ap) == (a, h), True), (6, (home, away) == (h, a), False)):
+                if same:
+                    found.append((rule + (not today), 0, hours, f, turned))
+            like = max((min(ratio(home, x), ratio(away, y)), not t) for x, y, t in ((h, a, False), (a, h, True)))
+            if like[0] >= 0.92:
+                found.append((9 - today, -like[0], hours, f, not like[1]))
+        found.sort()
+        pairs += len(found)
+        rule = found[0][0] if found else 0
+        of_rule = [x for x in found if x[0] == rule][:2]
+        sure = len(of_rule) == 1 or (rule >= 8 and of_rule[1][1] - of_rule[0][1] >= 0.03) or (rule in (3, 5, 7) and of_rule[0][2] + 6 < of_rule[1][2]) if found else False
+        want[i] = (of_rule[0][3], L.RULES[rule - 1][0], "reversed" if of_rule[0][4] else "same", of_rule[0][2]) if sure else (None, "ambiguous_multiple_candidates" if found else "no_fixture_match", "ambiguous" if found else "unknown", None)
+    ranked, real = [], L._ranked
+    monkeypatch.setattr(L, "_ranked", lambda rows, order: ranked.append(rows.count()) or real(rows, order))
+    columns = "match_id string, home string, away string, at timestamp, competition string"
+    aliases = L.representatives(spark.createDataFrame([], "alias string, canonical string, place long"))
+    crossed = L.crosswalk(spark.createDataFrame(results, f"result_id long, {columns}"), spark.createDataFrame(fixtures, columns), aliases)
+    got = {x.result_id: (x.fixture_id, x.method, x.team_order, x.delta_hours) for x in crossed.collect()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+    assert len({v[1] for v in want.values()}) >= 8 and sum(ranked) < 8 * len(results) < pairs / 2
+
+
 def test_markets_meet_fixtures_by_what_they_name(spark):
     markets = spark.createDataFrame([(1, "Will Korea Republic beat São Tomé?", "Sports"), (2, "Korea vs Tomé", ""), (3, "são tomé v korea republic, football", ""), (4, "Korea Republic and São Tomé president election", ""), (5, None, None)], "market_id long, text string, category string").selectExpr("*", "cast(null as date) as day")
     fixtures = spark.createDataFrame([(10, 1, 2, "Cup")], "match_id long, home long, away long, competition string").selectExpr("*", "date'2024-01-01' as day")

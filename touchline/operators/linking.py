@@ -1,8 +1,9 @@
 """Which result belongs to which fixture, and which to which prediction: waterfalls of ever looser rules.
 
-Each rule is an equi-join: on ids, or on a key of both names and a band of time. Only rows that no earlier rule has decided go on. Similar names
-come from one similarity join over the distinct names, not from pairs of rows. What decides within a rule is the first two candidates of a
-row in one sorted pass. Nulls in ids, names, times and competitions match nothing by that rule, but for an empty competition, which
+No row meets all that lie near it in time, as these grow with the square of the rows once days fill up. Of one pair of names a row needs the two
+times before and after it, which one sorted pass over both tables gives, or how many rows a day has, which are sums. Only rows that no
+earlier rule has decided go on. Similar names come from one similarity join over the distinct names, not from pairs of rows. What decides
+within a rule is the first two candidates of a row. Nulls in ids, names, times and competitions match nothing by that rule, but for an empty competition, which
 fits any.
 """
 
@@ -61,20 +62,39 @@ def _prepared(rows: DataFrame, prefix: str, id_: str, closed: DataFrame) -> Data
     return cut(own.select(*[F.col(c).alias(f"{prefix}_{c}") for c in own.columns if c not in ("home", "away", "at")]))
 
 
-def _banded(pairs_left: DataFrame, pairs_right: DataFrame, on: list[str], width: int = NEAR_HOURS * 3600) -> DataFrame:
-    """Join on keys and a band of time: each right row is in its band and in the next ones, so all within a band's width meet, once."""
-    band = lambda c: F.floor(F.col(c) / width)
-    left = pairs_left.withColumn("band", band("r_second"))
-    right = pairs_right.withColumn("band", F.explode(F.array(band("f_second") - 1, band("f_second"), band("f_second") + 1)))
-    return left.join(right, [*on, "band"]).drop("band")
+def _streams(competition: str, asked: bool) -> Column:
+    """A known row lies in the stream of its competition and in that of all; an asked row looks in those of its competition and of none, or in that of all."""
+    own = F.col(competition)
+    return F.explode(F.when(own == "", F.array(F.lit("*"))).otherwise(F.array(own, F.lit(""))) if asked else F.array(own, F.lit("*")))
 
 
-def _hours() -> Column:
-    return F.abs(F.col("f_second") - F.col("r_second")) / F.lit(3600.0)
+def _nearest(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The first two candidates of each row of ``asked`` in each stream that it looks in: r_id, f_id, rule, score, delta, turned.
+
+    asked: r_id, home, away, competition, second, day, base (the rule of the same day; the next one is that of NEAR_HOURS), score, turned; known: f_id, home,
+    away, competition, second, day. Rows of one pair of names and stream are sorted by time, once; the two known times before a row and the two
+    after it hold the nearest of its day and of all, as days follow each other.
+    """
+    key = ["home", "away", "stream"]
+    times = known.where("second is not null").select("home", "away", _streams("competition", False).alias("stream"), "second", "day", "f_id").groupBy(*key, "second").agg(F.struct(F.col("second").alias("s"), F.min("day").alias("d"), F.count("*").alias("n"), F.min("f_id").alias("f_id")).alias("known"))
+    probes = asked.where("second is not null").select("home", "away", _streams("competition", True).alias("stream"), "second", F.struct("r_id", "day", "base", "score", "turned").alias("asked"))
+    both = times.unionByName(probes, allowMissingColumns=True)
+    order = f"(partition by {', '.join(key)} order by second, known is null)"
+    look = {f"{way}{i}": F.expr(f"{way}(known, {i}) ignore nulls over {order}") for way in ("lag", "lead") for i in (1, 2)}
+    seen = both.withColumns(look).where("asked is not null").select("asked.*", "second", *look)
 
+    def candidate(x: str, again: bool = False) -> Column:
+        rule = F.when(F.col(f"{x}.d") == F.col("day"), F.col("base")).otherwise(F.col("base") + 1)
+        row = F.struct(rule.alias("rule"), (F.abs(F.col(f"{x}.s") - F.col("second")) / F.lit(3600.0)).alias("delta"), F.col(f"{x}.f_id").alias("f_id"))
+        return F.when(F.col(f"{x}.n") >= (2 if again else 1), row)
 
-def _fits() -> Column:
-    return (F.col("r_competition") == "") | (F.col("f_competition") == "") | (F.col("r_competition") == F.col("f_competition"))
+    every = F.array(*[candidate(x, again) for x in look for again in ((False, True) if x.endswith("1") else (False,))])
+    two = F.slice(F.array_sort(F.filter(every, lambda x: x.isNotNull() & (x["delta"] <= NEAR_HOURS))), 1, 2)
+    return seen.select("r_id", "score", "turned", F.explode(two).alias("x")).select("r_id", "x.f_id", "x.rule", "score", "x.delta", "turned")
+
+
+def _hours() -> Column:
+    return F.abs(F.col("f_second") - F.col("r_second")) / F.lit(3600.0)
 
 
 def _ranked(candidates: DataFrame, order: list) -> DataFrame:
@@ -114,47 +134,41 @@ def crosswalk(results: DataFrame, fixtures: DataFrame, closed: DataFrame) -> Dat
     kept = ["r_id", "f_id", "rule", "score", "delta", "turned"]
     one, no = F.lit(1.0), F.lit(False)
     by_id = r.where("r_match_id <> ''").join(f, F.col("r_match_id") == F.col("f_match_id")).withColumns({"rule": F.lit(1), "score": one, "delta": _hours(), "turned": no}).select(*kept)
-    same_day = F.col("r_day") == F.col("f_day")
-
-    def named(kind: str, first: int, both_orders: bool) -> DataFrame:
-        a, b = F.col(f"r_home_{kind}"), F.col(f"r_away_{kind}")
-        teams = lambda h, w: [F.least(h, w).alias("low"), F.greatest(h, w).alias("high")]
-        met = _banded(r.where((a != "") & (b != "")).select("*", *teams(a, b)), f.select("*", *teams(F.col(f"f_home_{kind}"), F.col(f"f_away_{kind}"))), ["low", "high"])
-        same = (a == F.col(f"f_home_{kind}")) & (b == F.col(f"f_away_{kind}"))
-        rule = F.when(same & same_day, first).when(same, first + 1)
-        if both_orders:
-            rule = rule.when(same_day, first + 2).otherwise(first + 3)
-        return met.where(_fits() & (_hours() <= NEAR_HOURS)).withColumns({"rule": rule, "score": one, "delta": _hours(), "turned": ~same}).where("rule is not null").select(*kept)
-
-    strict = by_id.unionByName(named("plain", 2, True)).unionByName(named("key", 6, False))
-    ranked = _ranked(strict, ["delta", "f_id"])
-    alone = F.col("next").isNull()
+
+    def asked(rows: DataFrame, home: str, away: str, base: int, turned: bool = False) -> DataFrame:
+        told = rows.where((F.col(home) != "") & (F.col(away) != "")).withColumns({"base": F.lit(base), "score": one, "turned": F.lit(turned)})
+        return told.select("r_id", F.col(home).alias("home"), F.col(away).alias("away"), F.col("r_competition").alias("competition"), F.col("r_second").alias("second"), F.col("r_day").alias("day"), "base", "score", "turned")
+
+    known = lambda kind: f.select("f_id", F.col(f"f_home_{kind}").alias("home"), F.col(f"f_away_{kind}").alias("away"), F.col("f_competition").alias("competition"), F.col("f_second").alias("second"), F.col("f_day").alias("day"))
     ahead = F.col("best.rule").isin(3, 5, 7) & (F.col("best.delta") + AHEAD_HOURS < F.col("next.delta"))
-    settled = cut(_decided(ranked, alone, F.coalesce(ahead, no)))
+    decide = lambda found: cut(_decided(_ranked(found, ["delta", "f_id"]), F.col("next").isNull(), F.coalesce(ahead, no)))
+    orders = asked(r, "r_home_plain", "r_away_plain", 2).unionByName(asked(r.where("r_home_plain <> r_away_plain"), "r_away_plain", "r_home_plain", 4, True))
+    settled = decide(by_id.unionByName(_nearest(orders, known("plain"))))
     rest = r.join(settled.select("r_id"), "r_id", "left_anti")
-    like = _alike(rest, f, LIKE).where(_fits() & (_hours() <= NEAR_HOURS)).withColumns({"rule": F.when(same_day, 8).otherwise(9), "delta": _hours()}).select(*kept)
-    ranked = _ranked(like, [F.desc("score"), "delta", "f_id"])
+    by_key = decide(_nearest(asked(rest, "r_home_key", "r_away_key", 6), known("key")))
+    rest = cut(rest.join(by_key.select("r_id"), "r_id", "left_anti"))
+    like = _alike(rest, f, LIKE).select("r_id", "home", "away", F.col("r_competition").alias("competition"), F.col("r_second").alias("second"), F.col("r_day").alias("day"), F.lit(8).alias("base"), "score", "turned")
+    ranked = _ranked(_nearest(like, known("key")), [F.desc("score"), "delta", "f_id"])
     fuzzy = _decided(ranked, F.col("next").isNull() | (F.col("best.score") - F.col("next.score") >= MARGIN), no)
-    none = results.select(F.col("result_id").alias("r_id")).join(settled.unionByName(fuzzy), "r_id", "left")
+    none = results.select(F.col("result_id").alias("r_id")).join(settled.unionByName(by_key).unionByName(fuzzy), "r_id", "left")
     fill = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
     return none.select(F.col("r_id").alias("result_id"), "fixture_id", fill("method", "no_fixture_match"), fill("confidence", 0.0), fill("team_order", "unknown"), "delta_hours")
 
 
 def _alike(r: DataFrame, f: DataFrame, least: float) -> DataFrame:
-    """Rows of ``r`` and ``f`` in one band of time with score (the lesser of both names' ratios, in the better order of teams) and turned."""
+    """Rows of ``r`` with each pair of names of ``f`` that is like theirs (home, away), its score (the lesser of both names' ratios, in the better order of
+    teams) and turned. Pairs of names meet, not rows."""
     left = r.select(F.col("r_home_key").alias("a")).union(r.select("r_away_key"))
     right = f.select(F.col("f_home_key").alias("b")).union(f.select("f_away_key"))
     pairs = cut(similar_names(left, right, least))
+    own, there = r.select("r_home_key", "r_away_key").distinct(), f.select(F.col("f_home_key").alias("home"), F.col("f_away_key").alias("away")).distinct()
     found = []
     for turned in (False, True):
-        first, second = ("f_away_key", "f_home_key") if turned else ("f_home_key", "f_away_key")
-        home = r.join(pairs.select(F.col("a").alias("r_home_key"), F.col("b").alias(first), F.col("ratio").alias("s1")), "r_home_key")
-        met = _banded(home, f, [first]).join(pairs.select(F.col("a").alias("r_away_key"), F.col("b").alias(second), F.col("ratio").alias("s2")), ["r_away_key", second])
-        found.append(met.select("r_id", "f_id", "r_second", "f_second", "r_day", "f_day", "r_competition", "f_competition", F.least("s1", "s2").alias("score"), F.lit(turned).alias("turned")))
-    both = found[0].unionByName(found[1])
-    key = ["r_id", "f_id", "r_second", "f_second", "r_day", "f_day", "r_competition", "f_competition"]
-    best = both.groupBy(*key).agg(F.max(F.struct("score", (~F.col("turned")).alias("same"))).alias("x"))
-    return best.select(*key, F.col("x.score").alias("score"), (~F.col("x.same")).alias("turned"))
+        first, second = ("away", "home") if turned else ("home", "away")
+        met = own.join(pairs.select(F.col("a").alias("r_home_key"), F.col("b").alias(first), F.col("ratio").alias("s1")), "r_home_key").join(pairs.select(F.col("a").alias("r_away_key"), F.col("b").alias(second), F.col("ratio").alias("s2")), "r_away_key")
+        found.append(met.select("r_home_key", "r_away_key", "home", "away", F.struct(F.least("s1", "s2").alias("score"), F.lit(not turned).alias("same")).alias("x")))
+    best = found[0].unionByName(found[1]).groupBy("r_home_key", "r_away_key", "home", "away").agg(F.max("x").alias("x")).join(there, ["home", "away"])
+    return r.join(best, ["r_home_key", "r_away_key"]).select(*r.columns, "home", "away", "x.score", (~F.col("x.same")).alias("turned"))
 
 
 #: fixed values: rule of predictions, its confidence (null: that of the crosswalk, or the ratio), and what it is called if it fits several
@@ -177,8 +191,8 @@ def link_predictions(predictions: DataFrame, results: DataFrame, fixtures: DataF
     the next one's MARGIN less; else no_result_found. A result's competition must be the prediction's, or empty.
     """
     p, r = _prepared(predictions, "r", "prediction_id", closed), _prepared(results, "f", "result_id", closed)
-    null, names = F.lit(None), ["r_id", "rule", "f_id", "confidence", "turned"]
-    row = lambda df, rule, confidence=null, turned=F.lit(False): df.withColumns({"rule": F.lit(rule), "confidence": confidence.cast("double"), "turned": turned}).select(*names)
+    null, names = F.lit(None), ["r_id", "rule", "f_id", "confidence", "turned", "n"]
+    row = lambda df, rule, confidence=null, turned=F.lit(False), n=F.lit(1): df.withColumns({"rule": F.lit(rule), "confidence": confidence.cast("double"), "turned": turned, "n": n}).select(*names)
     by_id = r.where("f_match_id <> ''").select("f_id", "f_match_id")
     found = [row(p.join(by_id, F.col("r_match_id") == F.col("f_match_id")), 1)]
 
@@ -206,16 +220,20 @@ def link_predictions(predictions: DataFrame, results: DataFrame, fixtures: DataF
     side = lambda c: F.when(by_id_known, F.col(f"b_x_{c}")).when(F.col("keyed"), F.col(f"r_{c}"))
     bridged = bridged.select("r_id", *[side(c).alias(f"r_{c}") for c in ("home_key", "away_key", "day", "competition")]).where("r_home_key is not null")
 
+    # results of a day by names and competition are sums, of which two say ambiguous
+    key = ["home", "away", "day", "stream"]
+    results_of = cut(r.select(F.col("f_home_key").alias("home"), F.col("f_away_key").alias("away"), F.col("f_day").alias("day"), _streams("f_competition", False).alias("stream"), "f_id").groupBy(*key).agg(F.count("*").alias("day_n"), F.min("f_id").alias("f_id")))
+
     def same(left: DataFrame, home: str, away: str) -> DataFrame:
-        on = [F.col("r_home_key") == F.col(home), F.col("r_away_key") == F.col(away), F.col("r_day") == F.col("f_day")]
-        fits = (F.col("r_competition") == "") | (F.col("f_competition") == "") | (F.col("r_competition") == F.col("f_competition"))
-        return left.where("r_home_key <> '' and r_away_key <> ''").join(r, on).where(fits)
+        named = left.where("r_home_key <> '' and r_away_key <> ''")
+        return named.select("r_id", F.col(home).alias("home"), F.col(away).alias("away"), F.col("r_day").alias("day"), _streams("r_competition", True).alias("stream")).join(results_of, key)
 
-    found += [row(same(bridged, "f_home_key", "f_away_key"), 3), row(same(p, "f_home_key", "f_away_key"), 4), row(same(p, "f_away_key", "f_home_key"), 5, turned=F.lit(True))]
+    n = F.col("day_n")
+    found += [row(same(bridged, "r_home_key", "r_away_key"), 3, n=n), row(same(p, "r_home_key", "r_away_key"), 4, n=n), row(same(p, "r_away_key", "r_home_key"), 5, turned=F.lit(True), n=n)]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    by_rule = every.groupBy("r_id", "rule").agg(F.count("*").alias("n"), F.min("f_id").alias("f_id"), F.max("confidence").alias("confidence"), F.max("turned").alias("turned"))
+    by_rule = every.groupBy("r_id", "rule").agg(F.sum("n").alias("n"), F.min("f_id").alias("f_id"), F.max("confidence").alias("confidence"), F.max("turned").alias("turned"))
     first = by_rule.groupBy("r_id").agg(F.min(F.struct("rule", "n", "f_id", "confidence", "turned")).alias("x")).select("r_id", "x.*")
     text = lambda i: F.element_at(F.array(*[F.lit(v[i]) for v in PREDICTION_RULES]), F.col("rule"))
     method = F.when(F.col("n") > 1, text(2)).when(F.col("f_id").isNull(), "result_fixture_crosswalk_missing_result").otherwise(text(0))
@@ -223,8 +241,9 @@ def link_predictions(predictions: DataFrame, results: DataFrame, fixtures: DataF
     settled = first.select("r_id", F.when(got, F.col("f_id")).alias("f_id"), method.alias("method"), F.when(got, F.coalesce(text(1), "confidence")).otherwise(0.0).alias("confidence"), F.when(got, F.when(F.col("turned"), "reversed").otherwise("same")).alias("team_order"))
 
     settled = cut(settled)
-    rest = p.join(settled.select("r_id"), "r_id", "left_anti")
-    like = _alike(rest, r, LIKE - MARGIN).where((F.col("r_day") == F.col("f_day")) & _fits())
+    rest = cut(p.join(settled.select("r_id"), "r_id", "left_anti"))
+    like = _alike(rest, r, LIKE - MARGIN).select("r_id", "home", "away", F.col("r_day").alias("day"), _streams("r_competition", True).alias("stream"), "score", "turned").join(results_of, key)
+    like = like.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("day_n", F.lit(2)).cast("int"))))  # what is second to itself isn't sure
     two = like.withColumn("place", F.row_number().over(Window.partitionBy("r_id").orderBy(F.desc("score"), "turned", "f_id"))).where("place <= 2")
     best, after = F.when(F.col("place") == 1, F.struct("score", "f_id", "turned")), F.when(F.col("place") == 2, F.col("score"))
     fuzzy = two.groupBy("r_id").agg(F.max(best).alias("x"), F.max(after).alias("after")).where((F.col("x.score") >= LIKE) & (F.coalesce(F.col("x.score") - F.col("after") >= MARGIN, F.lit(True))))
