@@ -54,11 +54,22 @@ def canonical(rows: DataFrame, column: str, closed: DataFrame, into: str) -> Dat
     return rows.withColumn("_key", name_key(F.col(column))).join(named, "_key", "left").withColumn(into, F.coalesce("_to", "_key")).drop("_key", "_to")
 
 
+def _few(texts: DataFrame, most: int = 100_000) -> DataFrame:
+    """Texts to join rows with: sent to all tasks if they are few, as one text may have very many rows."""
+    return F.broadcast(texts) if texts.count() <= most else texts
+
+
 def _prepared(rows: DataFrame, prefix: str, id_: str, closed: DataFrame) -> DataFrame:
     """id, match_id, home, away, at, competition with all keys, each column with a prefix; written once, as every rule reads it."""
-    own = rows.select(F.col(id_).alias("id"), F.col("match_id").cast("string").alias("match_id"), "home", "away", F.col("at"), competition_key(F.col("competition")).alias("competition"))
-    own = canonical(canonical(own, "home", closed, "home_key"), "away", closed, "away_key")
-    own = own.withColumns({"home_plain": plain_key(F.col("home")), "away_plain": plain_key(F.col("away")), "day": F.to_date("at"), "second": F.unix_seconds(F.col("at").cast("timestamp"))})
+    own = rows.select(F.col(id_).alias("id"), F.col("match_id").cast("string").alias("match_id"), "home", "away", "at", "competition")
+    # keys cost much more than a join: they are made once for each text, not for each row
+    texts = canonical(own.select(F.col("home").alias("text")).union(own.select("away")).distinct(), "text", closed, "key").withColumn("plain", plain_key(F.col("text")))
+    texts = _few(cut(texts.where("text is not null")))
+    for c in ("home", "away"):
+        own = own.join(texts.select(F.col("text").alias(c), F.col("key").alias(f"{c}_key"), F.col("plain").alias(f"{c}_plain")), c, "left").fillna("", [f"{c}_key", f"{c}_plain"])
+    kinds = _few(cut(own.select("competition").where("competition is not null").distinct().withColumn("kind", competition_key(F.col("competition")))))
+    own = own.join(kinds, "competition", "left").withColumn("competition", F.coalesce("kind", F.lit(""))).drop("kind")
+    own = own.withColumns({"day": F.to_date("at"), "second": F.unix_seconds(F.col("at").cast("timestamp"))})
     return cut(own.select(*[F.col(c).alias(f"{prefix}_{c}") for c in own.columns if c not in ("home", "away", "at")]))
 
 
