@@ -12,6 +12,7 @@ from touchline.operators import markets as K
 from touchline.operators import similarity as M
 from touchline.operators import tables as D
 from touchline.operators import timeseries as S
+from touchline.plans import CATALOG
 from touchline.plans import backtest as Q
 from touchline.plans.base import Tables
 from touchline.streaming import ratings as R
@@ -40,6 +41,14 @@ def test_rounds_hold_few_matches_and_days_one_row(spark):
     assert plan.index("Window") < plan.index("Union") < plan.index("Aggregate")
 
 
+def test_last_ratings_are_hashed(spark):
+    """No task sorts its matches to find a day's or a team's last one."""
+    t = Tables(spark, FOLDER)
+    for name in ("elo_asof_pre", "elo_asof", "elo_latest"):
+        plan = CATALOG[name].plan(t)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan, name
+
+
 def test_stream_sorts_in_pieces():
     r = np.random.default_rng(1)
     rows = pd.DataFrame({"match_date": [datetime.date(2020, 1, 1) + datetime.timedelta(int(d)) for d in r.integers(0, 40, 5000)], "match_id": r.permutation(5000), "home": 1, "away": 2, "hg": 1.0, "ag": 0.0, "k": 20.0, "neutral": False})

@@ -148,8 +148,8 @@ def asof_latest(rows: DataFrame, keys: DataFrame, value: str, by: str = "team",
     Union and window: keys and the days of rows are sorted together once per ``by``, so the cost is linear, whatever the number of dates. A
     day's rows are one row before that: its last value and how many they are.
     """
-    known = F.when(F.col(value).isNotNull(), F.struct("match_id", value))
-    daily = rows.groupBy(by, F.col("match_date").alias("d")).agg(F.max(known).getField(value).alias("v"), F.count("*").alias("n_rows"))
+    known = F.when(F.col(value).isNotNull(), F.col("match_id"))  # not a struct of both: only plain buffers are hashed, others sort all rows of a task
+    daily = rows.groupBy(by, F.col("match_date").alias("d")).agg(F.max_by(value, known).alias("v"), F.count("*").alias("n_rows"))
     both = daily.withColumn("kind", F.lit(1)).unionByName(keys.select(by, F.col(at).alias("d"), F.lit(0).alias("kind"), F.lit(None).alias("v"), F.lit(0).cast("long").alias("n_rows")))
     earlier = Window.partitionBy(by).orderBy("d", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("value", F.last("v", ignorenulls=True).over(earlier)).withColumn("n", F.sum("n_rows").over(earlier)).withColumn("last_day", F.last(F.when(F.col("kind") == 1, F.col("d")), ignorenulls=True).over(earlier))

@@ -58,8 +58,9 @@ def rolling_elo(t: Tables):
 
 @query("elo_latest", "team:l elo:d n:l", "SELECT team, round(max_by(team_post, match_date::varchar || lpad(match_id::varchar, 12, '0')), 3) AS elo, count(*) AS n FROM v_elo_team GROUP BY 1")
 def elo_latest(t: Tables):
-    # dealt by match first: a league comes out of one task, which would sort all of it for the aggregate
-    return S.elo_rows(S.rolling_elo(t.match).repartition("match_id")).groupBy("team").agg(F.max_by("team_post", F.struct("match_date", "match_id")).alias("elo"), F.count("*").alias("n"))
+    # by day first: an order by date and match in one is no plain buffer, and such aggregates sort all rows of a task
+    daily = S.elo_rows(S.rolling_elo(t.match)).groupBy("team", "match_date").agg(F.max_by("team_post", "match_id").alias("elo"), F.count("*").alias("n"))
+    return daily.groupBy("team").agg(F.max_by("elo", "match_date").alias("elo"), F.sum("n").alias("n"))
 
 
 @query("elo_asof", "team:l as_of:t elo:d matches_used:l latest_match:t", """SELECT k.team, k.as_of, round(max_by(e.team_post, e.match_date::varchar || lpad(e.match_id::varchar, 12, '0')), 3) AS elo, count(e.match_id) AS matches_used, max(e.match_date) AS latest_match
