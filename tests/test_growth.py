@@ -41,6 +41,18 @@ def test_rounds_hold_few_matches_and_days_one_row(spark):
     assert plan.index("Window") < plan.index("Union") < plan.index("Aggregate")
 
 
+def test_history_joins_no_matches(spark, monkeypatch):
+    """Ratings come with their matches, in rounds too: goals and kinds are not joined to them again."""
+    t = Tables(spark, FOLDER)
+    given = {r.match_id: (r.comp_type, r.neutral, r.hg, r.ag) for r in t.match.collect()}
+    whole = {r.match_id: tuple(r) for r in S.rolling_elo(t.match).collect()}
+    monkeypatch.setattr(S, "SPAN", len(given) // 3 + 1)
+    kept = S.rolling_elo(t.match, keep=("comp_type", "neutral", "hg", "ag")).collect()
+    assert {r.match_id: tuple(r) for r in kept} == {k: (*whole[k], *given[k]) for k in given} and len(kept) == len(given)
+    plan = Q.history(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in x and "match_id" in x for x in plan.split("\n"))
+
+
 def test_last_ratings_are_hashed(spark):
     """No task sorts its matches to find a day's or a team's last one."""
     t = Tables(spark, FOLDER)

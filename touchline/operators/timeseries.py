@@ -59,32 +59,35 @@ def updated(h: float, a: float, hg: float, ag: float, neutral: bool, k: float, c
     return min(config.high, max(config.low, h + step)), min(config.high, max(config.low, a - step))
 
 
-def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFrame:
+def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Ratings of both teams before and after each match, in the order of date and match_id.
 
     A match changes two teams' state, so matches can't be dealt by team; they are dealt by connected component of who has played whom.
     A component's matches pass through one task in order, batch by batch; all that it holds is the map from team to rating. More than SPAN
     matches go in rounds of about so many, in order: a round's task sorts no more, and starts with the ratings that the round before it
-    left, which lie in the shared folder as a row a team, as its output does. No goals: no row. Ratings round at the end only.
+    left, which lie in the shared folder as a row a team, as its output does. No goals: no row. Ratings round at the end only. ``keep``: columns
+    of the matches that come along, so that nobody has to join them again.
     """
     scored = matches.where("hg is not null and ag is not null")
     # teams joined by any chain of opponents share a component; one league is the usual case
-    rows = scored.select("match_id", "match_date", "home", "away", F.col("hg").cast("double").alias("hg"), F.col("ag").cast("double").alias("ag"), "neutral", C.k_factor(F.col("comp_type")).alias("k"))
+    rows = scored.select("match_id", "match_date", "home", "away", F.col("hg").cast("double").alias("hg"), F.col("ag").cast("double").alias("ag"), "neutral", C.k_factor(F.col("comp_type")).alias("k"), *([F.struct(*keep).alias("kept")] if keep else []))
     leagues, names = _leagues(rows), rows.columns
     rounds = max(1, -(-rows.count() // SPAN))
 
     def values(column: pa.Array) -> list:
         return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
 
+    also = ["kept"] if keep else []
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        league, ratings = None, {}
+        league, ratings, kinds = None, {}, {}
 
         def left() -> pa.RecordBatch:
             none = lambda kind: pa.nulls(len(ratings), kind)
-            return pa.record_batch({"league": pa.array([league] * len(ratings), pa.int64()), "match_id": none(pa.int64()), "match_date": none(pa.date32()), "home": pa.array(ratings, pa.int64()), "away": none(pa.int64()), "home_pre": none(pa.float64()), "away_pre": none(pa.float64()), "home_post": pa.array(ratings.values(), pa.float64()), "away_post": none(pa.float64())})
+            return pa.record_batch({"league": pa.array([league] * len(ratings), pa.int64()), "match_id": none(pa.int64()), "match_date": none(pa.date32()), "home": pa.array(ratings, pa.int64()), "away": none(pa.int64()), "home_pre": none(pa.float64()), "away_pre": none(pa.float64()), "home_post": pa.array(ratings.values(), pa.float64()), "away_post": none(pa.float64())} | {c: none(kinds[c]) for c in also})
 
         for batch in batches:
-            at, out, end = 0, [], []
+            at, out, end, kinds = 0, [], [], {c: batch.column(c).type for c in also}
             for own, match, home, away, hg, ag, neutral, k in zip(*[values(batch.column(c)) for c in ("league", "match_id", "home", "away", "hg", "ag", "neutral", "k")], strict=True):
                 if own != league:
                     if rounds > 1 and ratings:
@@ -98,16 +101,18 @@ def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFram
                 ratings[home], ratings[away] = updated(h, a, hg, ag, neutral, k, config)
                 out.append((h, a, ratings[home], ratings[away]))
             columns = zip(("home_pre", "away_pre", "home_post", "away_post"), zip(*out, strict=True) if out else [[]] * 4, strict=True)
-            done = pa.record_batch({c: batch.column(c) for c in ("league", "match_id", "match_date", "home", "away")} | {c: pa.array(v, pa.float64()) for c, v in columns})
+            done = pa.record_batch({c: batch.column(c) for c in ("league", "match_id", "match_date", "home", "away")} | {c: pa.array(v, pa.float64()) for c, v in columns} | {c: batch.column(c) for c in also})
             yield done.filter(done.column("match_id").is_valid()) if at else done
             yield from end
         if rounds > 1 and ratings:
             yield left()
 
     schema = "match_id long, match_date date, home long, away long, home_pre double, away_pre double, home_post double, away_post double"
+    schema += f", kept {rows.schema['kept'].dataType.simpleString()}" if keep else ""
+    flat = lambda df: df.select("*", "kept.*").drop("kept") if keep else df
     rated = lambda df: df.repartition("league").sortWithinPartitions("league", "match_date", "match_id").mapInArrow(fold, f"league long, {schema}")
     if rounds == 1:
-        return rated(rows.join(leagues, "home").select("league", *names)).drop("league")
+        return flat(rated(rows.join(leagues, "home").select("league", *names)).drop("league"))
     spark, at = matches.sparkSession, f"{shared_dir(matches.sparkSession)}/touchline/elo-{uuid.uuid4().hex}"
     dealt = rows.join(leagues, "home").select("league", *names).repartitionByRange(rounds, "match_date", "match_id").withColumn("round", F.spark_partition_id())
     dealt.write.partitionBy("round").parquet(f"{at}/matches")
@@ -116,10 +121,10 @@ def rolling_elo(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFram
     for i in range(rounds):
         own = dealt.where(F.col("round") == i).drop("round")
         if before is not None:  # null days come first
-            own = own.unionByName(before.select("league", none.cast("long").alias("match_id"), none.cast("date").alias("match_date"), "home", none.cast("long").alias("away"), F.col("home_post").alias("hg"), none.cast("double").alias("ag"), none.cast("boolean").alias("neutral"), none.cast("double").alias("k")))
+            own = own.unionByName(before.select("league", none.cast("long").alias("match_id"), none.cast("date").alias("match_date"), "home", none.cast("long").alias("away"), F.col("home_post").alias("hg"), none.cast("double").alias("ag"), none.cast("boolean").alias("neutral"), none.cast("double").alias("k"), *[none.cast(rows.schema[c].dataType).alias(c) for c in also]))
         rated(own).write.parquet(f"{at}/rated/round={i}")
         before = spark.read.schema(f"league long, {schema}").parquet(f"{at}/rated/round={i}").where("match_id is null")
-    return spark.read.schema(schema).parquet(*[f"{at}/rated/round={i}" for i in range(rounds)]).where("match_id is not null")
+    return flat(spark.read.schema(schema).parquet(*[f"{at}/rated/round={i}" for i in range(rounds)]).where("match_id is not null"))
 
 
 def _leagues(rows: DataFrame, rounds: int = 100) -> DataFrame:
@@ -137,9 +142,13 @@ def _leagues(rows: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def elo_rows(elo: DataFrame) -> DataFrame:
-    """rolling_elo() by side: team, opponent, ratings before and after, and the change, rounded to 3 places."""
-    side = lambda o, p: F.struct(F.col(o).alias("team"), F.col(p).alias("opponent"), *[F.round(f"{x}_{w}", 3).alias(f"{n}_{w}") for x, n in ((o, "team"), (p, "opponent")) for w in ("pre", "post")], F.round(F.col(f"{o}_post") - F.col(f"{o}_pre"), 3).alias("elo_change"))
-    return elo.select("match_id", "match_date", F.inline(F.array(side("home", "away"), side("away", "home"))))
+    """rolling_elo() by side: team, opponent, ratings before and after, and the change, rounded to 3 places. If goals were kept, also is_home,
+    team_goals and opponent_goals, and what else was kept."""
+    sides = {"home": ("hg", "ag"), "away": ("ag", "hg")}
+    goals = lambda o: [F.lit(o == "home").alias("is_home"), *[F.col(c).alias(n) for c, n in zip(sides[o], ("team_goals", "opponent_goals"), strict=True)]] if "hg" in elo.columns else []
+    side = lambda o, p: F.struct(F.col(o).alias("team"), F.col(p).alias("opponent"), *goals(o), *[F.round(f"{x}_{w}", 3).alias(f"{n}_{w}") for x, n in ((o, "team"), (p, "opponent")) for w in ("pre", "post")], F.round(F.col(f"{o}_post") - F.col(f"{o}_pre"), 3).alias("elo_change"))
+    rest = [c for c in elo.columns if c not in ("home", "away", "hg", "ag", *[f"{s}_{w}" for s in sides for w in ("pre", "post")])]
+    return elo.select(*rest, F.inline(F.array(side("home", "away"), side("away", "home"))))
 
 
 def asof_latest(rows: DataFrame, keys: DataFrame, value: str, by: str = "team", at: str = "as_of") -> DataFrame:

@@ -60,8 +60,8 @@ def _relevant(day: str, kind: str, at: str) -> str:
 
 def history(t: Tables) -> DataFrame:
     """Team matches with ratings before and after each, residuals against them, and no weights yet."""
-    elo = S.elo_rows(S.rolling_elo(t.match)).select("match_id", "team", F.col("team_pre").alias("team_elo"), F.col("opponent_pre").alias("opponent_elo"), "team_post")
-    return B.residuals(t.team_match.join(elo, ["match_id", "team"]))
+    rows = S.elo_rows(S.rolling_elo(t.match, keep=("comp_type", "neutral", "hg", "ag")))
+    return B.residuals(rows.withColumnsRenamed({"team_pre": "team_elo", "opponent_pre": "opponent_elo"}))
 
 
 def behavior(t: Tables) -> DataFrame:
