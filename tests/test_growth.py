@@ -12,6 +12,7 @@ from touchline.operators import markets as K
 from touchline.operators import similarity as M
 from touchline.operators import tables as D
 from touchline.operators import timeseries as S
+from touchline.operators import tournament as G
 from touchline.plans import CATALOG
 from touchline.plans import backtest as Q
 from touchline.plans.base import Tables
@@ -123,3 +124,21 @@ def test_names_that_are_all_alike(spark, monkeypatch):
     assert {(x.block, x.a, x.b): x.ratio for x in M.similar_names(a, b, 0.89, ("block",)).collect()} == want
     monkeypatch.setattr(M, "ratio", lambda a, b: M.F.lit(1.0))
     assert len(want) <= M.similar_names(a, b, 0.89, ("block",)).count() <= 1.2 * len(want) < 0.35 * len(ratios)
+
+
+def test_bracket_rounds_follow_its_depth(spark, tmp_path, monkeypatch):
+    """A chain of 70 matches and a long cycle among many: every slot told, and cycles add no rounds."""
+    n, turn = 70, 1000
+    rows = [(i, f"Winner Match {i + 1}" if i < n else "T0", "T1", 1, 0, None) for i in range(1, n + 1)]
+    rows += [(turn + i, f"Loser of Match {turn + (i + 1) % 40}", " 3rd Group A/B ", 0, 1, None) for i in range(40)]
+    rows += [(2000, f"Loser Match {turn}", "Runner-up Group A", None, 1, None), (2001, "Winner Match 2000", "3rd group B/C", 1, 1, "away"), (2002, "Loser Match 2001", "Loser Match 3000", 1, 1, None), (2003, "Winner Match 2002", "Third place", 1, 0, None)]
+    bracket = spark.createDataFrame(rows, "match_no long, home string, away string, hg long, ag long, advancing string")
+    tables = spark.createDataFrame([(g, f"{g}{p}", 10 - p - (g == "B"), 0, 0, p) for g in "AB" for p in (1, 2, 3)] + [("LONG", "X", 1, 0, 0, 1)], "grp string, team string, points long, goal_difference long, goals_for long, position int")
+    monkeypatch.setattr("touchline.sources.session.shared_dir", lambda s: str(tmp_path))
+    got = {r.match_no: (r.home, r.away, r.home_status, r.away_status) for r in G.resolve_bracket(bracket, tables).collect()}
+    assert all(got[i] == ("T0", "T1", "resolved" if i < n else "source", "source") for i in range(1, n + 1))
+    assert all(got[turn + i][1:] == ("A3", "cycle", "resolved") for i in range(40))
+    assert got[2000] == (f"Loser Match {turn}", "A2", "cycle", "resolved") and got[2001] == ("Winner Match 2000", "3rd group B/C", "pending", "pending")
+    assert got[2002] == ("Loser Match 2001", "Loser Match 3000", "pending", "pending")
+    assert got[2003] == ("Winner Match 2002", "Third place", "manual", "manual") and len(got) == len(rows)
+    assert 7 <= len(list(tmp_path.glob("touchline/bracket-*/round-*"))) <= 9  # 69 steps: 2^7, and two more

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,43 +121,57 @@ def resolve_bracket(bracket: DataFrame, tables: DataFrame) -> DataFrame:
     bracket: match_no (unique), home, away (a team, or `Winner Match 12`, `Loser Match 12`, `Winner Group A`, `Runner-up Group A`, `3rd Group A/B/C`),
     hg, ag, advancing (`home` or `away`: who goes on after a draw); tables: of group_tables(). The winner's side of a match follows from
     its result alone, so a slot that names a match points to one slot of that match. Pointers are followed by doubling: each round joins
-    every slot with the one it points to, until none moves; there are as many rounds as the logarithm of the bracket's depth, and
-    no cap. The third of several groups is the best of their thirds, if all of them have one.
+    every slot that has not reached an end with the one it points to, until a round ends none; there are as many rounds as the logarithm of the
+    bracket's depth and two more, whether or not there are cycles, and no cap. The third of several groups is the best of their thirds, if all of them have one.
 
     Statuses: `source` (a team was given), `resolved`, `pending` (no such match, no result, a group without a table, or a slot behind it is not
     resolved), `manual` (a draw without advancing, or a text of another form), `cycle` (the slot depends on itself).
     """
-    from ..sources.session import cut
+    from ..sources.session import shared_dir
+
+    spark, at = bracket.sparkSession, f"{shared_dir(bracket.sparkSession)}/touchline/bracket-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
     side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("text"))
-    slots = bracket.select("match_no", F.inline(F.array(side(0, "home"), side(1, "away"))))
+    # dealt first: texts are costly to read, and a bracket may lie in one small file
+    slots = bracket.repartition("match_no").select("match_no", F.inline(F.array(side(0, "home"), side(1, "away"))))
     text = F.btrim("text")
-    slots = slots.withColumns({"mode": F.lower(F.regexp_extract(text, MATCH_SLOT, 1)), "ref": F.regexp_extract(text, MATCH_SLOT, 2).try_cast("long"), "place": F.lower(F.regexp_extract(text, GROUP_SLOT, 1)), "grp": F.upper(F.regexp_extract(text, GROUP_SLOT, 2)), "groups": F.split(F.upper(F.regexp_replace(F.regexp_extract(text, THIRD_SLOT, 1), r"\s", "")), "[/,]")})
+    slots = slots.withColumns({"mode": F.lower(F.regexp_extract(text, MATCH_SLOT, 1)), "ref": F.regexp_extract(text, MATCH_SLOT, 2).try_cast("long"), "place": F.regexp_replace(F.lower(F.regexp_extract(text, GROUP_SLOT, 1)), "-", " "), "grp": F.upper(F.regexp_extract(text, GROUP_SLOT, 2)), "groups": F.split(F.upper(F.regexp_replace(F.regexp_extract(text, THIRD_SLOT, 1), r"\s", "")), "[/,]"), "free": ~text.rlike(SLOT)})
+    # a slot names groups by one letter, so these are a few rows, whatever the number of tables
+    lettered = tables.where(F.col("grp").rlike("^[A-Z]$"))
+    named = lettered.where("position <= 2").select("grp", F.when(F.col("position") == 1, "winner").otherwise("runner up").alias("place"), F.col("team").alias("ranked"))
+    third = F.struct((-F.col("points")).alias("p"), (-F.col("goal_difference")).alias("d"), (-F.col("goals_for")).alias("g"), "team")
+    thirds = lettered.where("position = 3").agg(F.map_from_entries(F.collect_list(F.struct("grp", third.alias("third")))).alias("thirds"))
+    slots = slots.join(F.broadcast(named), ["grp", "place"], "left").join(F.broadcast(thirds), how="cross")
+    found = F.transform("groups", lambda g: F.try_element_at("thirds", g))
+    best = F.when(F.forall(found, lambda x: x.isNotNull()), F.array_min(found).getField("team"))
+    of_match, of_group, of_third = F.col("mode") != "", F.col("place") != "", F.col("groups")[0] != ""
+    name = F.when(of_group, F.col("ranked")).when(of_third, best).when(F.col("free"), F.col("text"))
+    state = F.when(of_match, None).when(name.isNotNull(), F.when(of_group | of_third, "resolved").otherwise("source")).when(of_group | of_third, "pending").otherwise("manual")
+    read = written(slots.select((F.col("match_no") * 2 + F.col("side")).alias("slot"), "match_no", "side", "text", "mode", "ref", F.when(~of_match, name).alias("team"), state.alias("state")), "slots")
     won = F.when(F.col("hg") > F.col("ag"), 0).when(F.col("hg") < F.col("ag"), 1).when(F.col("advancing") == "home", 0).when(F.col("advancing") == "away", 1)
     played = bracket.select(F.col("match_no").alias("ref"), won.alias("won"), (F.col("hg").isNotNull() & F.col("ag").isNotNull()).alias("over"))
-    named = tables.select("grp", F.when(F.col("position") == 1, "winner").otherwise("runner up").alias("place"), F.col("team").alias("ranked"), "position").where("position <= 2").drop("position")
-    slots = slots.withColumn("place", F.regexp_replace("place", "-", " ")).join(played, "ref", "left").join(named, ["grp", "place"], "left")
-    thirds = tables.where("position = 3").select("grp", F.struct((-F.col("points")).alias("p"), (-F.col("goal_difference")).alias("d"), (-F.col("goals_for")).alias("g"), "team").alias("third"))
-    wanted = slots.where("groups[0] <> ''").select("match_no", "side", F.size("groups").alias("n"), F.explode("groups").alias("grp")).join(thirds, "grp")
-    best = wanted.groupBy("match_no", "side").agg(F.count("*").alias("have"), F.max("n").alias("n"), F.min("third").alias("third")).where("have = n").select("match_no", "side", F.col("third.team").alias("best_third"))
-    slots = slots.join(best, ["match_no", "side"], "left")
-    of_match, of_group, of_third = F.col("mode") != "", F.col("place") != "", F.col("groups")[0] != ""
-    name = F.when(of_group, F.col("ranked")).when(of_third, F.col("best_third")).when(~text.rlike(SLOT), F.col("text"))
-    points = of_match & F.col("won").isNotNull()
-    state = F.when(points, "points").when(name.isNotNull(), F.when(of_group | of_third, "resolved").otherwise("source"))
-    state = state.when(of_match, F.when(F.coalesce("over", F.lit(False)), "manual").otherwise("pending")).when(of_group | of_third, "pending").otherwise("manual")
+    # only slots that name a match look for one: the others have no key and would all meet in one task
+    naming = read.where("mode <> ''").join(played, "ref", "left")
+    points = F.col("won").isNotNull()
     target = F.when(points, F.col("ref") * 2 + F.when(F.col("mode") == "winner", F.col("won")).otherwise(1 - F.col("won")))
-    now = cut(slots.select((F.col("match_no") * 2 + F.col("side")).alias("slot"), "match_no", "side", "text", target.alias("target"), F.when(~points, name).alias("team"), state.alias("state")))
+    waiting = F.when(points, "points").when(F.coalesce("over", F.lit(False)), "manual").otherwise("pending")
+    now = written(naming.select("slot", "match_no", "side", "text", target.alias("target"), "team", waiting.alias("state")).unionByName(read.where("mode = ''").select("slot", "match_no", "side", "text", F.lit(None).cast("long").alias("target"), "team", "state")), "now")
     ends = now.where("target is null").select(F.col("slot").alias("target"), F.col("team").alias("end_team"), F.col("state").alias("end_state"))
-    jumps = now.where("target is not null").select("slot", "target")
-    # a pointer of a pointer, until no slot points to one that points on
-    for _ in range(jumps.count().bit_length() + 1):
-        onward = jumps.select(F.col("slot").alias("target"), F.col("target").alias("further"))
-        moved = cut(jumps.join(onward, "target", "left").select("slot", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")))
-        jumps = moved.select("slot", "target")
-        if moved.where("moved").isEmpty():
+    # pointers of pointers; one whose slot points no further has ended and rests. Lengths of ways to an end have no gaps, so after a round in which
+    # none ends only cycles are left
+    active, rested = now.where("target is not null").select("slot", "target"), None
+    for i in count():
+        onward = (active if rested is None else active.unionByName(rested)).select(F.col("slot").alias("target"), F.col("target").alias("further"))
+        moved = written(active.join(onward, "target", "left").select("slot", F.coalesce("further", "target").alias("target"), F.col("further").isNull().alias("ended")), f"round-{i}")
+        ended, active = moved.where("ended").drop("ended"), moved.where("not ended").drop("ended")
+        if ended.isEmpty():
             break
-    found = jumps.join(ends, "target", "left")
+        rested = ended if rested is None else rested.unionByName(ended)
+    found = (active if rested is None else active.unionByName(rested)).join(ends, "target", "left")
     team, status = F.col("end_team"), F.when(F.col("end_state").isNull(), "cycle").when(F.col("end_team").isNull(), "pending").otherwise("resolved")
     told = now.join(found.select("slot", team.alias("far_team"), status.alias("far_status")), "slot", "left")
     told = told.select("match_no", "side", F.coalesce("team", "far_team", "text").alias("name"), F.coalesce("far_status", "state").alias("status"))
