@@ -142,3 +142,9 @@ def test_bracket_rounds_follow_its_depth(spark, tmp_path, monkeypatch):
     assert got[2002] == ("Loser Match 2001", "Loser Match 3000", "pending", "pending")
     assert got[2003] == ("Winner Match 2002", "Third place", "manual", "manual") and len(got) == len(rows)
     assert 7 <= len(list(tmp_path.glob("touchline/bracket-*/round-*"))) <= 9  # 69 steps: 2^7, and two more
+
+
+def test_backtest_sorts_no_matches(spark):
+    t = Tables(spark, FOLDER)
+    plan = Q.predictions(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and not any("SortMergeJoin" in x and "match_date" in x for x in plan.split("\n"))

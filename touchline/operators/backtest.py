@@ -146,7 +146,8 @@ def with_sides(matches: DataFrame, ratings: DataFrame, *more: str) -> DataFrame:
     keys = [c for c in ("mode",) if c in ratings.columns]
     for side in ("home", "away"):
         own = ratings.select(F.col("team").alias(side), F.col("as_of").alias("match_date"), *keys, *[F.col(c).alias(f"{side}_{c}") for c in ("elo", "attack", "defense", "form", *more)])
-        matches = matches.join(own, [side, "match_date", *(keys if side == "away" else [])])
+        # ratings are a row a team and day, fewer than matches: they are hashed, so that matches are not sorted
+        matches = matches.join(own.hint("shuffle_hash"), [side, "match_date", *(keys if side == "away" else [])])
     return matches
 
 
