@@ -136,3 +136,46 @@ def test_texts_that_differ_stay_whatever_their_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
     got = sorted(((r.doc_id, r.text) for r in J.without_copies(docs).collect()), key=str)
     assert got == sorted([(1, a), (5, b), (None, c), (None, d), (None, e)], key=str)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_sketches_lose_no_pair(percent):
+    """Sets that are alike are joined, of one size or not, in one chunk or two; others rarely."""
+    r = np.random.default_rng(percent)
+    sets = []
+    for size in (3, 20, 60, 70, 130, 500, 900):
+        base = r.integers(0, 1 << 62, size).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[r.random(size) > cut], r.integers(0, 1 << 62, int(size * more)).astype(np.uint64)])) for cut in (0, 0.05, 0.1, 0.3) for more in (0, 0.05, 0.2)]
+    sets = [s for s in sets if len(s)]
+    begins = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    words, at = J.sketches(np.concatenate(sets), begins)
+    words = [words[at[i] : at[i + 1]] for i in range(len(sets))]
+    assert len({len(w) for w in words}) > 3
+    alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
+    for few in (slice(0, 24), slice(24, 48), slice(48, 84), slice(0, 84)):
+        which = list(range(len(sets)))[few]
+        for left in (np.zeros(len(which), bool), np.arange(len(which)) % 2 == 0):
+            name = np.arange(len(which))
+            for x, y in zip(*J.close_pairs([words[i] for i in which], np.diff(begins)[which], left, percent), strict=True):
+                name[name == name[x]] = name[y]
+            assert all(name[x] == name[y] for x in range(len(which)) for y in range(x) if alike(which[x], which[y]) and (left[x] != left[y] or not left.any()))
+    assert percent < 80 or not len(J.close_pairs([words[-1], words[-13]], np.diff(begins)[[-1, -13]], np.zeros(2, bool), percent)[0])
+
+
+def test_shared_passages_make_no_group(spark, tmp_path, monkeypatch):
+    """Texts that share passages with others, but are like none of them, are in no candidate group: joined with all of its group, each would cost the square of the table."""
+    r = random.Random(5)
+    passages = [" ".join(f"p{k}x{i}" for i in range(25)) for k in range(30)]
+    rows = [(k, " ".join([f"w{r.randrange(10**6)}" for _ in range(60)] + [passages[r.randrange(30)] for _ in range(2)])) for k in range(150)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(4)]
+    asked, groups = [], J._groups
+    monkeypatch.setattr(J, "_groups", lambda keyed: asked.append(groups(keyed).collect()) or spark.createDataFrame(asked[-1], "node long, grp long"))
+    got = sorted(map(tuple, J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()))
+    assert [(d, c) for d, _, c in got if d != c] == [(1000 + k, k) for k in range(4)]
+    assert max(Counter(x.grp for x in asked[0]).values()) == 2 and len(asked[0]) == 8
+
+
+def test_vertex_in_chunks(spark, monkeypatch):
+    rows = corpus(3)
+    monkeypatch.setattr(J, "SIFTED", 2)
+    assert sorted(map(tuple, J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect())) == brute(rows, 3, 80)

@@ -56,6 +56,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: whether the shuffle files of a query go when it ends; if not, they stay until the driver happens to collect its garbage
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def swept(df: DataFrame, name: str) -> DataFrame:
+    """stage() for large shuffles, whose files go as soon as the table is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(SWEEP, None)
+    conf.set(SWEEP, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.unset(SWEEP) if before is None else conf.set(SWEEP, before)
+
+
 def release(staged: DataFrame) -> None:
     """Remove the files of a table that stage() gave, once nothing reads it any more. What isn't released lies in the shared folder's
     ``touchline`` folder until the application's owner clears it."""

@@ -1,18 +1,22 @@
 """N-gram Jaccard join: all documents whose sets of word n-grams are at least ``percent`` per cent alike.
 
 How it scales
-1. A task turns each document into the sorted set of its n-gram hashes and keeps only the set's size, a 64-bit signature
-   and block keys. Documents with equal sets are one node from here on; within a task only the first of them brings keys.
+1. A task turns each document into the sorted set of its n-gram hashes and keeps only the set's size, a 64-bit signature,
+   a parity sketch and block keys. Documents with equal sets are one node from here on; within a task only the first of them
+   brings keys and a sketch.
 2. Block keys follow the pigeonhole principle: two sets of at most U n-grams each that are alike differ in at most
    H = 2U(100-percent)/(100+percent) n-grams. Each set is cut by hash into some H + H/6 parts, and a key is the hash of a
    whole part. At most H keys of a set are missing in a set that is like it, so both have one of the H + 1 keys that are
    rarest in the corpus (prefix filtering). Only these count: a passage that very many documents share gives frequent keys,
    which does not bring them together.
 3. Each key moves once: rows meet by key, and those whose key only one node has end there (keys in cells that hold far more
-   rows than others are counted with partial sums instead and joined back, so no key is gathered). What is left moves once
-   more, by node, where the most frequent keys are left out. The plan is the same at every size.
-4. Nodes that share a remaining key are tied to a vertex of that key's lowest node and size class; connected components of
-   these ties are the candidate groups.
+   rows than others are counted with partial sums instead and joined back, so no key is gathered). This is done in SLICES
+   passes, a part of the keys each, whose shuffle files go before the next. What is left moves once more, by node, where the
+   most frequent keys are left out. The plan is the same at every size.
+4. Nodes that share a remaining key are tied to a vertex of that key's lowest node and size class. Of the nodes of a vertex
+   those are a candidate pair whose sketches differ in no more bits than their sets may in n-grams; connected components of
+   the pairs are the candidate groups. Without the sketches a shared passage here and there would tie most texts into one
+   group, which would grow with the table and be joined with itself.
 5. A group's texts are read again, and their sets meet in one task as a prefix-tree (trie) join: the sets, in one
    global order, are stored in a path-compressed trie; a set is matched against it from the root, so the overlap of a shared
    path is counted once, and a subtree is left as soon as the remaining lengths cannot reach the needed overlap.
@@ -26,7 +30,7 @@ No link is lost at any step; the only hashing is that of n-grams to 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .base import WORD, components, cut, perhaps, release, stage
+from .base import WORD, components, cut, forest, perhaps, release, stage, swept
 
 #: sets in a chunk of a large candidate group
 CHUNK = 1024
@@ -49,6 +53,12 @@ PIVOTS = 16
 CELLS, HOT_ROWS = 1 << 16, 1_000_000
 #: signatures that a task remembers, to bring the keys of equal sets once; beyond that it starts anew
 REMEMBERED = 200_000
+#: the block keys are counted in so many passes, by their highest bits
+SLICES = 4
+#: bits of a sketch: the power of two that is not below the set's size, within these bounds (a full sketch lets every pair pass)
+LEAST_BITS, MOST_BITS = 64, 1 << 16
+#: sketches in a chunk of a vertex, and 64-bit words that are compared at once, about
+SIFTED, SIFT_WORDS = 4096, 1 << 21
 #: sizes in a class differ by a factor of 1.5 at most, or by as much as sizes of sets that are alike can
 CLASS = 150
 
@@ -87,6 +97,39 @@ def signatures(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, tb.mix(sums[begins[1:]] - sums[begins[:-1]] + sizes), np.uint64(0))
 
 
+def sketches(grams: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of the sets as 64-bit words, one after another, and where each begins: each n-gram flips one of the bits, so two
+    sketches of as many bits differ in no more of them than their sets in n-grams. A sketch of half the bits is its halves' exclusive or."""
+    sizes = np.diff(begins)
+    bits = np.int64(1) << np.ceil(np.log2(np.clip(sizes, LEAST_BITS, MOST_BITS))).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(bits // 64)])
+    bit = tb.mix(grams ^ np.uint64(0x9E6C63D0876A9A35)) % np.repeat(bits, sizes).astype(np.uint64)
+    words = np.zeros(int(at[-1]), np.uint64)
+    np.bitwise_xor.at(words, np.repeat(at[:-1], sizes) + (bit // np.uint64(64)).astype(np.int64), np.uint64(1) << (bit % np.uint64(64)))
+    return words, at
+
+
+def close_pairs(words: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest whose components are those of all pairs that can be alike by their sketches: between ``left`` (a mask) and the others, or among all if it is empty."""
+    fewest = min(map(len, words))
+    every = np.array([np.bitwise_xor.reduce(w.reshape(-1, fewest), axis=0) for w in words])
+    by_size = np.argsort(sizes, kind="stable")
+    rows, cols = (by_size[left[by_size]], by_size[~left[by_size]]) if left.any() else (by_size, by_size)
+    n, a, b = sizes[cols], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = max(1, SIFT_WORDS // (len(cols) * min(fewest, 64)))
+    for at in range(0, len(rows), step):
+        r = rows[at : at + step]
+        first = at if not left.any() else np.searchsorted(n, -(-int(sizes[r[0]]) * percent // 100))
+        c = cols[first : np.searchsorted(n, int(sizes[r[-1]]) * 100 // percent, "right")]
+        apart = np.zeros((len(r), len(c)), np.int64)
+        for k in range(0, fewest, 64):  # a few words at a time, as single rows may be long
+            apart += np.bitwise_count(every[r, None, k : k + 64] ^ every[None, c, k : k + 64]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero(apart <= (sizes[r][:, None] + sizes[c][None, :]) * (100 - percent) // (100 + percent))
+        a, b = np.concatenate([a, r[i]]), np.concatenate([b, c[j]])
+        a, b = forest(a, b)
+    return a, b
+
+
 class Keys(NamedTuple):
     """Block keys, the set of each, its size class, and how many of the most frequent keys of that set and class don't count."""
 
@@ -242,17 +285,33 @@ def _scan(n: int, percent: int):
                     found = block_keys(grams[np.repeat(new, np.diff(begins))], np.concatenate([[0], np.cumsum(sizes)]), percent)
                 if len(seen) > REMEMBERED:
                     seen.clear()
+                out = {c: batch.column(c).slice(piece.first, piece.n) for c in ("doc_id", "row")}
+                out |= {"n_shingles": pa.array(np.diff(begins).astype(np.int64)), "node": pa.array(sigs.view(np.int64))}
+                words, at = sketches(grams, begins)
+                new &= np.diff(begins) > 0
+                out["sketch"] = pa.array([words[at[i] : at[i + 1]].tobytes() if new[i] else None for i in range(piece.n)], pa.binary())
                 order = np.argsort(found.whose, kind="stable")
-                at = np.searchsorted(found.whose[order], np.arange(piece.n + 1)).astype(np.int32)
-                parts = pa.StructArray.from_arrays([pa.array(found.keys[order].view(np.int64)), pa.array((found.cls[order] << 32) + found.drop[order])], ["key", "kind"])
-                yield pa.record_batch(
-                    {c: batch.column(c).slice(piece.first, piece.n) for c in ("doc_id", "row")}
-                    | {"n_shingles": pa.array(np.diff(begins).astype(np.int64)), "node": pa.array(sigs.view(np.int64)), "keys": pa.ListArray.from_arrays(pa.array(at), parts)}
-                )
+                part = found.keys[order] // np.uint64(-(-(1 << 64) // SLICES))
+                for k in range(SLICES):
+                    own = order[part == k]
+                    at = np.searchsorted(found.whose[own], np.arange(piece.n + 1)).astype(np.int32)
+                    parts = pa.StructArray.from_arrays([pa.array(found.keys[own].view(np.int64)), pa.array((found.cls[own] << 32) + found.drop[own])], ["key", "kind"])
+                    out[f"keys_{k}"] = pa.ListArray.from_arrays(pa.array(at), parts)
+                yield pa.record_batch(out)
 
     return run
 
 
+def _sift(group: pa.Table) -> pa.Table:
+    """Edges among the nodes of a vertex's chunk, or between its left and its right one, that can be alike."""
+    node, left, sizes = (group.column(c).to_numpy() for c in ("node", "left", "n"))
+    both = group.column("i")[0] != group.column("j")[0]
+    a = b = np.zeros(0, np.int64)
+    if len(node) > 1 and not (both and left.all() == left.any()):  # a chunk may be without nodes
+        a, b = close_pairs([np.frombuffer(w, np.uint64) for w in group.column("sketch").to_pylist()], sizes, left, group.column("percent")[0].as_py())
+    return pa.table({"a": node[a], "b": node[b]})
+
+
 def _links(n: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         """Links among the texts of a chunk; if it has a left side, those between the left and the right one."""
@@ -302,17 +361,23 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return out.drop("high")
 
 
-def _groups(scanned: DataFrame) -> DataFrame:
-    """node, grp of every node that shares a key which counts with another one."""
-    held = _shared(scanned.select("node", F.inline("keys"))).repartition("node").dropDuplicates(["node", "kind", "key"])
+def _groups(keyed: DataFrame) -> DataFrame:
+    """node, grp of every node that shares a key which counts with another one that it can be like. ``keyed`` has the percentage, too."""
+    passes = [swept(_shared(keyed.select("node", F.inline(f"keys_{k}"))), "ngram-shared") for k in range(SLICES)]
+    held = reduce(DataFrame.unionByName, passes).repartition("node").dropDuplicates(["node", "kind", "key"])
     common = F.row_number().over(Window.partitionBy("node", "kind").orderBy(F.col("n").desc(), F.col("key").desc()))
     held = held.withColumn("common", common).where(F.col("common") > F.col("kind").bitwiseAND(F.lit(0xFFFFFFFF)))
-    ties = held.select("node", F.xxhash64("low", F.shiftright("kind", 32)).alias("tie")).distinct()
-    # a node makes one of its vertices; most have one vertex only, and then there is no edge
-    ties = stage(ties.withColumn("first", F.min("tie").over(Window.partitionBy("node"))), "ngram-ties")
-    named = components(ties.where("tie <> first").select(F.col("tie").alias("a"), F.col("first").alias("b")))
-    nodes = ties.where("tie = first").select("node", "first")
-    return nodes.join(named.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("component", "first").alias("grp"))
+    ties = swept(held.select("node", F.xxhash64("low", F.shiftright("kind", 32)).alias("tie")).distinct(), "ngram-ties")
+    for x in passes:
+        release(x)
+    own = perhaps(keyed.where("sketch is not null").select("node", F.col("n_shingles").alias("n"), "sketch", "percent"), ties, "node").dropDuplicates(["node"])
+    several = ties.groupBy("tie").agg(F.ceil(F.count("*") / F.lit(SIFTED)).cast("int").alias("of"), F.count("*").alias("nodes")).where("nodes > 1").drop("nodes")
+    sized = _shuffled(_shuffled(ties, several, "tie"), own, "node").withColumn("chunk", _chunk(F.col("of")))
+    # a chunk meets itself, and each chunk after it as their left side
+    places = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda x: F.struct(F.least(x, "chunk").alias("i"), F.greatest(x, "chunk").alias("j")))
+    dealt = sized.select("tie", "node", "n", "sketch", "percent", "chunk", F.inline(places)).withColumn("left", F.expr("chunk = i and i < j")).drop("chunk")
+    pairs = swept(dealt.groupBy("tie", "i", "j").applyInArrow(_sift, "a long, b long"), "ngram-pairs")
+    return components(pairs).withColumnRenamed("component", "grp")
 
 
 def _chunks(n: Column, grams: Column) -> Column:
@@ -364,9 +429,10 @@ def _linked(docs: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFra
 def _scanned(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` as row (hash of doc_id and text), doc_id, n_shingles and node; and node, component of nodes that have links."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    keyed = stage(texts.mapInArrow(_scan(n, percent), "doc_id long, row long, n_shingles long, node long, keys array<struct<key:long,kind:long>>"), "ngram-keys")
-    scanned = stage(keyed.drop("keys"), "ngram-sets")
-    groups = stage(_groups(keyed), "ngram-groups")
+    lists = ", ".join(f"keys_{k} array<struct<key:long,kind:long>>" for k in range(SLICES))
+    keyed = stage(texts.mapInArrow(_scan(n, percent), f"doc_id long, row long, n_shingles long, node long, sketch binary, {lists}"), "ngram-keys")
+    scanned = stage(keyed.select("doc_id", "row", "n_shingles", "node"), "ngram-sets")
+    groups = stage(_groups(keyed.withColumn("percent", F.lit(percent))), "ngram-groups")
     release(keyed)
     nodes = scanned.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
     chosen = _shuffled(nodes, groups, "node")
