@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.names import name_key
+from ..sources.session import cut
 
 #: fixed values: matches after which a match counts half, rating of an unknown opponent, and how far an opponent moves a match's weight
 HALF_LIFE, UNKNOWN_ELO, STEP = 5.0, 1750.0, 0.18
@@ -163,14 +164,26 @@ def slug_scores(slugs: DataFrame, fixtures: DataFrame, top: int = 1) -> DataFram
     """The ``top`` slugs of each fixture: 35 for either team's code, 20 for the day, 10 for the competition's prefix. A slug without both codes is rejected, so
     slugs and fixtures meet by their unordered pair of codes, and no fixture is compared with all slugs.
 
+    What a fixture adds to a slug's own points is whether the days agree. So of each pair the ``top`` slugs are kept twice, with the prefix and without: of each
+    day, for the fixtures of that day, and of all days, for the others; a fixture meets only these, and no fixture meets all slugs of its pair.
+
     slugs: slug (prefix-code-code-yyyy-MM-dd); fixtures: match_id, home_code, away_code, day. Ties go to the first slug by name.
     """
     part = lambda i: F.regexp_extract("slug", r"^([a-z]+)-([a-z0-9]+)-([a-z0-9]+)(?:-(\d{4}-\d{2}-\d{2}))?$", i)
     parsed = slugs.select("slug").distinct().select("slug", part(1).alias("prefix"), part(2).alias("one"), part(3).alias("two"), part(4).try_cast("date").alias("hint")).where("one <> '' and one <> two")
     key = lambda a, b: [F.least(a, b).alias("low"), F.greatest(a, b).alias("high")]
-    met = fixtures.where("home_code <> away_code").select("match_id", "day", *key(F.col("home_code"), F.col("away_code"))).join(parsed.select("slug", "prefix", "hint", *key(F.col("one"), F.col("two"))), ["low", "high"])
-    on_day, own = F.coalesce(F.col("hint") == F.col("day"), F.lit(False)), F.col("prefix") == "fif"
-    score = F.lit(70) + F.when(on_day, 20).otherwise(0) + F.when(own, 10).otherwise(0)
-    label = F.when(on_day & own, "high").otherwise("medium")
+
+    def first(df: DataFrame, *by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("low", "high", "own", *by).orderBy("slug"))
+        return df.withColumn("place", place).where(F.col("place") <= top).drop("place")
+
+    daily = cut(first(parsed.select("slug", "hint", (F.col("prefix") == "fif").alias("own"), *key(F.col("one"), F.col("two"))), "hint"))
+    met = fixtures.where("home_code <> away_code").select("match_id", "day", *key(F.col("home_code"), F.col("away_code")))
+    on_day = met.join(daily.withColumnRenamed("hint", "day"), ["low", "high", "day"]).select("match_id", "slug", "own", F.lit(True).alias("on_day"))
+    # slugs of the fixture's own day among those of all days have come already, and stand before the others
+    other = met.join(first(daily), ["low", "high"]).where(~F.coalesce(F.col("hint") == F.col("day"), F.lit(False))).select("match_id", "slug", "own", F.lit(False).alias("on_day"))
+    score = F.lit(70) + F.when(F.col("on_day"), 20).otherwise(0) + F.when(F.col("own"), 10).otherwise(0)
+    label = F.when(F.col("on_day") & F.col("own"), "high").otherwise("medium")
     place = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("score"), "slug"))
-    return met.withColumns({"score": score, "confidence": label}).withColumn("place", place).where(F.col("place") <= top).select("match_id", "slug", "score", "confidence", F.when(on_day, "").otherwise("date mismatch").alias("warning"))
+    found = on_day.unionByName(other).withColumns({"score": score, "confidence": label}).withColumn("place", place).where(F.col("place") <= top)
+    return found.select("match_id", "slug", "score", "confidence", F.when(F.col("on_day"), "").otherwise("date mismatch").alias("warning"))
